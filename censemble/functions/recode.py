@@ -77,8 +77,8 @@ def puma_code(puma20: Column, puma10: Column) -> Column:
 
 def state_table(spark: SparkSession) -> DataFrame:
     """51 rows: census code, two-letter state, and the zero-padded code used in file names."""
-    rows = [(code, usps, f"{code:02d}") for code, usps in fixed.FIPS_STATES.items()]
-    return spark.createDataFrame(rows, "fips int, state string, fips_text string")
+    rows = ", ".join(f"({code}, '{usps}', '{code:02d}')" for code, usps in fixed.FIPS_STATES.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(fips, state, fips_text)")
 
 
 def with_state(microdata: DataFrame) -> DataFrame:

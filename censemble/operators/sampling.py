@@ -19,7 +19,8 @@ from censemble.operators.priors import (
     with_party,
     with_priors,
 )
-from censemble.operators.skew import numbered_rows, split_join
+from censemble.operators.skew import HOT_ROWS, numbered_rows
+from censemble.session import stored
 
 _CELL = ["age_band", "sex", "race_eth", "education", "income_band"]
 
@@ -55,54 +56,70 @@ def weight_intervals(pool: DataFrame) -> DataFrame:
     )
 
 
-def scope_ranges(intervals: DataFrame) -> DataFrame:
-    """Weight range per state plus the national scope 'US': at most 52 rows."""
-    by_state = intervals.groupBy("state").agg(F.min("lo").alias("scope_lo"), F.max("hi").alias("scope_hi"))
-    national = by_state.agg(F.min("scope_lo").alias("scope_lo"), F.max("scope_hi").alias("scope_hi"))
-    return by_state.withColumnRenamed("state", "scope").unionByName(
-        national.where(F.col("scope_hi").isNotNull()).withColumn("scope", F.lit("US"))
-    )
-
-
 def scope_of(state: Column) -> Column:
     return F.when(F.upper(state).isin(fixed.NATIONAL_SCOPES), "US").otherwise(state)
 
 
-def draw_cells(cells: DataFrame, specs: DataFrame, k: int = fixed.K_ANONYMITY_MIN) -> DataFrame:
+def scope_layout(intervals: DataFrame, specs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Per scope in use (at most 51 states and 'US'): its weight range, the width of its buckets
+    and the number of slices per bucket.
+
+    Buckets have equal weight and number about as many as the scope's cells, so each meets
+    about (draws / cells) draws; slices keep that below ``hot_rows``.
+    """
+    by_state = intervals.groupBy("state").agg(
+        F.min("lo").alias("scope_lo"), F.max("hi").alias("scope_hi"), F.count(F.lit(1)).alias("cells")
+    )
+    national = by_state.agg(
+        F.lit("US").alias("scope"), F.min("scope_lo").alias("scope_lo"),
+        F.max("scope_hi").alias("scope_hi"), F.sum("cells").alias("cells"),
+    )
+    scopes = by_state.withColumnRenamed("state", "scope").unionByName(national).where("cells > 0")
+    asked = specs.groupBy(scope_of(F.col("state")).alias("scope")).agg(F.sum("n").alias("draws"))
+    size = F.col("scope_hi") - F.col("scope_lo")
+    return scopes.join(asked, "scope").select(
+        "scope", "scope_lo", size.alias("size"),
+        F.greatest(F.lit(1).cast("bigint"), F.ceil(size / F.col("cells"))).alias("width"),
+        F.ceil(F.col("draws") / F.col("cells") / hot_rows).cast("int").alias("slices"),
+    )
+
+
+def draw_cells(
+    cells: DataFrame, specs: DataFrame, k: int = fixed.K_ANONYMITY_MIN, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``n`` weighted draws with replacement for every population spec.
 
     ``specs``: spec_id, state ('US' or '*' for all), n, seed. Adds ``draw_no`` and the drawn
-    skeleton. Draws meet cells in an interval join with an equi key: the weight line is cut into
-    about as many buckets as there are cells, so a cell repeats in few buckets and a draw looks
-    at few cells.
+    skeleton. Draws meet cells in an interval join with an equi key: each scope's weight line is
+    cut into buckets, a cell repeats in the few buckets it touches, and a draw looks only at the
+    cells of its bucket.
     """
-    intervals = weight_intervals(k_anonymous(cells, "US", k))
-    size = intervals.agg(F.max("hi").alias("__total"), F.count(F.lit(1)).alias("__cells"))
-    width = size.select(
-        F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("__total") / F.col("__cells"))).alias("__width")
+    # These are read several times and small beside the microdata (the skeleton domain bounds
+    # the first two, the 52 scopes the third), so each is worked out once.
+    pool = stored(k_anonymous(cells, "US", k), "pool")
+    intervals = stored(weight_intervals(pool), "intervals")
+    layout = F.broadcast(stored(scope_layout(intervals, specs, hot_rows), "layout"))
+    laid = (
+        intervals.withColumn("scope", F.explode(F.array(F.lit("US"), F.col("state"))))
+        .join(layout, "scope")
+        .withColumn("lo", F.col("lo") - F.col("scope_lo"))
+        .withColumn("hi", F.col("hi") - F.col("scope_lo"))
     )
-    # One-row and at most 52-row tables.
-    scopes = F.broadcast(scope_ranges(intervals).crossJoin(F.broadcast(width)))
-    pieces = intervals.crossJoin(F.broadcast(width)).withColumn(
-        "__bucket",
-        F.explode(F.sequence(F.expr("lo div __width"), F.expr("(hi - 1) div __width"))),
+    pieces = (
+        laid.withColumn("bucket", F.explode(F.sequence(F.expr("lo div width"), F.expr("(hi - 1) div width"))))
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .select(*SKELETON, "lo", "hi", "scope", "bucket", "slice")
     )
     draws = (
-        numbered_rows(specs, "n", "draw_no", ["spec_id"])
-        .withColumn("__scope", scope_of(F.col("state")))
-        .drop("state")
-        .join(scopes, F.col("__scope") == F.col("scope"))
-        .withColumn(
-            "__target",
-            F.col("scope_lo")
-            + F.pmod(hash_draw(F.col("seed"), F.lit("cell"), F.col("draw_no")), F.col("scope_hi") - F.col("scope_lo")),
-        )
-        .withColumn("__bucket", F.expr("__target div __width"))
-        .select("spec_id", "n", "seed", "draw_no", "__target", "__bucket")
+        numbered_rows(specs.withColumn("scope", scope_of(F.col("state"))).drop("state"), "n", "draw_no", ["spec_id"])
+        .join(layout, "scope")
+        .withColumn("target", F.pmod(hash_draw(F.col("seed"), F.lit("cell"), F.col("draw_no")), F.col("size")))
+        .withColumn("slice", F.pmod(F.xxhash64("spec_id", "draw_no"), F.col("slices")).cast("int"))
+        .select("spec_id", "seed", "draw_no", "scope", "target", "slice", F.expr("target div width").alias("bucket"))
+    )
+    hit = draws.join(pieces, ["scope", "bucket", "slice"]).where(
+        (F.col("target") >= F.col("lo")) & (F.col("target") < F.col("hi"))
     )
-    hit = split_join(
-        draws, pieces.select(*SKELETON, "lo", "hi", "__bucket"), ["__bucket"], "inner", spread_by=["spec_id", "draw_no"]
-    ).where((F.col("__target") >= F.col("lo")) & (F.col("__target") < F.col("hi")))
     return hit.select("spec_id", "seed", "draw_no", *SKELETON)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from censemble.session import checkpointed
+from censemble.session import stored
 
 # Rows of one key that a single task may take in a join. There are at most rows / HOT_ROWS keys
 # above it, so the list of hot keys stays broadcastable: a million entries at 10**12 rows.
@@ -118,12 +118,11 @@ def sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], o
     the number of rows with those keys.
 
     The rows are range-sorted over all keys at once, so a hot key spans as many tasks as it
-    needs. Range bounds are sampled, so the sorted rows are checkpointed before their places are
+    needs. Range bounds are sampled, so the sorted rows are stored before their places are
     counted; a lost executor then cannot move a row between ranges.
     """
-    spark = df.sparkSession
-    placed = checkpointed(
-        spark, df.orderBy(*keys, *order).withColumn("__id", F.monotonically_increasing_id())
+    placed = stored(
+        df.orderBy(*keys, *order).withColumn("__id", F.monotonically_increasing_id()), "sorted"
     )
     # High bits of the id are the partition, low 33 bits the row within it.
     part = F.shiftright(F.col("__id"), 33)

@@ -20,8 +20,11 @@ USD = "decimal(38,12)"
 
 def price_table(spark: SparkSession, prices: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """model, input, output: USD per million tokens."""
-    rows = [(m, Decimal(i), Decimal(o)) for m, (i, o) in (prices or fixed.PRICES).items()]
-    return spark.createDataFrame(rows, "model string, input decimal(12,6), output decimal(12,6)")
+    rows = ", ".join(
+        f"('{m}', CAST('{i}' AS DECIMAL(12,6)), CAST('{o}' AS DECIMAL(12,6)))"
+        for m, (i, o) in (prices or fixed.PRICES).items()
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(model, input, output)")
 
 
 def priced_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "censemble", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -43,13 +43,18 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-def checkpointed(spark: SparkSession, df):
-    """Cut lineage reliably: the rows are written to the shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: write the rows to the shared folder and read them back.
+
+    Used where rows must not be worked out twice, because later steps read them several times or
+    rely on every reader seeing the same placement. Losing executors does not lose the files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
