@@ -78,6 +78,10 @@ REQUEST_PATTERNS = [
     r"\bcampaign (messaging|strategy|tactics|targeting)\b",
     r"\boptimize\b[^.]{0,30}\b(messaging|message|persuasion)\b",
 ]
+# Text each pattern above cannot match without.
+REQUEST_ANCHORS = [
+    "predict", "forecast", "persua", "generate", "how ", "target", "voter ", "campaign ", "optimize",
+]
 OUTPUT_PATTERNS = [
     r"\bmessaging recommendation\b",
     r"\bsuggested talking points\b",
@@ -85,6 +89,10 @@ OUTPUT_PATTERNS = [
     r"\bto persuade (this|that|these|those|target) (group|demographic|voters?)\b",
     r"\bprobability of (passage|passing) (is|of)\b",
 ]
+OUTPUT_ANCHORS = [
+    "messaging recommendation", "suggested talking points", "campaign should", "to persuade t",
+    "probability of pass",
+]
 
 # --- fixed values: USD per million tokens (input, output), as decimal text --------------------
 PRICES = {

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from censemble.functions import fixed
 
 # Whitespace as a Unicode-aware strip understands it.
-_BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
 _SPECIAL = r"(?i)^[+-]?(nan|inf|infinity)$"
 # Bare NaN and Infinity values are accepted by lenient readers but are not JSON; quote them.
@@ -21,7 +23,8 @@ _BARE_SPECIAL = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,}\]])"
 
 
 def strip_text(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_BLANK}|{_BLANK}$", "")
+    """Trim both ends; only the ends are looked at, not the whole text."""
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def strip_fences(text: Column) -> Column:
@@ -39,26 +42,33 @@ def strip_fences(text: Column) -> Column:
     return strip_text(closed)
 
 
-def json_object(text: Column) -> Column:
-    """The text as a variant if it is exactly one JSON object, else null.
+def with_json_object(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: the text as a variant if it is exactly one JSON object, else null.
 
     Wrapping it both as the only array element and as the only object value rejects trailing
-    text, which the parser alone would ignore: nothing can close both wrappers early.
+    text, which the parser alone would ignore: nothing can close both wrappers early. Steps are
+    staged in projections, so that each parse happens once per row.
     """
-
-    def strictly(body: Column) -> Column:
-        as_item = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-        as_value = F.try_parse_json(F.concat(F.lit('{"w":'), body, F.lit("}")))
-        item = F.try_variant_get(as_item, "$[0]", "variant")
-        whole = (
-            as_value.isNotNull()
-            & F.try_variant_get(as_item, "$[1]", "variant").isNull()
-            & F.schema_of_variant(item).startswith("OBJECT")
-        )
-        return F.when(whole, item)
-
-    quoted = F.regexp_replace(text, _BARE_SPECIAL, '$1"$2"')
-    return F.coalesce(strictly(text), F.when(quoted != text, strictly(quoted)))
+    body = F.col(text)
+
+    def wrapped(source: Column, label: str) -> dict[str, Column]:
+        return {
+            f"__item{label}": F.try_parse_json(F.concat(F.lit("["), source, F.lit("]"))),
+            f"__value{label}": F.try_parse_json(F.concat(F.lit('{"w":'), source, F.lit("}"))),
+        }
+
+    def strict(label: str) -> Column:
+        alone = F.try_variant_get(f"__item{label}", "$[1]", "variant").isNull()
+        whole = F.col(f"__item{label}").isNotNull() & F.col(f"__value{label}").isNotNull() & alone
+        return F.when(whole, F.try_variant_get(f"__item{label}", "$[0]", "variant"))
+
+    staged = df.withColumns(wrapped(F.when(body.startswith("{"), body), "1"))
+    lenient = F.col("__item1").isNull() & (body.contains("NaN") | body.contains("Infinity"))
+    quoted = F.when(lenient, F.regexp_replace(body, _BARE_SPECIAL, '$1"$2"'))
+    staged = staged.withColumn("__quoted", quoted).withColumns(wrapped(F.col("__quoted"), "2"))
+    return staged.withColumn(out, F.coalesce(strict("1"), strict("2"))).drop(
+        "__item1", "__value1", "__item2", "__value2", "__quoted"
+    )
 
 
 def _kind(field: Column) -> Column:
@@ -115,7 +125,7 @@ def clamp_unit(x: Column) -> Column:
 def _with_fields(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Stage the parse in projections, so that each step is worked out once per row."""
     parsed = df.withColumn("__body", strip_fences(F.col(text)))
-    parsed = parsed.withColumn("__obj", json_object(F.col("__body")))
+    parsed = with_json_object(parsed, "__body", "__obj")
     parsed = parsed.withColumns({f"__{k}": F.try_variant_get("__obj", f"$.{k}", "variant") for k in keys})
     return parsed.drop("__body")
 

@@ -9,20 +9,22 @@ from censemble.functions import fixed
 
 # Word boundaries follow Unicode letters whatever the Java version.
 _UNICODE = "(?U)"
+REQUEST = list(zip(fixed.REQUEST_ANCHORS, fixed.REQUEST_PATTERNS, strict=True))
+OUTPUT = list(zip(fixed.OUTPUT_ANCHORS, fixed.OUTPUT_PATTERNS, strict=True))
 
 
-def any_match(text: Column, patterns: list[str]) -> Column:
-    """True if any pattern occurs anywhere in the lower-cased text; null text is clean."""
-    return F.coalesce(F.lower(text).rlike(_UNICODE + "|".join(patterns)), F.lit(False))
+def with_first_match(df: DataFrame, text: str, rules: list[tuple[str, str]], out: str) -> DataFrame:
+    """Adds ``out``: the 1-based number of the first pattern found anywhere in the text, else null.
 
-
-def first_match(text: Column, patterns: list[str]) -> Column:
-    """1-based number of the first pattern in the list that occurs, null if none."""
-    lowered = F.lower(text)
-    return F.when(
-        any_match(text, patterns),
-        F.coalesce(*[F.when(lowered.rlike(_UNICODE + p), i) for i, p in enumerate(patterns, start=1)]),
-    )
+    The text is lower-cased once per row. A pattern is only run on text that has its anchor, a
+    plain substring it cannot match without; most text is cleared by these byte searches.
+    """
+    lowered = F.col("__lowered")
+    found = F.coalesce(*[
+        F.when(lowered.contains(anchor) & lowered.rlike(_UNICODE + pattern), i)
+        for i, (anchor, pattern) in enumerate(rules, start=1)
+    ])
+    return df.withColumn("__lowered", F.lower(text)).withColumn(out, found).drop("__lowered")
 
 
 def in_vote_window(vote_date: Column, as_of: Column) -> Column:
@@ -33,13 +35,15 @@ def in_vote_window(vote_date: Column, as_of: Column) -> Column:
 
 def check_requests(requests: DataFrame, as_of: Column, text: str = "text", vote_date: str = "vote_date") -> DataFrame:
     """Adds ``refused`` and ``reason`` ('category', 'vote_window' or null); text goes first."""
-    bad_text = any_match(F.col(text), fixed.REQUEST_PATTERNS)
     near_vote = in_vote_window(F.col(vote_date), as_of)
-    return requests.withColumn(
-        "reason", F.when(bad_text, "category").when(near_vote, "vote_window")
-    ).withColumn("refused", F.col("reason").isNotNull())
+    return (
+        with_first_match(requests, text, REQUEST, "__pattern")
+        .withColumn("reason", F.when(F.col("__pattern").isNotNull(), "category").when(near_vote, "vote_window"))
+        .withColumn("refused", F.col("reason").isNotNull())
+        .drop("__pattern")
+    )
 
 
 def gate_output(rows: DataFrame, text: str) -> DataFrame:
     """Only rows whose text may be written out; put it before any sink that carries text."""
-    return rows.where(~any_match(F.col(text), fixed.OUTPUT_PATTERNS))
+    return with_first_match(rows, text, OUTPUT, "__pattern").where(F.col("__pattern").isNull()).drop("__pattern")

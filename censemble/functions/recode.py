@@ -65,14 +65,15 @@ def income_band(income: Column) -> Column:
     )
 
 
-def puma_code(puma20: Column, puma10: Column) -> Column:
-    """The newer area code if filled (not -9 or 0), else the older; zero-padded to five digits."""
+def filled_area(code: Column) -> Column:
+    """The area code unless it is one of the fillers -9 and 0."""
+    return F.when(~code.isin(-9, 0), code)
 
-    def filled(code: Column) -> Column:
-        return F.when(~code.isin(-9, 0), code)
 
-    digits = F.coalesce(filled(puma20), filled(puma10)).cast("bigint").cast("string")
-    return F.when(F.char_length(digits) >= 5, digits).otherwise(F.lpad(digits, 5, "0"))
+def zero_padded(code: Column) -> Column:
+    """At least five digits; longer codes stay as they are."""
+    digits = code.cast("bigint").cast("string")
+    return F.when(F.abs(code) < 10_000, F.lpad(digits, 5, "0")).otherwise(digits)
 
 
 def state_table(spark: SparkSession) -> DataFrame:
@@ -92,17 +93,20 @@ def recode_microdata(microdata: DataFrame) -> DataFrame:
 
     Adults with known age, sex, race, origin and schooling, in a known state and area.
     """
-    known = with_state(microdata.dropna(subset=_REQUIRED))
-    return known.select(
+    # Filters name plain input columns, so they reach the scan.
+    adults = microdata.dropna(subset=_REQUIRED).where(F.col("AGEP") >= 18)
+    # The newer area code if filled, else the older.
+    placed = adults.withColumn("__area", F.coalesce(filled_area(F.col("PUMA20")), filled_area(F.col("PUMA10"))))
+    return with_state(placed.where(F.col("__area").isNotNull())).select(
         "state",
-        puma_code(F.col("PUMA20"), F.col("PUMA10")).alias("puma"),
+        zero_padded(F.col("__area")).alias("puma"),
         age_band(F.col("AGEP")).alias("age_band"),
         sex(F.col("SEX")).alias("sex"),
         race_ethnicity(F.col("RAC1P"), F.col("HISP")).alias("race_eth"),
         schooling(F.col("SCHL")).alias("education"),
         income_band(F.col("PINCP")).alias("income_band"),
         "PWGTP",
-    ).dropna(subset=["puma", "age_band"])
+    )
 
 
 def _in_range(code: Column, low: int, high: int) -> Column:
@@ -123,15 +127,21 @@ def recode_coded_survey(survey: DataFrame) -> DataFrame:
     Rows without party, education or age band are dropped.
     """
     names = fixed.CODED_SURVEY
-    party = _in_range(F.col(names["party"]), 1, 7)
+    usable = survey.where(
+        F.col(names["party"]).between(1, 7)
+        & F.col(names["education"]).between(1, 5)
+        & (F.col(names["age"]) >= 18)
+        & ~F.isnan(names["age"])
+    )
+    party = F.col(names["party"])
 
     def favors(item: str) -> Column:
         answer = _in_range(F.col(names[item]), 1, 3)
         return F.when(answer.isNotNull(), (answer == 1).cast("int"))
 
-    return survey.select(
-        F.when(party <= 3, "dem").when(party == 4, "ind").when(party.isNotNull(), "rep").alias("party_id"),
-        _pick(_in_range(F.col(names["education"]), 1, 5), fixed.EDUCATIONS).alias("education"),
+    return usable.select(
+        F.when(party <= 3, "dem").when(party == 4, "ind").otherwise("rep").alias("party_id"),
+        _pick(F.col(names["education"]).cast("int"), fixed.EDUCATIONS).alias("education"),
         age_band(F.col(names["age"]).cast("int")).alias("age_band"),
         _pick(_in_range(F.col(names["race"]), 1, 6), [
             "white_nh", "black_nh", "hispanic", "asian_nh", "other_nh", "other_nh",
@@ -142,27 +152,34 @@ def recode_coded_survey(survey: DataFrame) -> DataFrame:
         # Centred at 0; dividing by 3 maps 1..7 onto [-1, 1].
         (_in_range(F.col(names["ideology"]), 1, 7) - 4).alias("ideology_units"),
         F.lit(3).alias("ideology_scale"),
-    ).dropna(subset=["party_id", "education", "age_band"])
+    )
 
 
 def recode_label_survey(survey: DataFrame) -> DataFrame:
     """Text-label survey, to the same columns as the coded one (race is not asked)."""
     names = fixed.LABEL_SURVEY
-    year = F.col(names["birthyear"]).try_cast("double")
-    age = F.lit(fixed.LABEL_SURVEY_YEAR) - F.when(~F.isnan(year), year).try_cast("int")
+    usable = (
+        survey.where(
+            F.col(names["party"]).isin(list(fixed.PARTY_LABELS))
+            & F.col(names["education"]).isin(list(fixed.EDUCATION_LABELS))
+        )
+        .withColumn("__year", F.col(names["birthyear"]).try_cast("double"))
+        .withColumn("__age", fixed.LABEL_SURVEY_YEAR - F.when(~F.isnan("__year"), F.col("__year")).try_cast("int"))
+        .where(F.col("__age") >= 18)
+    )
 
     def favors(item: str) -> Column:
         answer = F.col(names[item])
         return F.when(answer.isin(fixed.SUPPORT_LABELS), 1).when(answer.isin(fixed.OPPOSE_LABELS), 0)
 
-    return survey.select(
+    return usable.select(
         F.element_at(label_map(fixed.PARTY_LABELS), F.col(names["party"])).alias("party_id"),
         F.element_at(label_map(fixed.EDUCATION_LABELS), F.col(names["education"])).alias("education"),
-        age_band(age).alias("age_band"),
+        age_band(F.col("__age")).alias("age_band"),
         F.lit(None).cast("string").alias("race_eth"),
         favors("climate").alias("climate"),
         favors("guns").alias("guns"),
         favors("taxes").alias("taxes"),
         F.element_at(label_map(fixed.IDEOLOGY_HALF_POINTS), F.col(names["ideology"])).alias("ideology_units"),
         F.lit(2).alias("ideology_scale"),
-    ).dropna(subset=["party_id", "education", "age_band"])
+    )

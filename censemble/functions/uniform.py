@@ -24,12 +24,14 @@ def hash_draw(*parts: Column) -> Column:
     return _hex_to_long(F.substring(_digest(*parts), 1, 15))
 
 
-def paired_draw(index: Column, *parts: Column) -> Column:
-    """Uniform integer in [0, 2**60) for draw number ``index``; two draws share one digest."""
-    digest = _digest(*parts, F.shiftright(index, 1))
-    return _hex_to_long(
-        F.when(index % 2 == 0, F.substring(digest, 1, 15)).otherwise(F.substring(digest, 17, 15))
-    )
+def pair_digest(*parts: Column) -> Column:
+    """A digest that holds two draws; see ``pair_draw``."""
+    return _digest(*parts)
+
+
+def pair_draw(digest: Column, second: bool) -> Column:
+    """The first or second uniform integer in [0, 2**60) of a digest."""
+    return _hex_to_long(F.substring(digest, 17 if second else 1, 15))
 
 
 def unit_draw(*parts: Column) -> Column:

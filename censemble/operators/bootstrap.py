@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from censemble.functions import fixed
-from censemble.functions.uniform import paired_draw
-from censemble.operators.skew import BROADCAST_ROWS, numbered_rows, positions
+from censemble.functions.uniform import pair_digest, pair_draw
+from censemble.operators.skew import BROADCAST_ROWS, dealt_out, numbered_rows, positions
 
 # Runs up to this many votes are resampled from one array per run; larger ones by a join.
 ARRAY_VOTES = 65_536
 # Draws one task makes for a run before its replicates are spread over more tasks.
-_DRAWS_PER_TASK = 2_000_000
+_DRAWS_PER_TASK = 200_000
 
 
 def rank_bounds(replicates: int, alpha: float) -> tuple[int, int]:
@@ -25,9 +25,15 @@ def rank_bounds(replicates: int, alpha: float) -> tuple[int, int]:
     return low, high
 
 
-def _place(n: Column, seed: Column) -> Column:
-    """Which vote (0-based by seq) draw ``i`` of replicate ``rep`` takes."""
-    return F.pmod(paired_draw(F.col("i"), seed, F.col("rep")), n)
+def _with_places(pairs: DataFrame) -> DataFrame:
+    """Which votes (0-based by seq) the two draws of pair ``half`` take; the second is null past
+    the last draw of an odd run."""
+    hashed = pairs.withColumn("__digest", pair_digest(F.col("seed"), F.col("rep"), F.col("half")))
+    first = F.pmod(pair_draw(F.col("__digest"), False), F.col("n"))
+    second = F.pmod(pair_draw(F.col("__digest"), True), F.col("n"))
+    return hashed.withColumns(
+        {"first": first, "second": F.when(F.col("half") * 2 + 1 < F.col("n"), second)}
+    ).drop("__digest")
 
 
 def _from_arrays(votes: DataFrame, run: list[str], replicates: int) -> DataFrame:
@@ -40,17 +46,20 @@ def _from_arrays(votes: DataFrame, run: list[str], replicates: int) -> DataFrame
     n = F.size("stances").cast("bigint")
     parts = F.least(F.lit(replicates), F.ceil(n * replicates / _DRAWS_PER_TASK)).cast("int")
     # Large runs: copies of the array go to several tasks, each with its own replicates.
-    spread = (
+    copies = (
         arrays.withColumn("n", n)
         .withColumn("__parts", parts)
         .withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-        .repartition(*[F.col(c) for c in run], F.col("__part"))
     )
-    draws = spread.withColumn(
+    spread = dealt_out(copies, [*run, "__part"])
+    pairs = spread.withColumn(
         "rep", F.explode(F.sequence(F.col("__part"), F.lit(replicates - 1), F.col("__parts")))
-    ).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    taken = F.get(F.col("stances"), _place(F.col("n"), F.col("seed")).cast("int"))
-    return draws.groupBy(*run, "rep").agg((100.0 * F.sum(taken) / F.count(F.lit(1))).alias("share"))
+    ).withColumn("half", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("n") - 1, 1))))
+    placed = _with_places(pairs)
+    taken = F.get("stances", F.col("first").cast("int")) + F.coalesce(
+        F.get("stances", F.col("second").cast("int")), F.lit(0.0)
+    )
+    return placed.groupBy(*run, "rep").agg((100.0 * F.sum(taken) / F.max("n")).alias("share"))
 
 
 def _from_join(votes: DataFrame, sizes: DataFrame, run: list[str], replicates: int) -> DataFrame:
@@ -60,9 +69,11 @@ def _from_join(votes: DataFrame, sizes: DataFrame, run: list[str], replicates: i
         *run, "__place", "stance"
     )
     per_rep = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = numbered_rows(per_rep, "n", "i", [*run, "rep"]).withColumn(
-        "__place", _place(F.col("n"), F.col("seed"))
+    pairs = numbered_rows(
+        per_rep.withColumn("__pairs", F.shiftright(F.col("n") + 1, 1)), "__pairs", "half", [*run, "rep"]
     )
+    both = F.filter(F.array("first", "second"), lambda p: p.isNotNull())
+    draws = _with_places(pairs).select(*run, "rep", F.explode(both).alias("__place"))
     hit = draws.join(placed, [*run, "__place"])
     return hit.groupBy(*run, "rep").agg((100.0 * F.sum("stance") / F.count(F.lit(1))).alias("share"))
 

@@ -172,6 +172,16 @@ def first_k(
     )
 
 
+def dealt_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows hashed by ``keys`` over all shuffle partitions.
+
+    For rows that are few and small now but grow in the next step: the number is explicit, so
+    adaptive execution does not merge them into one task by their present size.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *[F.col(c) for c in keys])
+
+
 def numbered_rows(df: DataFrame, n: str, out: str, keys: Sequence[str], chunk: int = 100_000) -> DataFrame:
     """Repeat each row ``n`` times, numbered 0..n-1 in ``out``.
 
@@ -184,7 +194,7 @@ def numbered_rows(df: DataFrame, n: str, out: str, keys: Sequence[str], chunk: i
     low = F.col("__chunk") * chunk
     high = F.least(low + chunk, F.col(n).cast("bigint")) - 1
     return (
-        chunks.repartition(*[F.col(c) for c in keys], F.col("__chunk"))
+        dealt_out(chunks, [*keys, "__chunk"])
         .withColumn(out, F.explode(F.sequence(low, high)))
         .drop("__chunk")
     )

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censemble.functions import fixed, parsing, policy, text
+from censemble.functions import parsing, policy, text
 from censemble.functions.recode import (
     SKELETON,
     recode_coded_survey,
@@ -421,9 +421,8 @@ def contamination_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def policy_input(spark: SparkSession, d: str) -> DataFrame:
-    return fx.requests(spark, d).select(
-        "request_id", policy.first_match(F.col("text"), fixed.REQUEST_PATTERNS).alias("pattern_no")
-    )
+    found = policy.with_first_match(fx.requests(spark, d), "text", policy.REQUEST, "pattern_no")
+    return found.select("request_id", "pattern_no")
 
 
 def policy_window(spark: SparkSession, d: str) -> DataFrame:
