@@ -28,7 +28,7 @@ def rank_bounds(replicates: int, alpha: float) -> tuple[int, int]:
 def _with_places(pairs: DataFrame) -> DataFrame:
     """Which votes (0-based by seq) the two draws of pair ``half`` take; the second is null past
     the last draw of an odd run."""
-    hashed = pairs.withColumn("__digest", pair_digest(F.col("seed"), F.col("rep"), F.col("half")))
+    hashed = pairs.withColumn("__digest", pair_digest(F.col("__seed"), F.col("rep"), F.col("half")))
     first = F.pmod(pair_draw(F.col("__digest"), False), F.col("n"))
     second = F.pmod(pair_draw(F.col("__digest"), True), F.col("n"))
     return hashed.withColumns(
@@ -38,7 +38,7 @@ def _with_places(pairs: DataFrame) -> DataFrame:
 
 def _from_arrays(votes: DataFrame, run: list[str], replicates: int) -> DataFrame:
     """Replicate shares of runs whose votes fit an array: no draw is ever shuffled."""
-    arrays = votes.groupBy(*run, "seed").agg(
+    arrays = votes.groupBy(*run, "__seed").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("seq", "stance"))), lambda s: s["stance"]
         ).alias("stances")
@@ -93,8 +93,8 @@ def bootstrap_interval(
     it. Small and large runs are routed differently and use the same draws.
     """
     run = list(run)
-    post = votes.where(F.col("phase") == "post").select(*run, seed.alias("seed"), "seq", "stance")
-    sizes = post.groupBy(*run, "seed").agg(F.count(F.lit(1)).alias("n"))
+    post = votes.where(F.col("phase") == "post").select(*run, seed.alias("__seed"), "seq", "stance")
+    sizes = post.groupBy(*run, "__seed").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > array_votes)
     n_large = large.limit(BROADCAST_ROWS + 1).count()
     if n_large == 0:
