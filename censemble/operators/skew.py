@@ -30,26 +30,28 @@ def split_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     spread_by: Sequence[str] | None = None,
-    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join ``facts`` (many rows per key) to ``lookup`` (few rows per key).
 
-    Keys with more than ``hot_rows`` fact rows are cut into that many pieces; their lookup rows
-    are repeated once per piece. ``counts`` may bring per-key row counts (column ``__rows``) that
-    an earlier aggregate already has; keys must not be null for rows that should match.
+    Keys with more than about ``hot_rows`` fact rows are cut into that many pieces by a hash of
+    ``spread_by``; their lookup rows are repeated once per piece. Hot keys are found on a hash
+    sample of the keys, which only decides how rows are dealt out: every row is joined. Keys must
+    not be null for rows that should match.
     """
     if how not in ("inner", "left"):
         raise ValueError("split_join keeps fact rows apart, so only inner and left joins are safe")
     keys = list(keys)
-    if counts is None:
-        counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    spread = [F.col(c) for c in (spread_by or facts.columns)]
+    # A hot key still has a thousand rows in the sample.
+    rate = max(1, min(256, hot_rows // 1000))
+    sampled = facts.where(F.pmod(F.xxhash64(*spread, F.lit(rate)), F.lit(rate)) == 0) if rate > 1 else facts
+    counts = sampled.groupBy(*keys).agg((F.count(F.lit(1)) * rate).alias("__rows"))
     hot = counts.where(F.col("__rows") > hot_rows).select(
         *keys, F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__pieces")
     )
-    # The size of `hot` is at most rows / hot_rows by counting.
+    # At most rows / hot_rows keys can be above the line, whatever the data.
     hot = F.broadcast(hot)
     pieces = F.coalesce(F.col("__pieces"), F.lit(1))
-    spread = [F.col(c) for c in (spread_by or facts.columns)]
     left = (
         facts.join(hot, keys, "left")
         .withColumn("__piece", F.pmod(F.xxhash64(*spread), pieces).cast("int"))
@@ -134,12 +136,9 @@ def sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], o
     bases = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     placed = placed.join(F.broadcast(bases), "__part").withColumn("__at", F.col("__base") + F.col("__row"))
     starts = placed.groupBy(*keys).agg(
-        F.min("__at").alias("__start"), F.count(F.lit(1)).alias("__rows")
-    )
-    joined = split_join(
-        placed, starts.withColumnRenamed("__rows", f"{out}_of"), keys, "inner",
-        spread_by=["__at"], counts=starts.select(*keys, "__rows"),
+        F.min("__at").alias("__start"), F.count(F.lit(1)).alias(f"{out}_of")
     )
+    joined = split_join(placed, starts, keys, "inner", spread_by=["__at"])
     return joined.withColumn(out, F.col("__at") - F.col("__start")).drop(
         "__id", "__part", "__row", "__base", "__at", "__start"
     )

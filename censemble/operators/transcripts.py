@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from censemble.functions import fixed
 from censemble.functions.text import transcript_line
-from censemble.operators.skew import BLOCK_BITS, first_k, positions, sorted_positions, split_join
+from censemble.operators.skew import first_k, positions, sorted_positions, split_join
+
+# Statements per window block, as a power of two; smaller than elsewhere since they carry text.
+CONTEXT_BLOCK_BITS = 16
 
 
 def _line() -> Column:
@@ -28,7 +31,7 @@ def recent_context(
     statements: DataFrame,
     run: Sequence[str],
     limit: int = fixed.SPEAKING_CONTEXT,
-    block_bits: int = BLOCK_BITS,
+    block_bits: int = CONTEXT_BLOCK_BITS,
 ) -> DataFrame:
     """Per statement, the text of the ``limit`` statements before it in the run.
 
@@ -129,19 +132,6 @@ def next_speakers(roster: DataFrame, statements: DataFrame, run: Sequence[str])
     )
 
 
-def counterfactual_requests(
-    personas: DataFrame, contexts: DataFrame, run: Sequence[str]
-) -> DataFrame:
-    """One vote request per run, persona and left-out speaker, with the ablated context.
-
-    The size is the feature: every persona votes again for every speaker. Rows are made by an
-    equi-join on the run, spread over tasks by persona; contexts are the small side.
-    """
-    return split_join(
-        personas.select(*run, "persona_id"), contexts, list(run), "inner", spread_by=["persona_id"]
-    )
-
-
 def speaker_influence(
     baseline: DataFrame, counterfactual: DataFrame, statements: DataFrame, run: Sequence[str]
 ) -> DataFrame:

@@ -52,20 +52,12 @@ def ballots(votes: DataFrame, run: Sequence[str], hot_rows: int = HOT_ROWS) -> D
 
     Columns: n_post, stance_sum, n_matched, abs_delta_sum, n_flips. The last pre vote by seq
     counts; post votes are all kept. Only the comparison with the pre vote needs single post
-    votes; a persona with very many of them is spread over tasks by ``split_join``, with the
-    counts the first aggregate already made.
+    votes; a persona with very many of them is spread over tasks by ``split_join``.
     """
     key = [*run, "persona_id"]
-    last_pre = votes.groupBy(*key).agg(
-        F.max_by(F.when(F.col("phase") == "pre", F.col("stance")), F.when(F.col("phase") == "pre", F.col("seq")))
-        .alias("pre_stance"),
-        F.count(F.when(_is_post(), 1)).alias("__rows"),
-    )
+    pre = votes.where(F.col("phase") == "pre").groupBy(*key).agg(F.max_by("stance", "seq").alias("pre_stance"))
     post = votes.where(_is_post()).select(*key, "seq", "stance")
-    paired = split_join(
-        post, last_pre.select(*key, "pre_stance"), key, "left", hot_rows,
-        spread_by=["seq"], counts=last_pre.select(*key, "__rows"),
-    )
+    paired = split_join(post, pre, key, "left", hot_rows, spread_by=["seq"])
     delta = F.col("stance") - F.col("pre_stance")
     flip = says_yes(F.col("stance")) != says_yes(F.col("pre_stance"))
     return paired.groupBy(*key).agg(
@@ -102,6 +94,11 @@ def opinion_change(votes: DataFrame, run: Sequence[str], hot_rows: int = HOT_ROW
     )
 
 
+def _labelled(axis: str) -> Column:
+    """A set of values as (axis, value) entries."""
+    return F.transform(axis, lambda v: F.struct(F.lit(axis).alias("axis"), v.alias("value")))
+
+
 def segment_breakdown(
     votes: DataFrame,
     personas: DataFrame,
@@ -115,18 +112,14 @@ def segment_breakdown(
     two values on an axis counts under both.
     """
     key = [*run, "persona_id"]
-    # Two rows with the same id and value are one membership.
-    members = personas.select(*key, *axes).distinct()
-    long = members.select(
-        *key,
-        F.explode(F.array(*[
-            F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in axes
-        ])).alias("m"),
-    ).select(*key, "m.axis", "m.value").distinct()
-    voted = ballots(votes, run)
-    # One row per key on the right and at most a few dozen on the left, whatever the vote skew;
-    # values without any voting persona stay, with n = 0.
-    joined = long.join(voted, key, "left")
+    # Rows with the same id and value are one membership. A set holds the few values of an axis,
+    # so a persona is one row here however often it was drawn, and meets its one ballot row.
+    members = personas.groupBy(*key).agg(*[F.collect_set(a).alias(a) for a in axes])
+    joined = members.join(ballots(votes, run), key, "left").select(
+        *run, "n_post", "stance_sum", "n_matched", "abs_delta_sum",
+        F.explode(F.concat(*[_labelled(a) for a in axes])).alias("m"),
+    ).select("*", "m.axis", "m.value")
+    # Values without any voting persona stay, with n = 0.
     n = F.coalesce(F.sum("n_post"), F.lit(0).cast("bigint"))
     matched = F.sum("n_matched")
     return joined.groupBy(*run, "axis", "value").agg(

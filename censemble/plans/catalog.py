@@ -453,12 +453,6 @@ def ablated_context(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("context_md5", F.md5(F.col("context").cast("binary"))).drop("context")
 
 
-def counterfactual_requests(spark: SparkSession, d: str) -> DataFrame:
-    contexts = transcripts.ablated_context(fx.statements(spark, d), ["run_id"])
-    asked = transcripts.counterfactual_requests(fx.roster(spark, d), contexts, ["run_id"])
-    return asked.withColumn("context_md5", F.md5(F.col("context").cast("binary"))).drop("context")
-
-
 def statement_counts(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.statement_counts(fx.statements(spark, d), ["run_id"])
 
@@ -469,7 +463,7 @@ def next_speakers(spark: SparkSession, d: str) -> DataFrame:
 
 def speaker_influence(spark: SparkSession, d: str) -> DataFrame:
     out = transcripts.speaker_influence(
-        fx.baseline(spark, d), fx.counterfactual(spark, d), fx.statements(spark, d), ["run_id"]
+        fx.baseline(spark, d), fx.counterfactual(spark, d), fx.run_statements(spark, d), ["run_id"]
     )
     return transcripts.ranked_influence(rounded(out), ["run_id"])
 
@@ -561,7 +555,6 @@ QUERIES: dict[str, Query] = {
     "recent_context": recent_context,
     "final_context": final_context,
     "ablated_context": ablated_context,
-    "counterfactual_requests": counterfactual_requests,
     "statement_counts": statement_counts,
     "next_speakers": next_speakers,
     "speaker_influence": speaker_influence,

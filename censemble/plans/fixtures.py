@@ -189,22 +189,36 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("run_id", F.posexplode(F.array(*[F.lit(s) for s in seats])).alias("draw_no", "persona_id"))
 
 
+def run_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations dealt out over the five runs, nine voices in each."""
+    return table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("wa_"), pick(RUNS, F.col("conv_id") % 5)).alias("run_id"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("seq"),
+        F.when(F.col("role") == "system", fixed.MODERATOR)
+        .otherwise(F.concat(F.lit("s"), ((F.col("conv_id") + F.col("turn")) % 9).cast("string"))).alias("speaker_id"),
+        (F.char_length("text") % 5 == 0).alias("flagged"),
+    )
+
+
+def _event_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("wa_"), F.col("event_type")).alias("run_id"),
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("persona_id"),
+        F.col("event_id").alias("seq"),
+        F.least(F.lit(1.0), F.col("value") / 100.0).alias("stance"),
+        (F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).alias("early"),
+    )
+
+
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stance = ((F.col("run_id") * 7 + F.col("draw_no") * 13) % 101) / 100.0
-    return roster(spark, sf_dir).select("run_id", "persona_id", F.col("draw_no").alias("seq"), stance.alias("stance"))
+    """Votes with the full context: the events before mid-January."""
+    return _event_votes(spark, sf_dir).where("early").select("run_id", "persona_id", "seq", "stance")
 
 
 def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vote of every seat for every speaker left out, moved by how much that speaker said."""
-    said = (
-        statements(spark, sf_dir)
-        .where(F.col("speaker_id") != fixed.MODERATOR)
-        .groupBy("run_id", "speaker_id")
-        .agg(F.sum(F.char_length("text")).alias("chars"))
-    )
-    stance = ((F.col("run_id") * 7 + F.col("draw_no") * 13 + F.col("chars")) % 101) / 100.0
-    return said.join(roster(spark, sf_dir), "run_id").select(
-        "run_id", "speaker_id", "persona_id", stance.alias("stance")
+    """Votes with one of seven speakers left out: the events from mid-January on."""
+    return _event_votes(spark, sf_dir).where("not early").select(
+        "run_id", F.concat(F.lit("s"), (F.col("seq") % 7).cast("string")).alias("speaker_id"), "persona_id", "stance"
     )
 
 

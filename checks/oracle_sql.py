@@ -350,8 +350,10 @@ def query(needs: list[str], select: str) -> str:
 
     for name in needs:
         visit(name)
-    fragments = [f"{n} AS ({CTES[n][1]})" for n in ordered]
     body = select.strip()
+    if not ordered:
+        return body
+    fragments = [f"{n} AS ({CTES[n][1]})" for n in ordered]
     if body.startswith("WITH "):
         return "WITH " + ",\n".join(fragments) + ",\n" + body[len("WITH "):]
     return "WITH " + ",\n".join(fragments) + "\n" + body
@@ -586,8 +588,6 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS back FROM lines)
         WHERE back <= 20 GROUP BY run_id"""),
     "ablated_context": query(["ablated"], "SELECT run_id, speaker_id, md5(context) AS context_md5 FROM ablated"),
-    "counterfactual_requests": query(["ablated", "roster"], """
-        SELECT run_id, persona_id, speaker_id, md5(context) AS context_md5 FROM roster JOIN ablated USING (run_id)"""),
     "statement_counts": query(["statements"], """
         SELECT run_id, speaker_id, count(*) AS n_statements, count(*) FILTER (flagged) AS n_flagged
         FROM statements GROUP BY ALL"""),
@@ -598,16 +598,18 @@ ORACLE: dict[str, str] = {
         placed AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n_spoken, persona_id, draw_no) AS turn,
                           count(*) OVER (PARTITION BY run_id) AS seats FROM counted)
         SELECT run_id, persona_id, draw_no, n_spoken, turn FROM placed WHERE turn <= greatest(1, seats // 3)"""),
-    "speaker_influence": query(["roster", "statements"], """
-        WITH said AS (SELECT run_id, speaker_id, count(*) AS n_statements, sum(length(text)) AS chars
-                      FROM statements WHERE speaker_id <> 'moderator' GROUP BY ALL),
-             moved AS (SELECT run_id, speaker_id, n_statements,
-                         ((run_id * 7 + draw_no * 13) % 101) / 100.0::DOUBLE
-                         - ((run_id * 7 + draw_no * 13 + chars) % 101)::BIGINT / 100.0::DOUBLE AS shift
-                       FROM said JOIN roster USING (run_id))
-        SELECT run_id, speaker_id, any_value(n_statements) AS n_statements, count(*) AS n_personas,
-               round(avg(shift), 6) + 0.0 AS mean_signed_shift, round(avg(abs(shift)), 6) AS mean_abs_shift
-        FROM moved GROUP BY run_id, speaker_id"""),
+    "speaker_influence": query([], f"""
+        WITH said AS (SELECT 'wa_' || {_pick(fx.RUNS, 'conv_id % 5')} AS run_id, 's' || ((conv_id + turn) % 9) AS speaker_id,
+                             count(*) AS n_statements
+                      FROM conversations WHERE role <> 'system' GROUP BY ALL),
+             base AS (SELECT event_type, user_id, arg_max(least(1.0, value / 100.0), event_id) AS b
+                      FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL),
+             moved AS (SELECT 'wa_' || e.event_type AS run_id, 's' || (event_id % 7) AS speaker_id,
+                              b - least(1.0, value / 100.0) AS shift
+                       FROM events e JOIN base USING (event_type, user_id) WHERE ts >= TIMESTAMP '2024-01-16')
+        SELECT s.run_id, s.speaker_id, any_value(n_statements) AS n_statements, count(shift) AS n_personas,
+               round(coalesce(avg(shift), 0.0), 6) + 0.0 AS mean_signed_shift, round(coalesce(avg(abs(shift)), 0.0), 6) AS mean_abs_shift
+        FROM said s LEFT JOIN moved USING (run_id, speaker_id) GROUP BY s.run_id, s.speaker_id"""),
     "unknown_models": query(["calls", "prices"], """
         SELECT model, count(*) AS calls FROM calls WHERE model NOT IN (SELECT model FROM prices) GROUP BY model"""),
     "spend_by_model": query(["priced"], """

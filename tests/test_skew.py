@@ -116,3 +116,17 @@ def test_numbered_rows(spark):
     df = spark.createDataFrame([("a", 7), ("b", 1), ("c", 0)], "key string, n long")
     rows = numbered_rows(df, "n", "no", ["key"], chunk=3).collect()
     assert sorted((r.key, r.no) for r in rows) == [*[("a", i) for i in range(7)], ("b", 0)]
+
+
+def test_hot_keys_found_on_a_sample(spark):
+    """From 2000 rows per piece on, hot keys are found on a hash sample of the rows."""
+    facts = spark.range(24_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("key"), "id"
+    )
+    lookup = spark.range(500).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("w")).unionByName(
+        spark.createDataFrame([("hot", -1)], "key string, w long")
+    )
+    got = split_join(facts, lookup, ["key"], "inner", hot_rows=2000, spread_by=["id"])
+    assert "__piece" in got._jdf.queryExecution().executedPlan().toString()
+    sums = got.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum((F.col("key") == "hot").cast("int")).alias("hot")).first()
+    assert (sums.n, sums.ids, sums.hot) == (24_000, 24_000, 8_000)

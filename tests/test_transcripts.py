@@ -117,11 +117,3 @@ def test_statement_counts(spark, said):
     rows = tr.statement_counts(spark.createDataFrame(said, STATEMENTS), ["run"]).collect()
     assert sum(r.n_statements for r in rows) == len(said)
     assert sum(r.n_flagged for r in rows) == sum(1 for r in said if r[5])
-
-
-def test_counterfactual_requests_pair_within_the_run(spark, said):
-    df = spark.createDataFrame(said, STATEMENTS)
-    people = spark.createDataFrame([("small", "a"), ("small", "b"), ("hot", "c")], "run string, persona_id string")
-    got = tr.counterfactual_requests(people, tr.ablated_context(df, ["run"]), ["run"])
-    voices = {run: len({r[2] for r in rows} - {"moderator"}) for run, rows in by_run(said).items()}
-    assert got.count() == 2 * voices["small"] + voices["hot"]
