@@ -33,6 +33,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 VERSIONS = {"acs": "5yr_2018_2022", "anes": "2020_ts", "cces": "2018_cc"}
 CAP_USD = "0.01"
 DIGITS = 6
+# Missing whole numbers are shown as this, so that result columns stay integers everywhere.
+MISSING = -9
+ANSWERS = ["climate", "guns", "taxes", "ideology_units"]
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -192,9 +195,9 @@ def run_artifact(spark: SparkSession, d: str) -> DataFrame:
     return _artifact_parts(spark, d).select(
         "measure_id", F.col("seed").cast("bigint").alias("seed"), "part",
         F.col("report").isNotNull().alias("has_report"),
-        F.size("statements").alias("n_statements"),
-        F.size("votes").alias("n_votes"),
-        F.size("personas").alias("n_personas"),
+        F.size("statements").cast("bigint").alias("n_statements"),
+        F.size("votes").cast("bigint").alias("n_votes"),
+        F.size("personas").cast("bigint").alias("n_personas"),
         F.array_join(F.transform(F.filter("personas", lambda p: p["priors"]["party_id"] == "dem"),
                                  lambda p: p["persona_id"]), ",").alias("democrats"),
     )
@@ -216,11 +219,12 @@ def explode_artifact_statements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def survey_coded_recode(spark: SparkSession, d: str) -> DataFrame:
-    return recode_coded_survey(fx.survey_coded(spark, d)).drop("ideology_scale")
+    return recode_coded_survey(fx.survey_coded(spark, d)).drop("ideology_scale").fillna(MISSING, ANSWERS)
 
 
 def survey_labels_recode(spark: SparkSession, d: str) -> DataFrame:
-    return recode_label_survey(fx.survey_labels(spark, d)).drop("ideology_scale", "race_eth")
+    recoded = recode_label_survey(fx.survey_labels(spark, d))
+    return recoded.drop("ideology_scale", "race_eth").fillna(MISSING, ANSWERS)
 
 
 # --- priors and sampling ---------------------------------------------------------------------
@@ -292,7 +296,7 @@ def briefing_prompts(spark: SparkSession, d: str) -> DataFrame:
         con=text.bullets(F.col("con_arguments")),
     )
     return loaded.select("measure_id", F.md5(prompt.cast("binary")).alias("prompt_md5"),
-                         F.char_length(prompt).alias("prompt_chars"))
+                         F.char_length(prompt).cast("bigint").alias("prompt_chars"))
 
 
 def validate_personas(spark: SparkSession, d: str) -> DataFrame:
@@ -422,7 +426,7 @@ def contamination_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def policy_input(spark: SparkSession, d: str) -> DataFrame:
     found = policy.with_first_match(fx.requests(spark, d), "text", policy.REQUEST, "pattern_no")
-    return found.select("request_id", "pattern_no")
+    return found.select("request_id", F.coalesce("pattern_no", F.lit(0)).alias("pattern_no"))
 
 
 def policy_window(spark: SparkSession, d: str) -> DataFrame:
@@ -432,7 +436,7 @@ def policy_window(spark: SparkSession, d: str) -> DataFrame:
 
 def policy_output(spark: SparkSession, d: str) -> DataFrame:
     return policy.gate_output(fx.report_texts(spark, d), "text").select(
-        "doc_id", F.char_length("text").alias("n_chars")
+        "doc_id", F.char_length("text").cast("bigint").alias("n_chars")
     )
 
 
@@ -497,7 +501,8 @@ def model_stamp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retry_classes(spark: SparkSession, d: str) -> DataFrame:
-    return spend.classify_failures(fx.calls(spark, d)).select("run_id", "seq", "status", "retryable", "delay_s")
+    classified = spend.classify_failures(fx.calls(spark, d)).fillna(MISSING, ["status"])
+    return classified.select("run_id", "seq", "status", "retryable", "delay_s")
 
 
 QUERIES: dict[str, Query] = {

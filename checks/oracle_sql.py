@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from censemble.functions import fixed
 from censemble.plans import fixtures as fx
-from censemble.plans.catalog import BRIEFING_TEMPLATE, CAP_USD, VERSIONS
+from censemble.plans.catalog import ANSWERS, BRIEFING_TEMPLATE, CAP_USD, MISSING, VERSIONS
 
 
 def _text(value) -> str:
@@ -393,6 +393,8 @@ for _field in (
     _backstory = _backstory.replace("%s", f"' || {_field.replace('%', '@')} || '", 1)
 _backstory = _backstory.replace("@", "%")
 
+_ANSWERS = ", ".join(f"coalesce({a}, {MISSING})::INTEGER AS {a}" for a in ANSWERS)
+
 ORACLE: dict[str, str] = {
     "scan_microdata": query(["microdata"], """
         SELECT ST, count(*) AS records, sum(PWGTP)::BIGINT AS weight, count(SCHL) AS with_schooling,
@@ -440,8 +442,8 @@ ORACLE: dict[str, str] = {
     "explode_artifact_statements": query(["statements"], f"""
         SELECT 'wa_' || {_pick(fx.RUNS, 'run_id % 5')} AS measure_id, run_id * 100 + seq AS seq, speaker_id, round,
                md5(text) AS text_md5, flagged FROM statements"""),
-    "recode_survey_coded": query(["coded"], "SELECT * FROM coded"),
-    "recode_survey_labels": query(["labels_recoded"], "SELECT * FROM labels_recoded"),
+    "recode_survey_coded": query(["coded"], f"SELECT party_id, education, age_band, race_eth, {_ANSWERS} FROM coded"),
+    "recode_survey_labels": query(["labels_recoded"], f"SELECT party_id, education, age_band, {_ANSWERS} FROM labels_recoded"),
     "priors_coded": query(["priors_coded"], f"SELECT party_id, education, age_band, {_r(VALUES4)}, cell_n FROM priors_coded"),
     "priors_labels": query(["priors_labels"], f"SELECT party_id, education, age_band, {_r(VALUES4)}, cell_n FROM priors_labels"),
     "party_backoff": query(["party_dist"], f"""
@@ -573,7 +575,7 @@ ORACLE: dict[str, str] = {
                CASE WHEN NOT knows OR yes_pct IS NULL THEN 'NONE' WHEN abs(yes_pct - actual_yes_pct) <= 5 THEN 'HIGH'
                     WHEN abs(yes_pct - actual_yes_pct) <= 15 THEN 'MODERATE' ELSE 'LOW' END AS flag
         FROM probes_read"""),
-    "policy_input": query(["requests"], f"SELECT request_id, {_first_pattern(fixed.REQUEST_PATTERNS)} AS pattern_no FROM requests"),
+    "policy_input": query(["requests"], f"SELECT request_id, coalesce({_first_pattern(fixed.REQUEST_PATTERNS)}, 0) AS pattern_no FROM requests"),
     "policy_window": query(["requests"], f"""
         SELECT request_id, reason IS NOT NULL AS refused, reason FROM (
           SELECT request_id, CASE WHEN {_first_pattern(fixed.REQUEST_PATTERNS)} IS NOT NULL THEN 'category'
@@ -625,7 +627,7 @@ ORACLE: dict[str, str] = {
     "model_stamp": query(["calls"], """
         SELECT run_id, 'gemini:' || string_agg(DISTINCT model, '+' ORDER BY model) AS stamp FROM calls GROUP BY run_id"""),
     "retry_classes": query(["calls"], r"""
-        SELECT run_id, seq, status, status IS NULL OR status IN (408, 429) OR status >= 500 AS retryable,
+        SELECT run_id, seq, coalesce(status, -9) AS status, status IS NULL OR status IN (408, 429) OR status >= 500 AS retryable,
                TRY_CAST(nullif(regexp_extract(error, 'seconds:\s*(\d+)', 1), '') AS DOUBLE) AS delay_s
         FROM calls"""),
 }
