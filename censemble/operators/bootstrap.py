@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from censemble.functions import fixed
 from censemble.functions.uniform import pair_digest, pair_draw
-from censemble.operators.skew import BROADCAST_ROWS, dealt_out, numbered_rows, positions
+from censemble.operators.skew import BROADCAST_ROWS, dealt_out, numbered_rows, positions, split_join
 
 # Runs up to this many votes are resampled from one array per run; larger ones by a join.
 ARRAY_VOTES = 65_536
@@ -100,11 +100,14 @@ def bootstrap_interval(
     if n_large == 0:
         shares = _from_arrays(post, run, replicates)
     else:
-        # At most votes / array_votes runs; broadcast only when checked to be few.
-        ids = large.select(*run)
-        ids = F.broadcast(ids) if n_large <= BROADCAST_ROWS else ids
-        small_votes = post.join(ids, run, "left_anti")
-        large_votes = post.join(ids, run, "left_semi")
+        # At most votes / array_votes runs; broadcast when checked to be few, else split.
+        ids = large.select(*run, F.lit(True).alias("__large"))
+        if n_large <= BROADCAST_ROWS:
+            routed = post.join(F.broadcast(ids), run, "left")
+        else:
+            routed = split_join(post, ids, run, "left", spread_by=["seq"])
+        small_votes = routed.where(F.col("__large").isNull()).drop("__large")
+        large_votes = routed.where(F.col("__large").isNotNull()).drop("__large")
         shares = _from_arrays(small_votes, run, replicates).unionByName(
             _from_join(large_votes, large, run, replicates)
         )

@@ -144,31 +144,16 @@ def sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], o
     )
 
 
-def first_k(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    k: int,
-    slice_by: Sequence[str],
-    salts: int = 64,
-) -> DataFrame:
-    """The first ``k`` rows per key in ``order`` (``k`` a small constant).
+def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """The first ``k`` rows per key in ``order`` (``k`` a small constant, at most 1000).
 
-    Two rounds: within ``salts`` slices of each key, then over the at most k * salts survivors.
-    Spark also limits each group before the shuffle, so a hot key sends k rows per map task.
+    Spark limits each group before the shuffle as well, so a hot key brings at most k rows per
+    map task to the one task that ranks it.
     """
-    slice_ = F.pmod(F.xxhash64(*[F.col(c) for c in slice_by]), F.lit(salts))
-    sliced = df.withColumn("__slice", slice_)
-    some = (
-        sliced.withColumn("__rn", F.row_number().over(W.partitionBy(*keys, "__slice").orderBy(*order)))
-        .where(F.col("__rn") <= k)
-        .drop("__rn", "__slice")
-    )
-    return (
-        some.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-        .where(F.col("__rn") <= k)
-        .drop("__rn")
-    )
+    if k > 1000:
+        raise ValueError("above 1000 Spark no longer limits groups before the shuffle")
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rn", rank).where(F.col("__rn") <= k).drop("__rn")
 
 
 def dealt_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:

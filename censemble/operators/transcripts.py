@@ -64,7 +64,7 @@ def final_context(statements: DataFrame, run: Sequence[str], limit: int = fixed.
     """Per run, the text of its last ``limit`` statements."""
     run = list(run)
     lines = statements.select(*run, "seq", _line().alias("line"))
-    last = first_k(lines, run, [F.col("seq").desc()], limit, slice_by=["seq"])
+    last = first_k(lines, run, [F.col("seq").desc()], limit)
     # `limit` rows per run.
     return last.groupBy(*run).agg(
         _joined(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda s: s["line"]))
@@ -89,8 +89,8 @@ def ablated_context(
     run = list(run)
     lines = statements.select(*run, "seq", "speaker_id", _line().alias("line"))
     newest = [F.col("seq").desc()]
-    own_last = first_k(lines, [*run, "speaker_id"], newest, limit, slice_by=["seq"])
-    tail = first_k(own_last, run, newest, 2 * limit, slice_by=["seq"])
+    own_last = first_k(lines, [*run, "speaker_id"], newest, limit)
+    tail = first_k(own_last, run, newest, 2 * limit)
     tails = tail.groupBy(*run).agg(
         F.sort_array(F.collect_list(F.struct("seq", "speaker_id", "line"))).alias("__tail")
     )

@@ -12,6 +12,7 @@ from censemble.functions.policy import check_requests
 from censemble.operators import spend, transcripts
 from censemble.operators import votes as vot
 from censemble.operators.bootstrap import bootstrap_interval
+from censemble.operators.calibration import contamination
 from censemble.sources import readers, writers
 
 RUN = ["measure_id", "seed"]
@@ -76,6 +77,11 @@ def influence_report(
     )
 
 
+def contamination_report(probes: DataFrame, out: str) -> None:
+    """Probe results with error and flag as JSON, one row per measure and seed."""
+    writers.write_report(contamination(probes).drop("response"), out)
+
+
 def report_artifacts(spark: SparkSession, artifacts_path: str, measures: DataFrame, calls: DataFrame, out: str) -> None:
     """Read run artifacts, work out reports and segments, and write them through the output gate."""
     artifacts = readers.read_artifacts(spark, artifacts_path)

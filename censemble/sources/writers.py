@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from censemble.functions.policy import gate_output
+from censemble.functions.policy import OUTPUT, gate_output, with_first_match
+from censemble.operators.skew import lookup_join
 from censemble.sources import schemas
 from censemble.sources.files import exists, replace_folder
 
@@ -81,7 +82,7 @@ def run_artifacts(
     """Nested records per run (measure_id, seed) and part: report, statements, votes, personas.
 
     ``reports``: measure_id, seed, report (JSON text). Entries go to part seq div part_size, so
-    every list is bounded and in order.
+    every list is bounded and in order. A run whose report text is refused has no record at all.
     """
     run = ["measure_id", "seed"]
 
@@ -106,16 +107,18 @@ def run_artifacts(
         .join(listed(votes, "seq", schemas.VOTE, "votes"), key, "full")
         .join(listed(nested, "draw_no", schemas.PERSONA, "personas"), key, "full")
     )
-    first = reports.select(*run, F.lit(0).cast("bigint").alias("part"), "report")
-    return lists.join(first, key, "full").select(
+    checked = with_first_match(reports, "report", OUTPUT, "__pattern")
+    refused = checked.where(F.col("__pattern").isNotNull()).select(*run, F.lit(True).alias("__refused"))
+    first = gate_output(reports, "report").select(*run, F.lit(0).cast("bigint").alias("part"), "report")
+    kept = lookup_join(lists, refused, run, "left").where(F.col("__refused").isNull())
+    return kept.join(first, key, "full").select(
         *key, "report", *[F.coalesce(F.col(c), F.array()).alias(c) for c in ("statements", "votes", "personas")]
     )
 
 
 def write_artifacts(artifacts: DataFrame, path: str) -> None:
     """Artifacts as JSON by measure; the seed stays in every record, so sweeps do not collide."""
-    kept = gate_output(artifacts, "report")
-    kept.write.mode("append").partitionBy("measure_id").json(path)
+    artifacts.write.mode("append").partitionBy("measure_id").json(path)
 
 
 def write_report(report: DataFrame, path: str, text_columns: tuple[str, ...] = ()) -> None:

@@ -100,7 +100,7 @@ def test_lookup_join_same_on_both_sides_of_the_limit(spark, skewed):
 def test_first_k_matches_sort(spark, skewed):
     df = spark.createDataFrame(skewed, "key string, seq long, value long")
     got = defaultdict(list)
-    for r in first_k(df, ["key"], [F.col("seq").desc()], 5, slice_by=["seq"], salts=8).collect():
+    for r in first_k(df, ["key"], [F.col("seq").desc()], 5).collect():
         got[r.key].append(r.seq)
     for key, entries in _grouped(skewed).items():
         assert sorted(got[key]) == sorted(s for s, _ in entries)[-5:]
@@ -108,7 +108,7 @@ def test_first_k_matches_sort(spark, skewed):
 
 def test_first_k_limits_before_the_shuffle(spark, skewed):
     df = spark.createDataFrame(skewed, "key string, seq long, value long")
-    plan = first_k(df, ["key"], [F.col("seq").desc()], 5, slice_by=["seq"])._jdf.queryExecution().executedPlan().toString()
+    plan = first_k(df, ["key"], [F.col("seq").desc()], 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 

@@ -137,15 +137,11 @@ def test_artifacts_round_trip(spark, tmp_path, part_size):
     path = str(tmp_path / "runs")
     writers.write_artifacts(nested, path)
     back = readers.read_artifacts(spark, path)
-    kept_votes = votes if part_size < 10_000 else votes.where("seed = 1")
-    columns = votes.columns
-    got = readers.artifact_votes(back).select(columns)
-    if part_size == 10_000:
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, kept_votes.collect()))
-        assert readers.artifact_statements(back).count() == 5
-        assert readers.artifact_personas(back).first().ideology_score == -0.4
-    # A refused report text is not written; its run's other parts carry no text.
-    assert "campaign" not in " ".join(r.report or "" for r in back.collect())
+    got = readers.artifact_votes(back).select(votes.columns)
+    # The second run's report is refused, so nothing of that run is written.
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, votes.where("seed = 1").collect()))
+    assert readers.artifact_statements(back).count() == 5
+    assert readers.artifact_personas(back).first().ideology_score == -0.4
 
 
 def test_reports_from_artifacts(spark, tmp_path):
@@ -167,6 +163,16 @@ def test_reports_from_artifacts(spark, tmp_path):
     assert groups.n_groups == 2 and groups.pooled_ci_low == pytest.approx(70.0)
 
 
+def test_contamination_report(spark, tmp_path):
+    probes = spark.createDataFrame(
+        [("wa_a", 1, '{"knows": true, "yes_pct": 52, "confidence": 0.5, "note": "n"}', 50.0), ("wa_a", 2, "?", 50.0)],
+        "measure_id string, seed int, response string, actual_yes_pct double",
+    )
+    backtest.contamination_report(probes, str(tmp_path / "c"))
+    rows = {r.seed: (r.flag, r.recall_error, r.knows) for r in spark.read.json(str(tmp_path / "c")).collect()}
+    assert rows == {1: ("HIGH", 2.0, True), 2: ("NONE", None, False)}
+
+
 def test_refused_measures_do_not_run(spark):
     raw = [("wa_a", "T", 2018, "WA", "x", None, None, f, "b", None, None, None, 5) for f in ("neutral", "How do we convert young rural voters?")]
     measures = readers.with_measure_defaults(spark.createDataFrame(raw, MEASURES))
