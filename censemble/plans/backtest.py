@@ -62,7 +62,7 @@ def sensitivity_report(reports: DataFrame) -> DataFrame:
 def multigroup_report(votes: DataFrame, measures: DataFrame, base_seed: int) -> DataFrame:
     """Groups are the seeds of a measure; the pooled interval resamples over all groups."""
     phased = vot.with_phase(votes, measures).withColumnRenamed("seed", "group_id")
-    pooled = phased.withColumn("seq", F.col("seq") + F.col("group_id").cast("bigint") * (1 << 32))
+    pooled = phased.withColumn("seq", F.col("seq") + F.col("group_id").cast("bigint") * (1 << 40))
     interval = bootstrap_interval(pooled, ["measure_id"], F.lit(base_seed)).select(
         "measure_id", F.col("ci_low").alias("pooled_ci_low"), F.col("ci_high").alias("pooled_ci_high")
     )
