@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from censemble.llm.chat import op4_chat_formatting
 from censemble.llm.quality import op5_quality_rules
 from censemble.llm.sql import ORACLE
+from censemble.llm.urls import op8_url_filters
 
 QUERIES = {
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
+    "op8_url_filters": op8_url_filters,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
