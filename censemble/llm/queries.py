@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from censemble.llm.binary import op6_token_binary
 from censemble.llm.chat import op4_chat_formatting
+from censemble.llm.pieces import op2_sentencepiece
 from censemble.llm.quality import op5_quality_rules
 from censemble.llm.sql import ORACLE
 from censemble.llm.urls import op8_url_filters
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_binary": op6_token_binary,
     "op8_url_filters": op8_url_filters,
 }
 
