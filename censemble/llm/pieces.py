@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from censemble.llm.flat import flat, sliced
 
@@ -353,9 +353,8 @@ def model(path: str) -> Model:
 def encode_pieces(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keys`` with ``ids``, ``begins`` and ``ends``: pieces and their byte spans in the text."""
     rows = docs.select(*keys, F.col(text).alias("__text"))
-    schema = rows.drop("__text").schema
-    for name in ("ids", "begins", "ends"):
-        schema = schema.add(name, ArrayType(IntegerType()))
+    added = [StructField(name, ArrayType(IntegerType())) for name in ("ids", "begins", "ends")]
+    schema = StructType([*rows.drop("__text").schema.fields, *added])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path)
@@ -373,7 +372,7 @@ def decode_pieces(coded: DataFrame, path: str, ids: str = "ids", out: str = "dec
     """Adds the decoded text of each list of ids; a null list decodes to an empty text."""
     if out in coded.columns:
         raise ValueError(f"{out} is a column already")
-    schema = coded.schema.add(out, StringType())
+    schema = StructType([*coded.schema.fields, StructField(out, StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path)
