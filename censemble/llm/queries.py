@@ -6,6 +6,7 @@ from censemble.llm.binary import op6_token_binary
 from censemble.llm.chat import op4_chat_formatting
 from censemble.llm.pieces import op2_sentencepiece
 from censemble.llm.quality import op5_quality_rules
+from censemble.llm.secrets import op10_secret_scans
 from censemble.llm.sql import ORACLE
 from censemble.llm.urls import op8_url_filters
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_binary": op6_token_binary,
     "op8_url_filters": op8_url_filters,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
