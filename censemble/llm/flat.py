@@ -76,21 +76,32 @@ def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower:
     code = mix(np.arange(1, 257, dtype=np.uint64) * _odd(seed))
     if lower:
         code = code[_LOWER]
-    # base**i and its inverse power, by running products modulo 2**64.
-    base = _odd(seed + 1000)
-    inverse = np.uint64(pow(int(base), -1, 2**64))
+    powers, back = _powers(len(buffer), seed)
     with np.errstate(over="ignore"):
-        powers = np.full(len(buffer), base, dtype=np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
         sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
         np.cumsum(code[buffer] * powers, out=sums[1:])
-        back = np.full(len(buffer), inverse, dtype=np.uint64)
-        back[0] = 1
-        np.cumprod(back, out=back)
         return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i below n, kept for the next buffer."""
+    known = _POWERS.get(seed)
+    if known is None or len(known[0]) < n:
+        base = int(_odd(seed + 1000))
+        tables = []
+        for factor in (base, pow(base, -1, 2**64)):
+            table = np.full(max(n, 1 << 16), factor, dtype=np.uint64)
+            table[0] = 1
+            with np.errstate(over="ignore"):
+                np.cumprod(table, out=table)
+            tables.append(table)
+        known = _POWERS[seed] = (tables[0], tables[1])
+    return known[0][:n], known[1][:n]
+
+
 def windows(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words inside one text, and the word at which each begins."""
     n = len(hashes) - width + 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from censemble.llm.binary import op6_token_binary
 from censemble.llm.chat import op4_chat_formatting
+from censemble.llm.passages import op9_substring_dedup
 from censemble.llm.pieces import op2_sentencepiece
 from censemble.llm.quality import op5_quality_rules
 from censemble.llm.secrets import op10_secret_scans
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_binary": op6_token_binary,
     "op8_url_filters": op8_url_filters,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 
