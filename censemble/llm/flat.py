@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are worked on at once inside a batch; one longer text is a slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 3_000_000
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -115,3 +115,33 @@ def windows(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndar
     text_end = np.repeat(before[1:], np.diff(before))[:n]
     whole = np.arange(n) + width <= text_end
     return mix(out[whole]), np.flatnonzero(whole)
+
+
+class Cache:
+    """A bounded table of byte strings: when the young half is full, it replaces the old half."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], most: int) -> None:
+        self.make, self.half = make, most // 2
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def look_up(self, keys: list[bytes]) -> list[bytes]:
+        """The value of every key; those that are not at hand are made in one call."""
+        young, old = self.young, self.old
+        out = [young.get(k) for k in keys]
+        new = []
+        for i, value in enumerate(out):
+            if value is None:
+                value = old.get(keys[i])
+                if value is None:
+                    new.append(i)
+                else:
+                    out[i] = young[keys[i]] = value
+        if new:
+            for i, value in zip(new, self.make([keys[i] for i in new]), strict=True):
+                out[i] = value
+                if len(keys[i]) <= 256:
+                    young[keys[i]] = value
+        if len(young) > self.half:
+            self.old, self.young = young, {}
+        return out

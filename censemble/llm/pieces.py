@@ -1,10 +1,10 @@
 """SentencePiece encoding with byte offsets, and decoding, over a BPE model file with byte fallback.
 
 Encoding normalises each text by longest prefixes of the model's compiled character map and keeps,
-for every normalised byte, the byte of the source it comes from. The normalised text is cut before
-each run of spaces: no piece of the vocabulary has a space behind another character (checked when
-the model is read), so merges never cross these cuts. Equal cuts of a batch are encoded once, and
-every piece is projected back to the bytes of the source.
+for every normalised byte, the byte of the source it comes from. The normalised text is cut between
+neighbours that no piece of the vocabulary holds side by side, such as a letter and a space, so
+merges never cross these cuts. Equal cuts of a batch are encoded once, and every piece is projected
+back to the bytes of the source.
 
 The model file is read from a path that every executor has; it is never copied.
 
@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from censemble.llm.flat import flat, sliced
+from censemble.llm.flat import Cache, flat, sliced
 
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 # Cuts whose pieces a task keeps at hand; beyond it the table starts anew.
 CACHED_CUTS = 500_000
 SHORT = 40
+# Rows that are decoded at once.
+DECODED_ROWS = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -122,8 +124,6 @@ class Model:
             if kind in (NORMAL, USER, UNUSED):
                 if kind != NORMAL:
                     raise ValueError("user-defined and unused pieces are not supported")
-                if " " in plain.lstrip(" "):
-                    raise ValueError(f"piece {i} has a space behind another character")
                 scores[plain], self.ids[plain] = score, i
             if kind == BYTE:
                 self.byte_ids[int(piece[3:5], 16)] = i
@@ -139,7 +139,14 @@ class Model:
         order = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {piece: order[x] for piece, x in scores.items()}
         self.sizes = np.array([len(x) for x in self.surface], dtype=np.int64)
-        self.cuts: dict[bytes, tuple[int, ...]] = {}
+        # Pairs of bytes that stand side by side in a piece.
+        self.joined = np.zeros((256, 256), dtype=bool)
+        for piece in scores:
+            data = np.frombuffer(piece.encode(), dtype=np.uint8)
+            self.joined[data[:-1], data[1:]] = True
+        # A character is never cut, whether the vocabulary has it or not.
+        self.joined[:, 0x80:0xC0] = True
+        self.cache = Cache(self._merge_new, CACHED_CUTS)
 
     def identity(self) -> bool:
         return not self.map.units and not self.squeeze
@@ -173,25 +180,20 @@ class Model:
             source = [source[0], *source]
         return bytes(out), [*source, end]
 
-    def merge(self, cut: bytes) -> tuple[int, ...]:
-        """Ids of a cut."""
-        found = self.cuts.get(cut)
-        if found is None:
-            if len(self.cuts) >= CACHED_CUTS:
-                self.cuts.clear()
+    def _merge_new(self, cuts: list[bytes]) -> list[bytes]:
+        """Ids of cuts, as 32-bit numbers."""
+        out = []
+        known, array = self.ids, np.array
+        for cut in cuts:
             symbols = list(cut.decode())
             symbols = self._short(symbols) if len(symbols) <= SHORT else self._long(symbols)
-            ids: list[int] = []
-            for s in symbols:
-                known = self.ids.get(s)
-                if known is not None:
-                    ids.append(known)
-                else:
-                    ids += [self.byte_ids[b] for b in s.encode()]
-            found = tuple(ids)
-            if len(cut) <= 256:
-                self.cuts[cut] = found
-        return found
+            try:
+                ids = [known[s] for s in symbols]
+            except KeyError:
+                each = ([known[s]] if s in known else [self.byte_ids[b] for b in s.encode()] for s in symbols)
+                ids = list(chain.from_iterable(each))
+            out.append(array(ids, np.int32).tobytes())
+        return out
 
     def _short(self, symbols: list[str]) -> list[str]:
         """Merge the best neighbours, the leftmost of equals, until none is left."""
@@ -255,9 +257,8 @@ class Model:
         if not len(buffer):
             none = pa.array([[]] * len(texts), pa.list_(pa.int32()))
             return none, none, none
-        space = buffer == 32
         cut = np.zeros(len(buffer) + 1, dtype=bool)
-        cut[1:-1] = space[1:] & ~space[:-1]
+        cut[1:-1] = ~self.joined[buffer[:-1], buffer[1:]]
         cut[at] = True
         cut[-1] = False
         begins = np.flatnonzero(cut)
@@ -265,11 +266,11 @@ class Model:
         cuts = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(buffer))]
         ).dictionary_encode()
-        merged = [self.merge(c) for c in cuts.dictionary.to_pylist()]
+        merged = self.cache.look_up(cuts.dictionary.to_pylist())
         which = cuts.indices.to_numpy()
-        counts = np.array([len(m) for m in merged], dtype=np.int64)
+        counts = np.array([len(m) for m in merged], dtype=np.int64) // 4
         offsets = np.concatenate([[0], np.cumsum(counts)])
-        all_ids = np.fromiter(chain.from_iterable(merged), np.int32, int(offsets[-1]))
+        all_ids = np.frombuffer(b"".join(merged), np.int32)
         n = counts[which]
         total = np.concatenate([[0], np.cumsum(n)])
         gather = np.arange(total[-1]) + np.repeat(offsets[which] - total[:-1], n)
@@ -277,10 +278,9 @@ class Model:
         sizes = self.sizes[ids]
         # Pieces lie end to end, so running sums give their place in the normalised buffer.
         after = np.cumsum(sizes, dtype=np.int64)
-        text_of_cut = np.searchsorted(at, begins, side="right") - 1
-        per_text = np.zeros(len(texts), dtype=np.int64)
-        np.add.at(per_text, text_of_cut, n)
-        bounds = np.concatenate([[0], np.cumsum(per_text)]).astype(np.int32)
+        # A text's cuts begin where the text does.
+        bounds = total[np.searchsorted(begins, at)].astype(np.int32)
+        per_text = np.diff(bounds)
         base = np.repeat(at[:-1], per_text)
         begin, end = after - sizes - base, after - base
         if sources is None:
@@ -376,11 +376,13 @@ def decode_pieces(coded: DataFrame, path: str, ids: str = "ids", out: str = "dec
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, coder.decode(batch.column(batch.schema.names.index(ids)))],
-                names=[*batch.schema.names, out],
-            )
+        for whole in batches:
+            for begin in range(0, whole.num_rows, DECODED_ROWS):
+                batch = whole.slice(begin, DECODED_ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, coder.decode(batch.column(batch.schema.names.index(ids)))],
+                    names=[*batch.schema.names, out],
+                )
 
     return coded.mapInArrow(run, schema)
 
@@ -400,11 +402,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece count and digests of ids and decoded text of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = default_model()
-    coded = decode_pieces(encode_pieces(docs, path), path)
-    return coded.select(
+    coded = encode_pieces(docs, path).select(
+        "doc_id", "ids", F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes")
+    )
+    return decode_pieces(coded, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         digest(F.col("ids")).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_bytes",
     )
