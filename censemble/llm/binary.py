@@ -19,10 +19,11 @@ gives an empty set. Extra columns of the input are never read.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from censemble.llm.flat import flat, sliced
+from censemble.llm.flat import Cache, flat, sliced
 from censemble.session import scratch_path
 
 BLOCK_IDS = 65_536
 SHARD_BYTES = 16_000_000
-CACHED_CUTS = 500_000
+CACHED_CUTS = 800_000
 RECORDS = (
     "b struct<shard:int, block:bigint, n_ids:int, planes:array<binary>>, "
     "e struct<shard:int, block:bigint, entry:bigint, doc_id:bigint, in_block:int, n_ids:bigint>"
@@ -47,17 +48,19 @@ RECORDS = (
 class Coder:
     """Ids of the tokenizers library, each distinct cut of a batch encoded once.
 
-    A byte-level vocabulary's splitting pattern never joins what stands before a single space to
-    what follows it, if neither neighbour is white space; texts are cut there.
+    A byte-level vocabulary's splitting pattern has a boundary before white space that follows
+    another character, after a newline that stands alone between other characters, and between a
+    letter and a mark; texts are cut there, where the bytes show the case beyond doubt.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # Control strings in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.cuts: dict[str, np.ndarray] = {}
+        self.cache = Cache(self._encode_new, CACHED_CUTS)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, and the number of ids of each text."""
@@ -65,55 +68,67 @@ class Coder:
         buffer, at = flat(texts)
         if not len(buffer):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        # Neighbours must be known not to be white space of any kind: ASCII letters, digits and
-        # marks, or bytes of characters whose first byte no Unicode white space has.
-        plain = _PLAIN[buffer]
+        # Where the byte before and the byte itself show a boundary, or may show one.
+        show = _SHOWN[buffer[:-1], buffer[1:]]
+        found = np.flatnonzero(show)
+        show = show[found]
+        # Told by the byte two before: C3 begins a letter, but for two signs; a newline must stand
+        # alone, as more white space before it would be taken together with it.
+        two_before = buffer[np.maximum(found - 1, 0)]
+        last = buffer[found]
+        letter = (two_before == 0xC3) & (last != 0x97) & (last != 0xB7)
+        alone = (found > 0) & ~_IS_SPACE[two_before]
+        alone &= _ENDS_VISIBLE[two_before] | (buffer[np.maximum(found - 2, 0)] == 0xC3)
+        sure = (show == 1) | (show == 2) & (two_before == 0xC3) | (show == 3) & letter | (show == 4) & alone
         cut = np.zeros(len(buffer) + 1, dtype=bool)
-        before = plain[:-2].copy()
-        before[1:] |= buffer[:-3] == 0xC3
-        cut[1:-2] = (buffer[1:-1] == 32) & before & plain[2:]
+        cut[found[sure] + 1] = True
         cut[at] = True
         cut[-1] = False
         begins = np.flatnonzero(cut)
         edges = np.append(begins, len(buffer)).astype(np.int64)
-        cuts = pa.LargeStringArray.from_buffers(
-            len(begins), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(buffer))
+        cuts = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(buffer))]
         ).dictionary_encode()
-        found = self._lookup(cuts.dictionary.to_pylist())
+        found = self.cache.look_up(cuts.dictionary.to_pylist())
         which = cuts.indices.to_numpy()
-        counts = np.array([len(f) for f in found], dtype=np.int64)
+        counts = np.array([len(f) for f in found], dtype=np.int64) // 4
         offsets = np.concatenate([[0], np.cumsum(counts)])
-        all_ids = np.fromiter(chain.from_iterable(found), np.uint32, int(offsets[-1]))
+        all_ids = np.frombuffer(b"".join(found), np.uint32)
         n = counts[which]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = all_ids[np.arange(total[-1]) + np.repeat(offsets[which] - total[:-1], n)]
-        text_of_cut = np.searchsorted(at, begins, side="right") - 1
-        return ids, np.bincount(text_of_cut, weights=n, minlength=len(texts)).astype(np.int64)
-
-    def _lookup(self, cuts: list[str]) -> list[list[int]]:
-        known = self.cuts
-        new = [c for c in cuts if c not in known]
-        if len(known) + len(new) > CACHED_CUTS:
-            known.clear()
-            new = cuts
-        if new:
-            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update(zip(new, [tuple(x.ids) for x in coded], strict=True))
-        found = [known[c] for c in cuts]
-        if len(known) > CACHED_CUTS:
-            known.clear()
-        return found
-
-
-# A cut's neighbour byte: visible ASCII, or the first or last byte of a character that is no white
-# space. White space beyond ASCII is encoded with first bytes C2, E1, E2 and E3.
-_PLAIN = np.zeros(256, dtype=bool)
-_PLAIN[0x21:0x7F] = True
-_PLAIN[0xC3:0xE1] = True
-_PLAIN[0xE4:0xF5] = True
-# The byte before a space ends a character: no white space ends in B0-BF, or has two bytes of which
-# the first is C3.
-_PLAIN[0xB0:0xC0] = True
+        # A text's cuts begin where the text does.
+        bounds = total[np.searchsorted(begins, at)]
+        return ids, np.diff(bounds)
+
+    def _encode_new(self, cuts: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([c.decode() for c in cuts], add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in coded]
+
+
+def _shown() -> np.ndarray:
+    """For a byte and the next: 1 a boundary, 2-4 one under a condition on the byte before, else 0.
+
+    White space beyond ASCII begins with C2, E1, E2 or E3 and never ends in B0-BF.
+    """
+    byte = np.arange(256)
+    letter = (byte >= 0x41) & (byte <= 0x5A) | (byte >= 0x61) & (byte <= 0x7A)
+    digit = (byte >= 0x30) & (byte <= 0x39)
+    mark = (byte >= 0x21) & (byte <= 0x7E) & ~letter & ~digit
+    starts = letter | digit | mark | (byte >= 0xC3) & (byte <= 0xE0) | (byte >= 0xE4) & (byte <= 0xF4)
+    later = (byte >= 0x80) & (byte <= 0xBF)
+    out = np.zeros((256, 256), dtype=np.uint8)
+    out[np.ix_(later & ~_ENDS_VISIBLE, _IS_SPACE)] = 2
+    out[np.ix_(_ENDS_VISIBLE, _IS_SPACE)] = 1
+    out[np.ix_(letter, mark)] = 1
+    out[np.ix_(later, mark)] = 3
+    out[10, starts] = 4
+    return out
+
+
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_ENDS_VISIBLE = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0xB0, 0xC0)])
+_SHOWN = _shown()
 
 
 @lru_cache(maxsize=2)
