@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from censemble.llm.binary import op6_token_binary
 from censemble.llm.chat import op4_chat_formatting
+from censemble.llm.pages import op3_html_extraction
 from censemble.llm.passages import op9_substring_dedup
 from censemble.llm.pieces import op2_sentencepiece
 from censemble.llm.quality import op5_quality_rules
@@ -13,6 +14,7 @@ from censemble.llm.urls import op8_url_filters
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_binary": op6_token_binary,
