@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from censemble.llm.binary import op6_token_binary
 from censemble.llm.chat import op4_chat_formatting
+from censemble.llm.neardup import op7_minhash_near_dedup
 from censemble.llm.pages import op3_html_extraction
 from censemble.llm.passages import op9_substring_dedup
 from censemble.llm.pieces import op2_sentencepiece
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_binary": op6_token_binary,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
