@@ -12,6 +12,7 @@ SLICE_BYTES = 3_000_000
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+_IS_BARE = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -41,11 +42,14 @@ def sliced(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         begin = end
 
 
-def words(buffer: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every maximal run without white space, and the words before each text."""
+def words(buffer: np.ndarray, at: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every maximal run without white space, and the words before each text.
+
+    ``bare``: ASCII marks part words as white space does.
+    """
     if not len(buffer):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = _IS_WORD[buffer]
+    inside = (_IS_BARE if bare else _IS_WORD)[buffer]
     first = np.zeros(len(buffer) + 1, dtype=bool)
     first[at[:-1]] = True
     begins = inside.copy()

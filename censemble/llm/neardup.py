@@ -436,6 +436,19 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The document with the smallest id of every component, once; the columns stay the same.
+
+    Rows without an id all stay. Of rows that share an id, the one with the smallest text stays.
+    """
+    judged = near_duplicates(docs, width, percent, text, doc_id)
+    stay = judged.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__stays")).distinct()
+    named = docs.join(stay, F.col(doc_id).cast("long") == F.col("__stays"), "leftsemi")
+    turn = F.row_number().over(W.partitionBy(doc_id).orderBy(text))
+    named = named.withColumn("__turn", turn).where(F.col("__turn") == 1).drop("__turn")
+    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by two-word shingles at a similarity of 0.8 or more."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from censemble.llm.binary import op6_token_binary
 from censemble.llm.chat import op4_chat_formatting
+from censemble.llm.decontaminate import op1_benchmark_decontamination
 from censemble.llm.neardup import op7_minhash_near_dedup
 from censemble.llm.pages import op3_html_extraction
 from censemble.llm.passages import op9_substring_dedup
@@ -14,6 +15,7 @@ from censemble.llm.sql import ORACLE
 from censemble.llm.urls import op8_url_filters
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
