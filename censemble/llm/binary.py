@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from censemble.llm.flat import Cache, flat, sliced
+from censemble.llm.flat import CUT_BYTES, Cache, flat, sliced
 from censemble.session import scratch_path
 
 BLOCK_IDS = 65_536
@@ -183,7 +183,7 @@ def write_ids(
             return {"shard": shard, "block": number, "n_ids": len(ids), "planes": to_planes(ids, bits)}
 
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", CUT_BYTES):
                 shard = batch.column("shard")[0].as_py()
                 ids, counts = code.encode(batch.column("text"))
                 if end_id is not None:

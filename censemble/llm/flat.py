@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are worked on at once inside a batch; one longer text is a slice of its own.
-SLICE_BYTES = 3_000_000
+# Hashing holds several 64-bit numbers for every byte, cutting into equal parts does not.
+SLICE_BYTES = 1_000_000
+CUT_BYTES = 3_000_000
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -83,7 +85,10 @@ def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower:
     powers, back = _powers(len(buffer), seed)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
-        np.cumsum(code[buffer] * powers, out=sums[1:])
+        terms = code[buffer]
+        terms *= powers
+        np.cumsum(terms, out=sums[1:])
+        del terms
         return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 

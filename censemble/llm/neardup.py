@@ -284,15 +284,16 @@ def compare_chunks(members: DataFrame, percent: int, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:2] != row[:2]:
-                    links, chunk = finish(held)
-                    out += links + chunk
-                    held = []
-                held.append(row)
-            yield _chunk_rows(out)
+        for whole in batches:
+            for batch in sliced(whole, "text"):
+                out: list[tuple] = []
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held and held[0][:2] != row[:2]:
+                        links, chunk = finish(held)
+                        out += links + chunk
+                        held = []
+                    held.append(row)
+                yield _chunk_rows(out)
         if held:
             links, chunk = finish(held)
             yield _chunk_rows(links + chunk)

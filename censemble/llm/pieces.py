@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from censemble.llm.flat import Cache, flat, sliced
+from censemble.llm.flat import CUT_BYTES, Cache, flat, sliced
 
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -359,7 +359,7 @@ def encode_pieces(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path)
         for whole in batches:
-            for batch in sliced(whole, "__text"):
+            for batch in sliced(whole, "__text", CUT_BYTES):
                 kept = [batch.column(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, *coder.encode(batch.column("__text"))], names=[*keys, "ids", "begins", "ends"]
