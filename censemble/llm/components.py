@@ -15,8 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from censemble.llm.bitmaps import few_files
 from censemble.session import stored
 
+ROWS_PER_FILE = 500_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(
@@ -48,13 +51,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """``(node, component)`` for every node that has an edge."""
     both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     tree = stored(
-        both.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
+        few_files(both.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()), "edges"
     )
     last = _fingerprint(tree)
     for _ in range(most_rounds):
         if last[0] == 0:
             break
-        tree = stored(_star(_star(tree, True), False), "edges")
+        # A round never has more edges than the one before.
+        hung = _star(_star(tree, True), False).coalesce(1 + last[0] // ROWS_PER_FILE)
+        tree = stored(hung, "edges")
         now = _fingerprint(tree)
         if now == last:
             break

@@ -10,7 +10,7 @@ equal words and losses for changed, missing and added ones, so edited and paraph
 too. A pair counts as a leak if the score is at least ``LEAST`` of what a full copy would get.
 
 Scale: the corpus is read twice (word counts, seeds) and never shuffled; only words near hits are.
-The scan holds two bitmaps of fixed size (``BITMAP_BITS``) of the benchmark's words and seeds,
+The scan holds two bitmaps of fixed size (``bitmaps.BITS``) of the benchmark's words and seeds,
 whatever the size of the benchmark; what passes by chance falls out in the join with the seeds.
 
 Defined results: null or empty texts and items have no words and no leaks; rows that share an id
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from censemble.llm.bitmaps import bitmap, few_files, passing
 from censemble.llm.flat import flat, sliced, windows, word_hashes, words
 from censemble.session import stored
 
@@ -35,7 +36,6 @@ SEED_WORDS = (3, 8)
 EXPECTED = 0.01
 GAIN, LOSS = 2, 1
 LEAST = 0.5
-BITMAP_BITS = 26
 
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,35 +45,6 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(buffer, starts, ends, lower=True), before
 
 
-def _cell(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - BITMAP_BITS)
-
-
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """One bit for every value of a hash that occurs: 2**BITMAP_BITS bits, always."""
-    block_bits = 16
-    cell = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
-    cells = hashes.select(
-        F.shiftright(cell, block_bits).cast("int").alias("block"), (cell % (1 << block_bits)).cast("int").alias("bit")
-    ).distinct()
-
-    def pack(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << block_bits, dtype=bool)
-        bits[table.column("bit").to_numpy()] = True
-        return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    out = np.zeros(1 << BITMAP_BITS, dtype=bool)
-    for row in cells.groupBy("block").applyInArrow(pack, "block int, bits binary").collect():
-        begin = row["block"] << block_bits
-        out[begin : begin + (1 << block_bits)] = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8)).astype(bool)
-    return np.packbits(out)
-
-
-def _passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cells = _cell(hashes)
-    return (bits[cells >> np.uint64(3)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1 > 0
-
-
 def item_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """``item`` (one per row), ``item_id`` and ``words``: the hashes of its words."""
     rows = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -101,7 +72,7 @@ def word_counts(docs: DataFrame, item: DataFrame, text: str = "text") -> DataFra
             for batch in sliced(whole, "t"):
                 hashes, _ = _hashed(batch.column(0))
                 total += len(hashes)
-                found, n = np.unique(hashes[_passing(known.value, hashes)], return_counts=True)
+                found, n = np.unique(hashes[passing(known.value, hashes)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], names=["word", "n"])
 
@@ -167,7 +138,7 @@ def scan(docs: DataFrame, seeds: DataFrame, reach: int, text: str = "text", doc_
                 places, found = [], []
                 for width in range(shortest, longest + 1):
                     runs, at = windows(hashes, before, width)
-                    use = _passing(known.value, runs)
+                    use = passing(known.value, runs)
                     places.append(at[use])
                     found.append(runs[use])
                 place, seed = np.concatenate(places), np.concatenate(found)
@@ -256,8 +227,8 @@ def find_leaks(
 ) -> DataFrame:
     """A row for every document and test item that it holds: ``doc_id``, ``text_key``, ``item_id``,
     ``score``, and the first and last word of the best alignment."""
-    item = stored(item_words(items), "items")
-    seeds = stored(rare_seeds(item, word_counts(docs, item, text), expected), "seeds")
+    item = stored(few_files(item_words(items)), "items")
+    seeds = stored(few_files(rare_seeds(item, word_counts(docs, item, text), expected)), "seeds")
     reach = int(item.agg(F.max(F.size("words"))).first()[0] or 0) * 3 // 2
     found = stored(scan(docs, seeds, reach, text, doc_id), "stretches")
     hits = found.select("stretch", F.explode("hits").alias("hit")).select("stretch", "hit.seed", F.col("hit.at").alias("there"))

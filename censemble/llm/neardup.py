@@ -4,11 +4,11 @@ A document is the set of its distinct word shingles; two are linked if their set
 similarity is at least ``threshold``. Result: the connected components.
 
 1. Every text gives a MinHash signature and a 128-bit key of its set. Documents with equal sets are
-   one class, named by its smallest id; only classes go on.
+   one class, named by its smallest id.
 2. LSH forest: ``TREES`` orders of the signature, order t beginning at its value t * ``DEPTH``. All
-   classes are sorted by each order; neighbours whose common prefix has ``DEPTH`` values or more
-   are candidates. Beyond that depth the sort itself adapts: in a crowded region the neighbours are
-   those with the longest common prefix. The sort is by ranges of (prefix, class), so a region may
+   documents are sorted by each order; neighbours whose common prefix has ``DEPTH`` values or more
+   are candidates, as pairs of their classes. Beyond that depth the sort itself adapts: in a crowded region the neighbours are
+   those with the longest common prefix. The sort is by ranges of (prefix, document), so a region may
    span any number of tasks. At the threshold 0.8 a pair is apart in all 40 trees with a chance of
    1e-7.
 3. Candidates whose signatures estimate a similarity of ``LOOSE`` or more make loose clusters
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from censemble.llm.bitmaps import bitmap, few_files, passing
 from censemble.llm.components import connected_components
 from censemble.llm.flat import flat, mix, sliced, windows, word_hashes, words
 from censemble.session import stored
@@ -165,7 +166,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             yield _rows([], [], [(part, 1, *last)])
 
     schema = "a bigint, b bigint, part int, edge int, prefix bigint"
-    found = stored(ranged.mapInArrow(run, schema), "neighbours")
+    found = stored(few_files(ranged.mapInArrow(run, schema)), "neighbours")
     pairs = found.where(F.col("part").isNull()).select("a", "b")
     # The last row of a partition and the first of the next one that has any: two rows a partition.
     order = W.orderBy("part", "edge")
@@ -352,10 +353,10 @@ def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int)
         F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"),
         "chunks",
     )
-    texts = members.join(docs.select("doc_id", "text"), "doc_id").select(
+    texts = members.join(_of_members(docs, members), "doc_id").select(
         "cluster", "chunk", "chunks", F.col("doc_id").alias("doc"), "text"
     )
-    compared = stored(compare_chunks(texts, percent, width), "chunks")
+    compared = stored(few_files(compare_chunks(texts, percent, width)), "chunks")
     links = compared.where(F.col("a").isNotNull()).select("a", "b")
     chunks = compared.where(F.col("a").isNull()).drop("a", "b")
     if chunks.isEmpty():
@@ -369,7 +370,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int)
     first = chunks.groupBy("cluster").agg(F.min("chunk").alias("first"))
     firsts = side("x", bare.join(first, "cluster").where(F.col("chunk") == F.col("first")))
     meet = firsts.join(side("y", bare), "cluster").where(F.col("x_chunk") < F.col("y_chunk"))
-    links = stored(links.unionByName(compare_pairs_of_chunks(meet, percent)), "links")
+    links = stored(few_files(links.unionByName(compare_pairs_of_chunks(meet, percent))), "links")
 
     # All that is not in the largest component of its cluster, against the whole cluster.
     so_far = connected_components(links)
@@ -377,7 +378,6 @@ def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int)
     named = flat_docs.join(so_far, "node", "left").select(
         "cluster", "chunk", "place", "node", F.coalesce("component", "node").alias("component")
     )
-    named = stored(named, "named")
     weights = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     main = weights.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     known = named.groupBy("cluster", "chunk").agg(
@@ -391,6 +391,24 @@ def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int)
     return links.unionByName(compare_pairs_of_chunks(again, percent))
 
 
+def _of_members(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of documents that may be members, told by a bitmap of fixed size.
+
+    It spares the shuffle the texts of most documents that are in no cluster; the join that
+    follows leaves out the rest.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(members.select(F.xxhash64("doc_id").alias("h")), "h"))
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(passing(known.value, batch.column("h").to_numpy().view(np.uint64)))
+            kept = batch.filter(keep)
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("text")], names=["doc_id", "text"])
+
+    return hashed.mapInArrow(run, "doc_id bigint, text string")
+
+
 def _only(strays: DataFrame) -> DataFrame:
     """Chunks with the members that ``only`` marks."""
 
@@ -413,19 +431,33 @@ def _only(strays: DataFrame) -> DataFrame:
     )
 
 
+def _by_class(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of documents as distinct pairs of different classes."""
+    x = names.select(F.col("doc_id").alias("a"), F.col("least").alias("x"))
+    y = names.select(F.col("doc_id").alias("b"), F.col("least").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").where(F.col("x") != F.col("y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
     signed = stored(signatures(docs, width, text, doc_id), "signatures")
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("least"))
-    least = classes.select(F.col("least").alias("doc_id")).distinct()
-    signs = named.join(least, "doc_id", "leftsemi").select("doc_id", "signature")
-    pairs = loose_pairs(candidates(signs), signs)
+    key = ["k1", "k2", "n_shingles"]
+    classes = named.groupBy(*key).agg(F.min("doc_id").alias("least"))
+    signs = named.select("doc_id", "signature")
+    # Signatures stay where they are: copies go through the forest, then pairs take class names.
+    names = named.select("doc_id", *key).join(classes, key).select("doc_id", "least").distinct()
+    pairs = loose_pairs(_by_class(candidates(signs), names), signs)
     clusters = connected_components(pairs)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     links = exact_links(texts, clusters, percent, width)
+    # Rows with one id and several texts tie their classes together.
+    lowest = names.groupBy("doc_id").agg(F.min("least").alias("a"))
+    same = names.join(lowest, "doc_id").where(F.col("a") != F.col("least")).select("a", F.col("least").alias("b"))
+    links = links.unionByName(same)
     components = connected_components(links).select(F.col("node").alias("least"), "component")
     found = classes.join(components, "least", "left").select(
         "k1", "k2", "n_shingles", F.coalesce("component", "least").alias("component_id")
