@@ -18,8 +18,9 @@ _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, ran
 )
 _NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
 _SPECIAL = r"(?i)^[+-]?(nan|inf|infinity)$"
-# Bare NaN and Infinity values are accepted by lenient readers but are not JSON; quote them.
-_BARE_SPECIAL = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,}\]])"
+# Bare NaN and Infinity are accepted by lenient readers but are not JSON; they are quoted where they
+# are the value of a number field. Inside a string such a field's quotes would be escaped.
+_BARE_SPECIAL = r'([{,]\s*"(?:stance|confidence|yes_pct)"\s*:\s*)(NaN|-?Infinity)(?=\s*[,}])'
 
 
 def strip_text(text: Column) -> Column:

@@ -13,17 +13,20 @@ REQUEST = list(zip(fixed.REQUEST_ANCHORS, fixed.REQUEST_PATTERNS, strict=True))
 OUTPUT = list(zip(fixed.OUTPUT_ANCHORS, fixed.OUTPUT_PATTERNS, strict=True))
 
 
+def _first_match(lowered: Column, rules: list[tuple[str, str]]) -> Column:
+    return F.coalesce(*[
+        F.when(lowered.contains(anchor) & lowered.rlike(_UNICODE + pattern), i)
+        for i, (anchor, pattern) in enumerate(rules, start=1)
+    ])
+
+
 def with_first_match(df: DataFrame, text: str, rules: list[tuple[str, str]], out: str) -> DataFrame:
     """Adds ``out``: the 1-based number of the first pattern found anywhere in the text, else null.
 
     The text is lower-cased once per row. A pattern is only run on text that has its anchor, a
     plain substring it cannot match without; most text is cleared by these byte searches.
     """
-    lowered = F.col("__lowered")
-    found = F.coalesce(*[
-        F.when(lowered.contains(anchor) & lowered.rlike(_UNICODE + pattern), i)
-        for i, (anchor, pattern) in enumerate(rules, start=1)
-    ])
+    found = _first_match(F.col("__lowered"), rules)
     return df.withColumn("__lowered", F.lower(text)).withColumn(out, found).drop("__lowered")
 
 
@@ -45,5 +48,10 @@ def check_requests(requests: DataFrame, as_of: Column, text: str = "text", vote_
 
 
 def gate_output(rows: DataFrame, text: str) -> DataFrame:
-    """Only rows whose text may be written out; put it before any sink that carries text."""
-    return with_first_match(rows, text, OUTPUT, "__pattern").where(F.col("__pattern").isNull()).drop("__pattern")
+    """Only rows whose text may be written out; put it before any sink that carries text.
+
+    A filter moves below projections with a copy of the text's expression for every time it names
+    it. The text is bound once here, so an expensive one, such as a parsed note, is not repeated.
+    """
+    found = F.transform(F.array(F.lower(text)), lambda lowered: _first_match(lowered, OUTPUT))[0]
+    return rows.where(found.isNull())

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from censemble.functions import fixed
 from censemble.functions.uniform import pair_digest, pair_draw
-from censemble.operators.skew import BROADCAST_ROWS, dealt_out, numbered_rows, positions, split_join
+from censemble.operators.skew import dealt_out, numbered_rows, positions
 
-# Runs up to this many votes are resampled from one array per run; larger ones by a join.
-ARRAY_VOTES = 65_536
-# Draws one task makes for a run before its replicates are spread over more tasks.
+# Places per block of votes, as a power of two: a block's stances are one array.
+PLACE_BITS = 16
+# Draws one task makes for a block before its replicates are spread over more tasks.
 _DRAWS_PER_TASK = 200_000
 
 
@@ -25,57 +25,64 @@ def rank_bounds(replicates: int, alpha: float) -> tuple[int, int]:
     return low, high
 
 
-def _with_places(pairs: DataFrame) -> DataFrame:
-    """Which votes (0-based by seq) the two draws of pair ``half`` take; the second is null past
-    the last draw of an odd run."""
-    hashed = pairs.withColumn("__digest", pair_digest(F.col("__seed"), F.col("rep"), F.col("half")))
-    first = F.pmod(pair_draw(F.col("__digest"), False), F.col("n"))
-    second = F.pmod(pair_draw(F.col("__digest"), True), F.col("n"))
-    return hashed.withColumns(
-        {"first": first, "second": F.when(F.col("half") * 2 + 1 < F.col("n"), second)}
-    ).drop("__digest")
+def _draw_counts(sizes: DataFrame, run: list[str], replicates: int, place_bits: int) -> DataFrame:
+    """How many of a replicate's n draws fall into each block of places: (run, block, rep, draws).
 
-
-def _from_arrays(votes: DataFrame, run: list[str], replicates: int) -> DataFrame:
-    """Replicate shares of runs whose votes fit an array: no draw is ever shuffled."""
-    arrays = votes.groupBy(*run, "__seed").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("seq", "stance"))), lambda s: s["stance"]
-        ).alias("stances")
+    Every draw hashes to a place; only counts leave the task. In a run of one block all n do.
+    """
+    per_rep = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    alone = per_rep.where(F.col("blocks") == 1).select(*run, F.lit(0).cast("bigint").alias("block"), "rep", F.col("n").alias("draws"))
+    halves = numbered_rows(
+        per_rep.where(F.col("blocks") > 1).withColumn("__pairs", F.shiftright(F.col("n") + 1, 1)), "__pairs", "half", [*run, "rep"]
     )
-    n = F.size("stances").cast("bigint")
-    parts = F.least(F.lit(replicates), F.ceil(n * replicates / _DRAWS_PER_TASK)).cast("int")
-    # Large runs: copies of the array go to several tasks, each with its own replicates.
-    copies = (
-        arrays.withColumn("n", n)
-        .withColumn("__parts", parts)
-        .withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    hashed = halves.withColumn("__digest", pair_digest(F.col("__seed"), F.col("rep"), F.lit("block"), F.col("half")))
+    places = F.array(
+        F.pmod(pair_draw(F.col("__digest"), False), F.col("n")),
+        F.when(F.col("half") * 2 + 1 < F.col("n"), F.pmod(pair_draw(F.col("__digest"), True), F.col("n"))),
     )
-    spread = dealt_out(copies, [*run, "__part"])
-    pairs = spread.withColumn(
-        "rep", F.explode(F.sequence(F.col("__part"), F.lit(replicates - 1), F.col("__parts")))
-    ).withColumn("half", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("n") - 1, 1))))
-    placed = _with_places(pairs)
-    taken = F.get("stances", F.col("first").cast("int")) + F.coalesce(
-        F.get("stances", F.col("second").cast("int")), F.lit(0.0)
+    drawn = hashed.select(*run, "rep", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("__place"))
+    spread = drawn.groupBy(*run, F.shiftright(F.col("__place"), place_bits).alias("block"), "rep").agg(
+        F.count(F.lit(1)).alias("draws")
     )
-    return placed.groupBy(*run, "rep").agg((100.0 * F.sum(taken) / F.max("n")).alias("share"))
+    return alone.unionByName(spread)
 
 
-def _from_join(votes: DataFrame, sizes: DataFrame, run: list[str], replicates: int) -> DataFrame:
-    """Replicate shares of large runs: draws meet votes by place. Places are uniform, so no
-    place is hot, and a run of any size is spread over all tasks."""
-    placed = positions(votes.select(*run, "seq", "stance"), run, "seq", "__place").select(
-        *run, "__place", "stance"
+def _replicate_sums(votes: DataFrame, run: list[str], replicates: int, place_bits: int) -> DataFrame:
+    """(run, rep, n, total): the sum of n stances drawn with replacement.
+
+    A block makes as many uniform draws in its own array as fell into it, by a second hash of
+    (seed, replicate, block, draw), and leaves one sum per replicate.
+    """
+    placed = positions(votes.select(*run, "__seed", "seq", "stance"), run, "seq", "__place")
+    placed = placed.withColumn("block", F.shiftright(F.col("__place"), place_bits))
+    arrays = placed.groupBy(*run, "__seed", "block").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("__place", "stance"))), lambda s: s["stance"]).alias("stances")
     )
-    per_rep = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pairs = numbered_rows(
-        per_rep.withColumn("__pairs", F.shiftright(F.col("n") + 1, 1)), "__pairs", "half", [*run, "rep"]
+    sizes = arrays.groupBy(*run, "__seed").agg(
+        F.sum(F.size("stances")).alias("n"), F.count(F.lit(1)).alias("blocks")
+    )
+    # One entry per replicate, so the list is bounded.
+    counts = _draw_counts(sizes, run, replicates, place_bits).groupBy(*run, "block").agg(
+        F.collect_list(F.struct("rep", "draws")).alias("wanted"), F.sum("draws").alias("__draws")
+    )
+    parts = F.least(F.lit(replicates), F.ceil(F.col("__draws") / _DRAWS_PER_TASK)).cast("int")
+    copies = (
+        arrays.join(counts, [*run, "block"])
+        .withColumn("__parts", parts)
+        .withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
     )
-    both = F.filter(F.array("first", "second"), lambda p: p.isNotNull())
-    draws = _with_places(pairs).select(*run, "rep", F.explode(both).alias("__place"))
-    hit = draws.join(placed, [*run, "__place"])
-    return hit.groupBy(*run, "rep").agg((100.0 * F.sum("stance") / F.count(F.lit(1))).alias("share"))
+    spread = dealt_out(copies, [*run, "block", "__part"])
+    mine = F.filter("wanted", lambda w: F.pmod(w["rep"], F.col("__parts")) == F.col("__part"))
+    each = spread.select(*run, "__seed", "block", "stances", F.inline(mine)).withColumn(
+        "half", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("draws") - 1, 1)))
+    )
+    m = F.size("stances")
+    hashed = each.withColumn("__digest", pair_digest(F.col("__seed"), F.col("rep"), F.col("block"), F.col("half")))
+    first = F.get("stances", F.pmod(pair_draw(F.col("__digest"), False), m).cast("int"))
+    second = F.get("stances", F.pmod(pair_draw(F.col("__digest"), True), m).cast("int"))
+    taken = first + F.when(F.col("half") * 2 + 1 < F.col("draws"), second).otherwise(0.0)
+    sums = hashed.groupBy(*run, "rep").agg(F.sum(taken).alias("total"))
+    return sums.join(sizes.select(*run, "n"), run)
 
 
 def bootstrap_interval(
@@ -84,33 +91,18 @@ def bootstrap_interval(
     seed: Column,
     replicates: int = fixed.BOOTSTRAP_REPLICATES,
     alpha: float = fixed.BOOTSTRAP_ALPHA,
-    array_votes: int = ARRAY_VOTES,
+    place_bits: int = PLACE_BITS,
 ) -> DataFrame:
     """Per run: ``ci_low`` and ``ci_high`` of the mean post stance in percent; 50 if none voted.
 
     Each replicate takes n votes with replacement, by hash of (seed, replicate, draw), so results
     depend on the seed only. ``seed`` must be the same for all votes of a run, and seq unique in
-    it. Small and large runs are routed differently and use the same draws.
+    it. Runs of any size go the same way, in blocks of 2**place_bits votes; no draw is shuffled.
     """
     run = list(run)
     post = votes.where(F.col("phase") == "post").select(*run, seed.alias("__seed"), "seq", "stance")
-    sizes = post.groupBy(*run, "__seed").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > array_votes)
-    n_large = large.limit(BROADCAST_ROWS + 1).count()
-    if n_large == 0:
-        shares = _from_arrays(post, run, replicates)
-    else:
-        # At most votes / array_votes runs; broadcast when checked to be few, else split.
-        ids = large.select(*run, F.lit(True).alias("__large"))
-        if n_large <= BROADCAST_ROWS:
-            routed = post.join(F.broadcast(ids), run, "left")
-        else:
-            routed = split_join(post, ids, run, "left", spread_by=["seq"])
-        small_votes = routed.where(F.col("__large").isNull()).drop("__large")
-        large_votes = routed.where(F.col("__large").isNotNull()).drop("__large")
-        shares = _from_arrays(small_votes, run, replicates).unionByName(
-            _from_join(large_votes, large, run, replicates)
-        )
+    sums = _replicate_sums(post, run, replicates, place_bits)
+    shares = sums.select(*run, "rep", (100.0 * F.col("total") / F.col("n")).alias("share"))
     low, high = rank_bounds(replicates, alpha)
     # `replicates` shares per run, so this window is bounded.
     rank = F.row_number().over(W.partitionBy(*run).orderBy("share", "rep")) - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -41,8 +42,7 @@ def weight_intervals(pool: DataFrame) -> DataFrame:
             F.sum(column).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint")
         )
 
-    known = states.where(F.col("state").isin(list(fixed.FIPS_STATES.values())))
-    state_lo = known.select("state", before(W.orderBy("state"), "state_w").alias("state_lo"))
+    state_lo = states.select("state", before(W.orderBy("state"), "state_w").alias("state_lo"))
     area_lo = areas.select(
         "state", "puma", before(W.partitionBy("state").orderBy("puma"), "area_w").alias("area_lo")
     ).join(F.broadcast(state_lo), "state")
@@ -60,7 +60,9 @@ def scope_of(state: Column) -> Column:
     return F.when(F.upper(state).isin(fixed.NATIONAL_SCOPES), "US").otherwise(state)
 
 
-def scope_layout(intervals: DataFrame, specs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def scope_layout(
+    intervals: DataFrame, specs: DataFrame, hot_rows: int = HOT_ROWS, strict: bool = True
+) -> DataFrame:
     """Per scope in use (at most 51 states and 'US'): its weight range, the width of its buckets
     and the number of slices per bucket.
 
@@ -76,29 +78,44 @@ def scope_layout(intervals: DataFrame, specs: DataFrame, hot_rows: int = HOT_ROW
     )
     scopes = by_state.withColumnRenamed("state", "scope").unionByName(national).where("cells > 0")
     asked = specs.groupBy(scope_of(F.col("state")).alias("scope")).agg(F.sum("n").alias("draws"))
-    size = F.col("scope_hi") - F.col("scope_lo")
-    return scopes.join(asked, "scope").select(
+    told = F.concat(F.lit("no cells with enough records in scope "), F.col("scope"))
+    high = F.when(F.col("scope_hi").isNull(), F.raise_error(told).cast("bigint")).otherwise(F.col("scope_hi"))
+    size = high - F.col("scope_lo")
+    if not strict:
+        asked = asked.join(scopes.select("scope"), "scope", "leftsemi")
+    return asked.join(scopes, "scope", "left").select(
         "scope", "scope_lo", size.alias("size"),
         F.greatest(F.lit(1).cast("bigint"), F.ceil(size / F.col("cells"))).alias("width"),
         F.ceil(F.col("draws") / F.col("cells") / hot_rows).cast("int").alias("slices"),
     )
 
 
+def empty_scopes(cells: DataFrame, specs: DataFrame, k: int = fixed.K_ANONYMITY_MIN) -> DataFrame:
+    """Specs whose scope has no cell that may be drawn."""
+    usable = k_anonymous(cells, "US", k).where(F.col("person_weight") > 0).select(F.col("state").alias("__scope")).distinct()
+    national = usable.limit(1).select(F.lit("US").alias("__scope"))
+    return specs.join(usable.unionByName(national), scope_of(F.col("state")) == F.col("__scope"), "leftanti")
+
+
 def draw_cells(
-    cells: DataFrame, specs: DataFrame, k: int = fixed.K_ANONYMITY_MIN, hot_rows: int = HOT_ROWS
+    cells: DataFrame, specs: DataFrame, k: int = fixed.K_ANONYMITY_MIN, hot_rows: int = HOT_ROWS, strict: bool = True
 ) -> DataFrame:
     """``n`` weighted draws with replacement for every population spec.
 
     ``specs``: spec_id, state ('US' or '*' for all), n, seed. Adds ``draw_no`` and the drawn
     skeleton. Draws meet cells in an interval join with an equi key: each scope's weight line is
     cut into buckets, a cell repeats in the few buckets it touches, and a draw looks only at the
-    cells of its bucket.
+    cells of its bucket. Only the states that the specs ask for are read. A scope without usable
+    cells is an error; with ``strict`` off it has no draws (see ``empty_scopes``).
     """
-    # These are read several times and small beside the microdata (the skeleton domain bounds
-    # the first two, the 52 scopes the third), so each is worked out once.
-    pool = stored(k_anonymous(cells, "US", k), "pool")
+    # At most one name per state comes to the driver.
+    asked = [r["scope"] for r in specs.select(scope_of(F.col("state")).alias("scope")).distinct().collect()]
+    pool = k_anonymous(cells, "US", k)
+    if "US" not in asked:
+        pool = pool.where(F.col("state").isin(asked))
+    # Read several times and small beside the microdata: the skeleton domain bounds it.
     intervals = stored(weight_intervals(pool), "intervals")
-    layout = F.broadcast(stored(scope_layout(intervals, specs, hot_rows), "layout"))
+    layout = F.broadcast(scope_layout(intervals, specs, hot_rows, strict))
     laid = (
         intervals.withColumn("scope", F.explode(F.array(F.lit("US"), F.col("state"))))
         .join(layout, "scope")
@@ -124,19 +141,39 @@ def draw_cells(
 
 
 def versions_json(versions: Mapping[str, str] | Column) -> Column:
-    """Source versions as sorted-key JSON text; a map column or a driver-side dict."""
-    if isinstance(versions, Column):
-        entries = F.array_sort(F.map_entries(versions))
-    else:
+    """Source versions as sorted-key JSON text in ASCII; a map column or a driver-side dict."""
+    if not isinstance(versions, Column):
         if not versions:
             raise RuntimeError("no source versions recorded; build the persona library first")
-        entries = F.array(*[
-            F.struct(F.lit(k).alias("key"), F.lit(versions[k]).alias("value")) for k in sorted(versions)
-        ])
-    pairs = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"')))
+        return F.lit(json.dumps(dict(versions), sort_keys=True))
+    entries = F.array_sort(F.map_entries(versions))
+    pairs = F.transform(entries, lambda e: F.concat(json_string(e["key"]), F.lit(": "), json_string(e["value"])))
     return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
 
 
+_SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string in ASCII: quotes, backslashes, control and other characters escaped."""
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        beyond = code - 0x10000
+        out = F.when(c.isin(list(_SHORT_ESCAPES)), F.create_map(*[F.lit(x) for kv in _SHORT_ESCAPES.items() for x in kv])[c])
+        return (
+            out.when((code >= 0x20) & (code < 0x7F), c)
+            .when(code < 0x10000, unit(code))
+            .otherwise(F.concat(unit(F.shiftright(beyond, 10) + 0xD800), unit(beyond.bitwiseAND(F.lit(0x3FF)) + 0xDC00)))
+        )
+
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.concat(F.lit('"'), F.array_join(F.transform(chars, escaped), ""), F.lit('"'))
+
+
 # --- fixed values: identity payload, sorted-key JSON of seed, skeleton and source versions ----
 _ID_FORMAT = (
     '{"seed": %d, "skeleton": {"age_band": "%s", "education": "%s", "income_band": "%s", '
@@ -160,12 +197,13 @@ def sample_personas(
     specs: DataFrame,
     versions: Mapping[str, str] | Column,
     k: int = fixed.K_ANONYMITY_MIN,
+    strict: bool = True,
 ) -> DataFrame:
     """Flat persona rows for every spec: skeleton, party, priors and id, keyed by draw_no.
 
     The same specs, tables and versions always give the same rows.
     """
-    drawn = draw_cells(cells, specs, k)
+    drawn = draw_cells(cells, specs, k, strict=strict)
     with_parties = with_party(drawn, party_dist, unit_draw(F.col("seed"), F.lit("party"), F.col("draw_no")), k)
     return with_priors(with_parties, blended).withColumn(
         "persona_id", persona_id(F.col("seed"), versions_json(versions))

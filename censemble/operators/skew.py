@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from censemble.session import stored
 
 # Rows of one key that a single task may take in a join. There are at most rows / HOT_ROWS keys
-# above it, so the list of hot keys stays broadcastable: a million entries at 10**12 rows.
+# above it. The list of hot keys is joined like any table: Spark broadcasts it while it is small.
 HOT_ROWS = 1_000_000
-# Largest lookup table that is broadcast; above it the split join is used.
-BROADCAST_ROWS = 200_000
 # Positions per window partition in running totals, as a power of two.
 BLOCK_BITS = 20
 
@@ -30,27 +28,28 @@ def split_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     spread_by: Sequence[str] | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join ``facts`` (many rows per key) to ``lookup`` (few rows per key).
 
     Keys with more than about ``hot_rows`` fact rows are cut into that many pieces by a hash of
     ``spread_by``; their lookup rows are repeated once per piece. Hot keys are found on a hash
-    sample of the keys, which only decides how rows are dealt out: every row is joined. Keys must
-    not be null for rows that should match.
+    sample of the keys, or in ``counts`` (keys and ``__rows``) if the caller has them from an
+    aggregate it needs anyway. They only decide how rows are dealt out: every row is joined. Keys
+    must not be null for rows that should match.
     """
     if how not in ("inner", "left"):
         raise ValueError("split_join keeps fact rows apart, so only inner and left joins are safe")
     keys = list(keys)
     spread = [F.col(c) for c in (spread_by or facts.columns)]
-    # A hot key still has a thousand rows in the sample.
-    rate = max(1, min(256, hot_rows // 1000))
-    sampled = facts.where(F.pmod(F.xxhash64(*spread, F.lit(rate)), F.lit(rate)) == 0) if rate > 1 else facts
-    counts = sampled.groupBy(*keys).agg((F.count(F.lit(1)) * rate).alias("__rows"))
+    if counts is None:
+        # A hot key still has a thousand rows in the sample.
+        rate = max(1, min(256, hot_rows // 1000))
+        sampled = facts.where(F.pmod(F.xxhash64(*spread, F.lit(rate)), F.lit(rate)) == 0) if rate > 1 else facts
+        counts = sampled.groupBy(*keys).agg((F.count(F.lit(1)) * rate).alias("__rows"))
     hot = counts.where(F.col("__rows") > hot_rows).select(
         *keys, F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__pieces")
     )
-    # At most rows / hot_rows keys can be above the line, whatever the data.
-    hot = F.broadcast(hot)
     pieces = F.coalesce(F.col("__pieces"), F.lit(1))
     left = (
         facts.join(hot, keys, "left")
@@ -65,17 +64,15 @@ def split_join(
     return left.join(right, [*keys, "__piece"], how).drop("__piece")
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join to a table that is usually small: broadcast it if it is, else split hot keys."""
-    if lookup.limit(max_rows + 1).count() > max_rows:
-        return split_join(facts, lookup, keys, how)
-    return facts.join(F.broadcast(lookup), list(keys), how)
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join to a table with one row per key.
+
+    A plain equi-join: Spark broadcasts the table while its size allows, and beyond that splits
+    the partitions of hot keys at run time, which is safe as a key meets one row only.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("only inner and left joins to a lookup table")
+    return facts.join(lookup, list(keys), how)
 
 
 def running_total(

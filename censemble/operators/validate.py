@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ PERSONA_RANGES = {
     "ideology_score": (-1.0, 1.0),
 }
 PERSONA_REQUIRED = ["puma", "state"]
+# Places in a run are from 0 to below this.
+MAX_SEQ = 1 << 40
 VOTE_RANGES = {"stance": (0.0, 1.0), "confidence": (0.0, 1.0)}
 VOTE_REQUIRED = ["persona_id", "round", "rationale"]
 
@@ -53,6 +57,16 @@ def check_votes(votes: DataFrame) -> DataFrame:
     return check_rows(votes, ranges=VOTE_RANGES, required=VOTE_REQUIRED)
 
 
+def check_places(rows: DataFrame, run: Sequence[str], seq: str = "seq") -> DataFrame:
+    """Rows whose place in their run breaks the contract of running totals, places and artifacts:
+    missing, out of range, or taken more than once. One row per run and place, with its count."""
+    counted = rows.groupBy(*run, seq).agg(F.count(F.lit(1)).alias("n"))
+    good = F.coalesce((F.col(seq) >= 0) & (F.col(seq) < MAX_SEQ), F.lit(False))
+    reasons = F.array(F.when(~good, "range"), F.when(F.col("n") > 1, "repeated"))
+    checked = counted.withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull()))
+    return checked.where(F.size("reasons") > 0)
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows with their reasons)."""
     clean = F.size("reasons") == 0

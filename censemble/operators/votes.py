@@ -22,12 +22,23 @@ def says_yes(stance: Column) -> Column:
     return stance > 0.5
 
 
+def _known(value: Column, on: Sequence[str]) -> Column:
+    """``value``, or an error that names the measure if a join found none."""
+    told = F.concat(F.lit("unknown measure: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on]))
+    return F.when(value.isNull(), F.raise_error(told).cast("int")).otherwise(value)
+
+
 def with_phase(votes: DataFrame, measures: DataFrame, on: Sequence[str] = ("measure_id",)) -> DataFrame:
-    """Adds ``phase``: round 0 is 'pre', the round after the last is 'post', others are dropped."""
-    rounds = measures.select(*on, "n_rounds")
-    tagged = lookup_join(votes, rounds, on, "inner")
-    phase = F.when(F.col("round") == 0, "pre").when(F.col("round") == F.col("n_rounds") + 1, "post")
-    return tagged.withColumn("phase", phase).where(F.col("phase").isNotNull()).drop("n_rounds")
+    """Adds ``phase``: round 0 is 'pre', the round after the last is 'post', others 'middle'.
+
+    Votes on a measure that is not listed are an error. Middle votes stay, so that a run which has
+    no others still has a result; nothing counts them.
+    """
+    rounds = measures.select(*on, F.col("n_rounds").alias("__rounds"))
+    tagged = lookup_join(votes, rounds, on, "left")
+    last = _known(F.col("__rounds"), on)
+    phase = F.when(F.col("round") == last + 1, "post").when(F.col("round") == 0, "pre").otherwise("middle")
+    return tagged.withColumn("phase", phase).drop("__rounds")
 
 
 def _is_post() -> Column:
@@ -52,12 +63,25 @@ def ballots(votes: DataFrame, run: Sequence[str], hot_rows: int = HOT_ROWS) -> D
 
     Columns: n_post, stance_sum, n_matched, abs_delta_sum, n_flips. The last pre vote by seq
     counts; post votes are all kept. Only the comparison with the pre vote needs single post
-    votes; a persona with very many of them is spread over tasks by ``split_join``.
+    votes; a persona with very many of them is spread over tasks by ``split_join``, which takes
+    its counts from the aggregate that finds the pre votes. So votes are read twice.
     """
+    return _ballots(votes, _voters(votes, run), run, hot_rows)
+
+
+def _voters(votes: DataFrame, run: Sequence[str]) -> DataFrame:
+    """One row per run and persona: the last pre vote by seq and the number of post votes."""
+    pre = F.when(F.col("phase") == "pre", F.struct("seq", "stance"))
+    return votes.groupBy(*run, "persona_id").agg(
+        F.max(pre)["stance"].alias("pre_stance"), F.count(F.when(_is_post(), 1)).alias("__rows")
+    )
+
+
+def _ballots(votes: DataFrame, voters: DataFrame, run: Sequence[str], hot_rows: int) -> DataFrame:
     key = [*run, "persona_id"]
-    pre = votes.where(F.col("phase") == "pre").groupBy(*key).agg(F.max_by("stance", "seq").alias("pre_stance"))
     post = votes.where(_is_post()).select(*key, "seq", "stance")
-    paired = split_join(post, pre, key, "left", hot_rows, spread_by=["seq"])
+    pre = voters.where(F.col("__rows") > 0).select(*key, "pre_stance")
+    paired = split_join(post, pre, key, "left", hot_rows, spread_by=["seq"], counts=voters.drop("pre_stance"))
     delta = F.col("stance") - F.col("pre_stance")
     flip = says_yes(F.col("stance")) != says_yes(F.col("pre_stance"))
     return paired.groupBy(*key).agg(
@@ -83,8 +107,9 @@ def opinion_change(votes: DataFrame, run: Sequence[str], hot_rows: int = HOT_ROW
 
     Runs without a matched pair read zeros.
     """
-    changed = ballots(votes, run, hot_rows).groupBy(*run).agg(*_change_columns())
-    every = votes.select(*run).distinct()
+    voters = _voters(votes, run)
+    changed = _ballots(votes, voters, run, hot_rows).groupBy(*run).agg(*_change_columns())
+    every = voters.select(*run).distinct()
     # Both sides have one row per run.
     return every.join(changed, list(run), "left").select(
         *run,
@@ -145,9 +170,14 @@ def _spread(values: str) -> list[Column]:
 
 
 def score_runs(predicted: DataFrame, truth: DataFrame, on: Sequence[str] = ("measure_id",)) -> DataFrame:
-    """Adds actual share, absolute errors and Brier score to per-run predictions."""
-    known = truth.select(*on, F.col("yes_pct").alias("actual_yes_pct"), "passed")
-    scored = lookup_join(predicted, known, on, "inner")
+    """Adds actual share, absolute errors and Brier score to per-run predictions.
+
+    A run of a measure that is not listed is an error.
+    """
+    known = truth.select(*on, F.col("yes_pct").alias("actual_yes_pct"), "passed", F.lit(1).alias("__listed"))
+    scored = lookup_join(predicted, known, on, "left")
+    actual = F.when(_known(F.col("__listed"), on) == 1, F.col("actual_yes_pct"))
+    scored = scored.withColumn("actual_yes_pct", actual).drop("__listed")
     outcome = F.when(F.col("passed"), 1.0).otherwise(0.0)
     return scored.withColumns(
         {
@@ -191,11 +221,18 @@ def multigroup(votes: DataFrame, truth: DataFrame, intervals: DataFrame | None =
     return out if intervals is None else out.join(intervals, "measure_id", "left")
 
 
-def backtest_summary(scored: DataFrame, costs: DataFrame) -> DataFrame:
-    """Per measure result and a total row (null measure_id): mean errors and total cost."""
-    # One row per run on both sides.
-    rows = scored.join(costs, "measure_id", "left").withColumn("cost", F.coalesce("cost_usd", F.lit(0.0)))
+def backtest_summary(scored: DataFrame, costs: DataFrame, run: Sequence[str]) -> DataFrame:
+    """Per measure and over all (``level`` 1, null measure_id): mean errors and total cost.
+
+    ``scored`` and ``costs`` have one row per run; ``run`` are its key columns, measure_id among
+    them, so a measure's cost is the sum over its runs.
+    """
+    if "measure_id" not in run:
+        raise ValueError("a run's key must hold its measure_id")
+    rows = scored.join(costs, list(run), "left").withColumn("cost", F.coalesce("cost_usd", F.lit(0.0)))
     return rows.rollup("measure_id").agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.count(F.lit(1)).alias("n_runs"),
         F.sum("n_personas").alias("n_personas"),
         F.avg("weighted_pct").alias("predicted"),
         F.avg("actual_yes_pct").alias("actual"),
@@ -217,9 +254,11 @@ def segment_error(segments: DataFrame, certified: DataFrame, run: Sequence[str])
 def model_divergence(scored: DataFrame) -> DataFrame:
     """Per measure across model stamps: how many models, and the range of their predictions.
 
-    The range says how far any two models differ at most, without pairing them.
+    A model's prediction is the mean over its runs. The range says how far any two models differ
+    at most, without pairing them.
     """
-    return scored.groupBy("measure_id").agg(
+    by_model = scored.groupBy("measure_id", "model").agg(F.avg("weighted_pct").alias("weighted_pct"))
+    return by_model.groupBy("measure_id").agg(
         F.count(F.lit(1)).alias("n_models"),
         F.min("weighted_pct").alias("min_predicted"),
         F.max("weighted_pct").alias("max_predicted"),

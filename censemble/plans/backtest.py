@@ -27,12 +27,13 @@ def allowed_measures(measures: DataFrame, as_of: Column, vote_date: Column | Non
 
 def run_reports(
     votes: DataFrame, personas: DataFrame, statements: DataFrame, measures: DataFrame, calls: DataFrame,
-    prices: DataFrame, provider: str = "gemini",
+    prices: DataFrame, provider: str = "gemini", strict: bool = True,
 ) -> DataFrame:
     """One row per run: prediction, errors, interval, opinion change, critic flags and cost.
 
     ``votes``: measure_id, seed, seq, persona_id, round, stance. ``calls`` carry measure_id and
-    seed. Runs of measures that are not listed are left out.
+    seed. Runs of measures that are not listed are an error, and calls of models without a price
+    too, unless ``strict`` is off: then they are counted.
     """
     phased = vot.with_phase(votes, measures)
     scored = vot.score_runs(vot.yes_shares(phased, RUN), measures)
@@ -40,14 +41,16 @@ def run_reports(
     interval = bootstrap_interval(phased, RUN, F.col("seed"))
     flagged = statements.groupBy(*RUN).agg(F.count_if("flagged").alias("n_flagged"))
     people = personas.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_personas"))
-    cost = spend.priced_calls(calls, prices).groupBy(*RUN).agg(F.sum("usd").cast("double").alias("cost_usd"))
+    cost = spend.priced_calls(calls, prices, strict).groupBy(*RUN).agg(
+        F.sum("usd").cast("double").alias("cost_usd"), F.count_if(F.col("usd").isNull()).alias("unpriced_calls")
+    )
     stamp = spend.model_stamp(calls, RUN, provider).withColumnRenamed("stamp", "model_version")
     rounds = measures.select("measure_id", "n_rounds")
     # Every table here has one row per run, or per measure.
     out = scored.join(change, RUN).join(interval, RUN).join(rounds, "measure_id")
     for part in (flagged, people, cost, stamp):
         out = out.join(part, RUN, "left")
-    return out.fillna({"n_flagged": 0, "n_personas": 0, "cost_usd": 0.0})
+    return out.fillna({"n_flagged": 0, "n_personas": 0, "cost_usd": 0.0, "unpriced_calls": 0})
 
 
 def run_segments(votes: DataFrame, personas: DataFrame, measures: DataFrame) -> DataFrame:
@@ -66,7 +69,12 @@ def multigroup_report(votes: DataFrame, measures: DataFrame, base_seed: int) ->
     interval = bootstrap_interval(pooled, ["measure_id"], F.lit(base_seed)).select(
         "measure_id", F.col("ci_low").alias("pooled_ci_low"), F.col("ci_high").alias("pooled_ci_high")
     )
-    return vot.multigroup(phased, measures, interval)
+    return vot.multigroup(pooled, measures, interval)
+
+
+def summary_report(reports: DataFrame) -> DataFrame:
+    """Per measure over its runs, and over all."""
+    return vot.backtest_summary(reports.drop("cost_usd"), reports.select(*RUN, "cost_usd"), RUN)
 
 
 def influence_report(
@@ -78,12 +86,13 @@ def influence_report(
 
 
 def contamination_report(probes: DataFrame, out: str) -> None:
-    """Probe results with error and flag as JSON, one row per measure and seed."""
+    """Probe results with error and flag as JSON, one row per measure and seed; a result whose
+    note is refused is not written."""
     writers.write_report(contamination(probes).drop("response"), out)
 
 
-def report_artifacts(spark: SparkSession, artifacts_path: str, measures: DataFrame, calls: DataFrame, out: str) -> None:
-    """Read run artifacts, work out reports and segments, and write them through the output gate."""
+def report_artifacts(spark: SparkSession, artifacts_path: str, measures: DataFrame, calls: DataFrame, out: str, base_seed: int = 42) -> None:
+    """Read run artifacts, work out all reports, and write them through the output gate."""
     artifacts = readers.read_artifacts(spark, artifacts_path)
     votes = readers.artifact_votes(artifacts)
     personas = readers.artifact_personas(artifacts)
@@ -92,3 +101,10 @@ def report_artifacts(spark: SparkSession, artifacts_path: str, measures: DataFra
     writers.write_report(reports, f"{out}/reports")
     writers.write_report(run_segments(votes, personas, measures), f"{out}/segments")
     writers.write_report(sensitivity_report(reports), f"{out}/sensitivity")
+    writers.write_report(summary_report(reports), f"{out}/summary")
+    writers.write_report(multigroup_report(votes, measures, base_seed), f"{out}/multigroup")
+
+
+def influence_artifacts(baseline: DataFrame, counterfactual: DataFrame, statements: DataFrame, out: str) -> None:
+    """Speaker influence of every run, written like the other reports."""
+    writers.write_report(influence_report(baseline, counterfactual, statements), out)

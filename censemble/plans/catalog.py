@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censemble.functions import parsing, policy, text
+from censemble.functions import fixed, parsing, policy, text
 from censemble.functions.recode import (
     SKELETON,
     recode_coded_survey,
@@ -32,7 +32,8 @@ from censemble.sources import readers, writers
 Query = Callable[[SparkSession, str], DataFrame]
 VERSIONS = {"acs": "5yr_2018_2022", "anes": "2020_ts", "cces": "2018_cc"}
 CAP_USD = "0.01"
-DIGITS = 6
+# Means over round numbers of votes often end in a five at the seventh digit; nine keep clear of it.
+DIGITS = 9
 # Missing whole numbers are shown as this, so that result columns stay integers everywhere.
 MISSING = -9
 ANSWERS = ["climate", "guns", "taxes", "ideology_units"]
@@ -71,7 +72,7 @@ def _blended(spark: SparkSession, d: str) -> DataFrame:
 
 def _personas(spark: SparkSession, d: str) -> DataFrame:
     return smp.sample_personas(
-        _cells(spark, d), _party(spark, d), _blended(spark, d), fx.specs(spark, d), VERSIONS
+        _cells(spark, d), _party(spark, d), _blended(spark, d), fx.specs(spark, d), VERSIONS, strict=False
     )
 
 
@@ -79,11 +80,16 @@ def _votes(spark: SparkSession, d: str) -> DataFrame:
     return vot.with_phase(fx.votes(spark, d), fx.truth(spark, d))
 
 
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    """All calls; one of the models has no price, and its calls are marked, not refused."""
+    return spend.priced_calls(fx.calls(spark, d), spend.price_table(spark), strict=False)
+
+
 def _costs(spark: SparkSession, d: str) -> DataFrame:
-    priced = spend.priced_calls(fx.calls(spark, d), spend.price_table(spark))
-    return priced.groupBy(F.col("run_id").alias("measure_id")).agg(
-        F.sum("usd").cast("double").alias("cost_usd")
-    )
+    """Cost of every (measure, group); calls without a price add nothing."""
+    return _priced(spark, d).groupBy(
+        F.col("run_id").alias("measure_id"), (F.floor(F.col("seq") / 7) % 5).cast("int").alias("group_id")
+    ).agg(F.sum("usd").cast("double").alias("cost_usd"))
 
 
 def _scored_by_seed(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +112,51 @@ def scan_microdata(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def scan_national(spark: SparkSession, d: str) -> DataFrame:
+    """Person records in two national files with their columns in different places, by name."""
+    folder = scratch_path(spark, "national")
+    people = fx.microdata(spark, d)
+    columns = people.columns
+    even = F.col("PWGTP") % 2 == 0
+    people.where(even).write.option("header", True).csv(f"{folder}/csv_pus/psam_pusa.csv")
+    people.where(~even).select(*columns[::-1], F.lit("x").alias("EXTRA")).write.option("header", True).csv(
+        f"{folder}/csv_pus/psam_pusb.csv"
+    )
+    return readers.read_national_microdata(spark, folder).groupBy("ST").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.sum("PWGTP").alias("weight"),
+        F.sum("AGEP").alias("ages"),
+        F.count("SCHL").alias("with_schooling"),
+        F.count("PINCP").alias("with_income"),
+    )
+
+
+def scan_survey_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The label survey written as CSV and scanned by name."""
+    path = scratch_path(spark, "labels")
+    fx.survey_labels(spark, d).write.option("header", True).csv(path)
+    names = fixed.LABEL_SURVEY
+    return readers.read_label_survey(spark, path).groupBy(
+        F.col(names["party"]).alias("party"), F.col(names["climate"]).alias("climate")
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(names["ideology"]).alias("with_ideology"),
+        F.count_if(F.col(names["birthyear"]) == "n/a").alias("no_birthyear"),
+    )
+
+
+def scan_survey_coded(spark: SparkSession, d: str) -> DataFrame:
+    """The coded survey written as CSV and scanned as numbers."""
+    path = f"{scratch_path(spark, 'coded')}.csv"
+    fx.survey_coded(spark, d).write.option("header", True).csv(path)
+    names = fixed.CODED_SURVEY
+    return readers.read_coded_survey(spark, path).groupBy(F.col(names["education"]).cast("int").alias("education")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(names["age"]).cast("bigint").alias("ages"),
+        F.sum(names["ideology"]).cast("bigint").alias("ideology"),
+    )
+
+
 def recode_census(spark: SparkSession, d: str) -> DataFrame:
     return recode_microdata(fx.microdata(spark, d)).withColumn("PWGTP", F.col("PWGTP").cast("bigint"))
 
@@ -193,7 +244,7 @@ def _artifact_parts(spark: SparkSession, d: str) -> DataFrame:
 
 def run_artifact(spark: SparkSession, d: str) -> DataFrame:
     return _artifact_parts(spark, d).select(
-        "measure_id", F.col("seed").cast("bigint").alias("seed"), "part",
+        "measure_id", F.col("seed").cast("bigint").alias("seed"), "part", "slice",
         F.col("report").isNotNull().alias("has_report"),
         F.size("statements").cast("bigint").alias("n_statements"),
         F.size("votes").cast("bigint").alias("n_votes"),
@@ -218,6 +269,16 @@ def explode_artifact_statements(spark: SparkSession, d: str) -> DataFrame:
     return back.select("measure_id", "seq", "speaker_id", "round", F.md5(F.col("text").cast("binary")).alias("text_md5"), "flagged")
 
 
+def explode_artifact_personas(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts written twice, which must read as once, and their personas."""
+    path = scratch_path(spark, "artifacts")
+    parts = _artifact_parts(spark, d)
+    writers.write_artifacts(parts, path)
+    writers.write_artifacts(parts, path)
+    back = readers.artifact_personas(readers.read_artifacts(spark, path))
+    return back.select("measure_id", "draw_no", "persona_id", "party_id", "age_band", "education", "race_eth")
+
+
 def survey_coded_recode(spark: SparkSession, d: str) -> DataFrame:
     return recode_coded_survey(fx.survey_coded(spark, d)).drop("ideology_scale").fillna(MISSING, ANSWERS)
 
@@ -246,7 +307,12 @@ def priors_blended(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_cells(spark: SparkSession, d: str) -> DataFrame:
-    return smp.draw_cells(_cells(spark, d), fx.specs(spark, d)).select("spec_id", "draw_no", *SKELETON)
+    drawn = smp.draw_cells(_cells(spark, d), fx.specs(spark, d), strict=False)
+    return drawn.select("spec_id", "draw_no", *SKELETON)
+
+
+def empty_scopes(spark: SparkSession, d: str) -> DataFrame:
+    return smp.empty_scopes(_cells(spark, d), fx.specs(spark, d)).select("spec_id", "n")
 
 
 def party_draw(spark: SparkSession, d: str) -> DataFrame:
@@ -260,7 +326,7 @@ def persona_priors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def persona_id(spark: SparkSession, d: str) -> DataFrame:
-    drawn = smp.draw_cells(_cells(spark, d), fx.specs(spark, d))
+    drawn = smp.draw_cells(_cells(spark, d), fx.specs(spark, d), strict=False)
     return drawn.select(
         "spec_id", "draw_no", smp.persona_id(F.col("seed"), smp.versions_json(VERSIONS)).alias("persona_id")
     )
@@ -354,7 +420,14 @@ def sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multigroup(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(vot.multigroup(_votes(spark, d), fx.truth(spark, d)))
+    """Groups beside the pooled result with its interval; some persona ids occur in two groups."""
+    number = F.substring("persona_id", 2, 20).cast("bigint")
+    shared = F.when(number % 10 == 1, F.concat(F.lit("p"), (number - 1).cast("string"))).otherwise(F.col("persona_id"))
+    votes = _votes(spark, d).withColumn("persona_id", shared)
+    interval = bootstrap_interval(votes, ["measure_id"], F.lit(42)).select(
+        "measure_id", F.col("ci_low").alias("pooled_ci_low"), F.col("ci_high").alias("pooled_ci_high")
+    )
+    return rounded(vot.multigroup(votes, fx.truth(spark, d), interval))
 
 
 def multigroup_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -367,10 +440,13 @@ def multigroup_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def backtest_summary(spark: SparkSession, d: str) -> DataFrame:
-    shares = vot.yes_shares(_votes(spark, d), ["measure_id"])
-    people = fx.personas(spark, d).groupBy("measure_id").agg(F.count(F.lit(1)).alias("n_personas"))
-    scored = vot.score_runs(shares, fx.truth(spark, d)).join(people, "measure_id")
-    return rounded(vot.backtest_summary(scored, _costs(spark, d)))
+    """Every group of a measure is a run of its own."""
+    run = ["measure_id", "group_id"]
+    people = fx.personas(spark, d).groupBy("measure_id", (F.col("draw_no") % 5).cast("int").alias("group_id")).agg(
+        F.count(F.lit(1)).alias("n_personas")
+    )
+    scored = _scored_by_seed(spark, d).join(people, run)
+    return rounded(vot.backtest_summary(scored, _costs(spark, d), run))
 
 
 def segment_error(spark: SparkSession, d: str) -> DataFrame:
@@ -380,8 +456,8 @@ def segment_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_divergence(spark: SparkSession, d: str) -> DataFrame:
-    """Each group stands for one model."""
-    scored = _scored_by_seed(spark, d).withColumn("model", F.concat(F.lit("model-"), F.col("group_id").cast("string")))
+    """Two models with several runs each: the groups with even and with odd numbers."""
+    scored = _scored_by_seed(spark, d).withColumn("model", F.concat(F.lit("model-"), (F.col("group_id") % 2).cast("string")))
     return rounded(vot.model_divergence(scored))
 
 
@@ -411,7 +487,7 @@ def strip_fences(spark: SparkSession, d: str) -> DataFrame:
     fenced = (
         F.when(doc % 4 == 0, F.concat(F.lit(" ```json\n"), body, F.lit("\n``` ")))
         .when(doc % 4 == 1, F.concat(F.lit("```\n"), body))
-        .when(doc % 4 == 2, F.concat(F.lit("```"), F.col("source"), F.lit("```")))
+        .when(doc % 4 == 2, F.concat(F.lit("```"), F.replace(body, F.lit("\n"), F.lit(" ")), F.lit("```")))
         .otherwise(body)
     )
     return fx.table(spark, d, "documents").select(
@@ -479,16 +555,14 @@ def unknown_models(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spend_by_model(spark: SparkSession, d: str) -> DataFrame:
-    priced = spend.priced_calls(fx.calls(spark, d), spend.price_table(spark))
-    return rounded(spend.spend_by_model(priced).withColumn("usd", F.col("usd").cast("double")), 9)
+    return rounded(spend.spend_by_model(_priced(spark, d)).withColumn("usd", F.col("usd").cast("double")), 9)
 
 
 def budget_cap(spark: SparkSession, d: str) -> DataFrame:
-    priced = spend.priced_calls(fx.calls(spark, d), spend.price_table(spark))
-    used = spend.budget_use(priced, ["run_id"], CAP_USD)
+    used = spend.budget_use(_priced(spark, d), ["run_id"], CAP_USD)
     return rounded(
         used.select("run_id", "seq", F.col("usd").cast("double").alias("usd"),
-                    F.col("running_usd").cast("double").alias("running_usd"), "allowed", "breach"), 9
+                    F.col("running_usd").cast("double").alias("running_usd"), "allowed", "breach", "unpriced"), 9
     )
 
 
@@ -507,6 +581,9 @@ def retry_classes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "scan_microdata": scan_microdata,
+    "scan_national": scan_national,
+    "scan_survey_labels": scan_survey_labels,
+    "scan_survey_coded": scan_survey_coded,
     "recode_census": recode_census,
     "state_lookup": state_lookup,
     "weighted_cells": cells_query,
@@ -520,6 +597,7 @@ QUERIES: dict[str, Query] = {
     "run_artifact": run_artifact,
     "explode_artifact": explode_artifact,
     "explode_artifact_statements": explode_artifact_statements,
+    "explode_artifact_personas": explode_artifact_personas,
     "recode_survey_coded": survey_coded_recode,
     "recode_survey_labels": survey_labels_recode,
     "priors_coded": priors_coded,
@@ -527,6 +605,7 @@ QUERIES: dict[str, Query] = {
     "party_backoff": party_backoff,
     "priors_blended": priors_blended,
     "sample_cells": sample_cells,
+    "empty_scopes": empty_scopes,
     "party_draw": party_draw,
     "persona_priors": persona_priors,
     "persona_id": persona_id,

@@ -101,22 +101,14 @@ def survey_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All votes before mid-January as round 0, and each user's last event per type as the final vote."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    pre = events.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).select(
-        "event_type", "user_id", F.lit(0).alias("round"), "event_id", "value"
-    )
-    post = (
-        events.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz"))
-        .groupBy("event_type", "user_id")
-        .agg(F.lit(6).alias("round"), F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
-    )
-    return pre.unionByName(post).select(
+    """All events before mid-January as round 0 and all others as final votes, however many a user has."""
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select(
         F.concat(F.lit("wa_"), F.col("event_type")).alias("measure_id"),
         (F.col("user_id") % 5).cast("int").alias("group_id"),
         F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("persona_id"),
         F.col("event_id").alias("seq"),
-        "round",
+        F.when(early, 0).otherwise(6).alias("round"),
         F.least(F.lit(1.0), F.col("value") / 100.0).alias("stance"),
         ((F.col("event_id") % 100) / 100.0).alias("confidence"),
     )
@@ -267,16 +259,16 @@ def vote_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def critic_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fact-check response per document, its text as the note in some of them."""
+    """A fact-check response per document, its text in every kind that can hold it."""
     doc = F.col("doc_id")
     quoted = F.regexp_replace("text", r'[\\"\x00-\x1f]', " ")
     response = (
         F.when(doc % 6 == 0, F.concat(F.lit('{"flagged": true, "note": "'), quoted, F.lit('"}')))
-        .when(doc % 6 == 1, '{"flagged": false, "note": ""}')
-        .when(doc % 6 == 2, "no JSON at all")
-        .when(doc % 6 == 3, F.concat(F.lit('```\n{"flagged": true, "note": "doc '), doc.cast("string"), F.lit('"}\n```')))
-        .when(doc % 6 == 4, '{"note": "no flag"}')
-        .otherwise('{"flagged": true} trailing')
+        .when(doc % 6 == 1, F.concat(F.lit('{"flagged": false, "source": "'), quoted, F.lit('", "note": ""}')))
+        .when(doc % 6 == 2, F.concat(F.lit("no JSON at all: "), quoted))
+        .when(doc % 6 == 3, F.concat(F.lit('```\n{"flagged": true, "note": "doc '), doc.cast("string"), F.lit(" "), quoted, F.lit('"}\n```')))
+        .when(doc % 6 == 4, F.concat(F.lit('{"note": "'), quoted, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"flagged": true} '), quoted))
     )
     return table(spark, sf_dir, "documents").select("doc_id", response.alias("response"))
 

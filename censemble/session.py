@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -57,5 +58,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _stored_paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_stored_paths: list[str] = []
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete what ``stored`` has written in this process; results built on it end with it.
+
+    Called when the process ends, if its session is still there. Returns the number of folders.
+    """
+    fs_of = spark._jvm.org.apache.hadoop.fs.Path
+    done = 0
+    while _stored_paths:
+        path = fs_of(_stored_paths.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
+@atexit.register
+def _clear_at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear_stored(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,31 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found) if found else []
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The path itself, or the visible files of a folder, sorted."""
+    made, fs = _path(spark, path)
+    if not fs.exists(made):
+        raise FileNotFoundError(path)
+    if not fs.getFileStatus(made).isDirectory():
+        return [path]
+    found = [s.getPath() for s in fs.listStatus(made) if s.isFile()]
+    return sorted(p.toString() for p in found if not p.getName().startswith(("_", ".")))
+
+
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names in the first line of a CSV file, which may be compressed."""
+    made, fs = _path(spark, path)
+    jvm = spark._jvm
+    stream = fs.open(made)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(made)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return next(csv.reader([(line or "").lstrip("\ufeff")]), [])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     made, fs = _path(spark, path)
     return fs.exists(made)

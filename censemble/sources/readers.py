@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,31 @@ from censemble.functions import fixed
 from censemble.functions.parsing import strip_text
 from censemble.functions.text import bare_measure_id
 from censemble.sources import schemas
-from censemble.sources.files import exists, matching
+from censemble.sources.files import csv_header, exists, files_of, matching
 
 
 def _named_csv(spark: SparkSession, paths: Sequence[str], needed: Sequence[str]) -> DataFrame:
-    """Only the needed columns, by header name and as text; a missing one is an error."""
-    frame = spark.read.option("header", True).csv(list(paths))
-    missing = [c for c in needed if c not in frame.columns]
-    if missing:
-        raise KeyError(f"columns not found: {missing}; check the variable names against the codebook")
-    return frame.select(*needed)
+    """Only the needed columns, by header name and as text; a missing one is an error.
+
+    Spark takes the places of columns from one header, so files are grouped by theirs: each group
+    is read with its own schema. Folders stand for their files. The driver reads a line per file.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        for file in files_of(spark, path):
+            by_header.setdefault(tuple(csv_header(spark, file)), []).append(file)
+    frames = []
+    for header, files in by_header.items():
+        missing = [c for c in needed if c not in header]
+        if missing:
+            raise KeyError(f"columns not found in {files[0]}: {missing}; check the variable names against the codebook")
+        # Columns that are not needed may have any names, equal ones too.
+        fields = [c if c in needed and header.index(c) == i else f"__{i}" for i, c in enumerate(header)]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in fields])
+        frames.append(spark.read.schema(schema).option("header", True).csv(files).select(*needed))
+    if not frames:
+        raise FileNotFoundError(f"no files at {list(paths)}")
+    return reduce(DataFrame.unionByName, frames)
 
 
 def _typed(frame: DataFrame, ddl: str) -> DataFrame:

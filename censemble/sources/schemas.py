@@ -40,7 +40,7 @@ PERSONA = (
     "p_gun_restriction_support: double, p_tax_on_rich_support: double, ideology_score: double>>"
 )
 ARTIFACT = (
-    "measure_id string, seed int, part bigint, report string, "
+    "measure_id string, seed int, part bigint, slice int, report string, "
     f"statements array<{STATEMENT}>, votes array<{VOTE}>, personas array<{PERSONA}>"
 )
 TABLES = {

@@ -196,12 +196,9 @@ _cte("sampled", ["drawn", "party_dist", "blended"], f"""
 
 _cte("votes", [], """
     SELECT 'wa_' || event_type AS measure_id, (user_id % 5)::INTEGER AS group_id, 'p' || user_id AS persona_id,
-           event_id AS seq, round, least(1.0, value / 100.0) AS stance, (event_id % 100) / 100.0::DOUBLE AS confidence
-    FROM (
-      SELECT event_type, user_id, event_id, value, 0 AS round FROM events WHERE ts < TIMESTAMP '2024-01-16'
-      UNION ALL
-      SELECT event_type, user_id, max(event_id), max_by(value, event_id), 6 FROM events
-      WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY event_type, user_id)""")
+           event_id AS seq, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 6 END AS round,
+           least(1.0, value / 100.0) AS stance, (event_id % 100) / 100.0::DOUBLE AS confidence
+    FROM events""")
 _cte("personas", [], f"""
     SELECT DISTINCT 'wa_' || event_type AS measure_id, 'p' || user_id AS persona_id, user_id,
            {_pick(fixed.PARTIES, 'user_id % 3')} AS party_id, {_pick(fixed.AGE_BANDS, 'user_id % 4')} AS age_band,
@@ -213,6 +210,23 @@ _cte("truth", [], """
            30.0::DOUBLE + (count(*) % 400) / 10.0::DOUBLE > 50.0 AS passed
     FROM events GROUP BY event_type""")
 _cte("runs", ["votes"], "SELECT DISTINCT measure_id FROM votes")
+# Runs of up to 65,536 votes, as in the test tables, are one block of places.
+_cte("interval", ["votes", "runs"], """
+    WITH post AS (SELECT measure_id, stance, row_number() OVER (PARTITION BY measure_id ORDER BY seq) - 1 AS place
+                  FROM votes WHERE round = 6),
+         sizes AS (SELECT measure_id, count(*) AS n FROM post GROUP BY measure_id),
+         digests AS (SELECT rep, half, md5('42:' || rep || ':0:' || half) AS digest
+                     FROM range(1000) r(rep), range((SELECT max(n) // 2 + 1 FROM sizes)) h(half)),
+         draws AS (SELECT rep, 2 * half AS i, ('0x' || substr(digest, 1, 15))::BIGINT AS h FROM digests
+                   UNION ALL SELECT rep, 2 * half + 1, ('0x' || substr(digest, 17, 15))::BIGINT FROM digests),
+         shares AS (SELECT s.measure_id, d.rep, 100.0 * sum(p.stance) / count(*) AS share
+                    FROM sizes s JOIN draws d ON d.i < s.n
+                    JOIN post p ON p.measure_id = s.measure_id AND p.place = d.h % s.n
+                    GROUP BY s.measure_id, d.rep),
+         ranked AS (SELECT *, row_number() OVER (PARTITION BY measure_id ORDER BY share, rep) - 1 AS rank FROM shares)
+    SELECT r.measure_id, round(coalesce(max(share) FILTER (rank = 25), 50.0), 9) AS ci_low,
+           round(coalesce(max(share) FILTER (rank = 975), 50.0), 9) AS ci_high
+    FROM runs r LEFT JOIN ranked k USING (measure_id) GROUP BY r.measure_id""")
 _cte("paired", ["votes"], """
     WITH pre AS (SELECT measure_id, persona_id, arg_max(stance, seq) AS pre FROM votes WHERE round = 0 GROUP BY ALL)
     SELECT v.*, p.pre FROM votes v LEFT JOIN pre p USING (measure_id, persona_id) WHERE v.round = 6""")
@@ -291,7 +305,7 @@ _cte("prices", [], "SELECT model, input::DECIMAL(12,6) AS input, output::DECIMAL
      + _values([(m, i, o) for m, (i, o) in fixed.PRICES.items()]) + ") t(model, input, output)")
 _cte("priced", ["calls", "prices"], """
     SELECT c.*, ((in_tok::DECIMAL(18,0) * input + out_tok::DECIMAL(18,0) * output) * 0.000001::DECIMAL(7,6))::DECIMAL(38,12) AS usd
-    FROM calls c JOIN prices USING (model)""")
+    FROM calls c LEFT JOIN prices USING (model)""")
 
 
 def _planted(plants: list[str]) -> str:
@@ -359,7 +373,7 @@ def query(needs: list[str], select: str) -> str:
     return "WITH " + ",\n".join(fragments) + "\n" + body
 
 
-def _r(columns: list[str], digits: int = 6) -> str:
+def _r(columns: list[str], digits: int = 9) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
 
@@ -370,8 +384,8 @@ def _first_pattern(patterns: list[str]) -> str:
 
 def _spread(value: str) -> str:
     sd = f"coalesce(stddev_samp({value}), 0.0)"
-    return (f"round(avg({value}), 6) AS mean_predicted, round({sd}, 6) AS sd_predicted, "
-            f"round(avg({value}) - 1.96 * {sd}, 6) AS ci_low, round(avg({value}) + 1.96 * {sd}, 6) AS ci_high")
+    return (f"round(avg({value}), 9) AS mean_predicted, round({sd}, 9) AS sd_predicted, "
+            f"round(avg({value}) - 1.96 * {sd}, 9) AS ci_low, round(avg({value}) + 1.96 * {sd}, 9) AS ci_high")
 
 
 _artifact_run = f"'wa_' || {_pick(fx.RUNS, 'conv_id % 5')}"
@@ -399,6 +413,18 @@ ORACLE: dict[str, str] = {
     "scan_microdata": query(["microdata"], """
         SELECT ST, count(*) AS records, sum(PWGTP)::BIGINT AS weight, count(SCHL) AS with_schooling,
                count(PINCP) AS with_income FROM microdata GROUP BY ST"""),
+    "scan_national": query(["microdata"], """
+        SELECT ST, count(*) AS records, sum(PWGTP)::BIGINT AS weight, sum(AGEP)::BIGINT AS ages, count(SCHL) AS with_schooling,
+               count(PINCP) AS with_income FROM microdata GROUP BY ST"""),
+    "scan_survey_labels": query(["survey_labels"], """
+        SELECT pid7 AS party, climate_answer AS climate, count(*) AS n, count(ideo5) AS with_ideology,
+               count(*) FILTER (birthyr = 'n/a') AS no_birthyear
+        FROM survey_labels GROUP BY ALL"""),
+    "scan_survey_coded": """
+        SELECT CASE WHEN o_orderkey % 100 = 0 THEN 1 WHEN o_orderkey % 100 < 40 THEN 2 WHEN o_orderkey % 100 < 70 THEN 3
+                    WHEN o_orderkey % 100 < 90 THEN 4 WHEN o_orderkey % 100 < 98 THEN 5 ELSE -9 END::INTEGER AS education,
+               count(*) AS n, sum(15 + (o_custkey * 7) % 75)::BIGINT AS ages, sum((o_custkey // 3) % 9)::BIGINT AS ideology
+        FROM orders GROUP BY 1""",
     "recode_census": query(["recoded"], "SELECT * FROM recoded"),
     "state_lookup": query(["microdata", "states"], """
         SELECT ST, state, count(*) AS records FROM microdata JOIN states ON ST = fips GROUP BY ALL"""),
@@ -433,15 +459,17 @@ ORACLE: dict[str, str] = {
              p AS (SELECT measure_id, user_id // 10000 AS part, count(*) AS n,
                           string_agg(persona_id, ',' ORDER BY user_id) FILTER (party_id = 'dem') AS democrats
                    FROM personas GROUP BY ALL)
-        SELECT measure_id, 42::BIGINT AS seed, part, part = 0 AS has_report, coalesce(s.n, 0) AS n_statements,
+        SELECT measure_id, 42::BIGINT AS seed, part, 0::INTEGER AS slice, part = 0 AS has_report, coalesce(s.n, 0) AS n_statements,
                coalesce(v.n, 0) AS n_votes, coalesce(p.n, 0) AS n_personas, coalesce(democrats, '') AS democrats
         FROM v FULL JOIN s USING (measure_id, part) FULL JOIN p USING (measure_id, part)"""),
     "explode_artifact": query(["votes"], """
-        SELECT measure_id, seq, persona_id, round, round(stance, 6) AS stance, round(confidence, 6) AS confidence,
+        SELECT measure_id, seq, persona_id, round, round(stance, 9) AS stance, round(confidence, 9) AS confidence,
                'because ' || seq AS rationale FROM votes"""),
     "explode_artifact_statements": query(["statements"], f"""
         SELECT 'wa_' || {_pick(fx.RUNS, 'run_id % 5')} AS measure_id, run_id * 100 + seq AS seq, speaker_id, round,
                md5(text) AS text_md5, flagged FROM statements"""),
+    "explode_artifact_personas": query(["personas"], """
+        SELECT measure_id, user_id AS draw_no, persona_id, party_id, age_band, education, race_eth FROM personas"""),
     "recode_survey_coded": query(["coded"], f"SELECT party_id, education, age_band, race_eth, {_ANSWERS} FROM coded"),
     "recode_survey_labels": query(["labels_recoded"], f"SELECT party_id, education, age_band, {_ANSWERS} FROM labels_recoded"),
     "priors_coded": query(["priors_coded"], f"SELECT party_id, education, age_band, {_r(VALUES4)}, cell_n FROM priors_coded"),
@@ -450,6 +478,9 @@ ORACLE: dict[str, str] = {
         SELECT age_band, education, race_eth, {_r(['p_dem', 'p_ind', 'p_rep'])}, cell_n FROM party_dist"""),
     "priors_blended": query(["blended"], f"SELECT party_id, education, age_band, {_r(VALUES4)}, blend_n FROM blended"),
     "sample_cells": query(["drawn"], f"SELECT spec_id, draw_no, {SKELETON} FROM drawn"),
+    "empty_scopes": query(["pool", "specs"], """
+        SELECT spec_id, n FROM specs WHERE scope <> 'US' AND scope NOT IN (SELECT state FROM pool WHERE person_weight > 0)
+           OR NOT EXISTS (SELECT 1 FROM pool WHERE person_weight > 0)"""),
     "party_draw": query(["sampled"], "SELECT spec_id, draw_no, age_band, education, race_eth, party_id FROM sampled"),
     "persona_priors": query(["sampled"], f"""
         SELECT spec_id, draw_no, party_id, education, age_band, {_r(VALUES4)} FROM sampled"""),
@@ -479,67 +510,62 @@ ORACLE: dict[str, str] = {
                    WHEN 'ind' THEN coalesce(p_ind, 1.0::DOUBLE / 3.0) ELSE coalesce(p_rep, 1.0::DOUBLE / 3.0) END AS wp
           FROM cells c CROSS JOIN (VALUES ('dem'), ('ind'), ('rep')) t(party_id)
           LEFT JOIN (SELECT * FROM party_dist WHERE cell_n >= 5) p USING (age_band, education, race_eth))
-        SELECT state, {', '.join(f"round(sum(wp * coalesce(b.{v}, {'0.0' if v == 'ideology_score' else '0.5'})) / sum(wp), 6) + 0.0 AS {v}" for v in VALUES4)}
+        SELECT state, {', '.join(f"round(sum(wp * coalesce(b.{v}, {'0.0' if v == 'ideology_score' else '0.5'})) / sum(wp), 9) + 0.0 AS {v}" for v in VALUES4)}
         FROM w LEFT JOIN blended b USING (party_id, education, age_band) GROUP BY state"""),
     "yes_share": query(["shares"], f"SELECT measure_id, n_votes, {_r(['yes_pct', 'weighted_pct'])} FROM shares"),
     "opinion_change": query(["change"], f"SELECT measure_id, {_r(['mean_abs_delta', 'flip_rate'])}, n FROM change"),
     "segment_breakdown": query(["segments"], f"""
-        SELECT measure_id, axis, value, n, suppressed, {_r(['pred_yes_pct', 'mean_abs_delta'])} FROM segments"""),
-    "bootstrap_ci": query(["votes", "runs"], f"""
-        WITH post AS (SELECT measure_id, stance, row_number() OVER (PARTITION BY measure_id ORDER BY seq) - 1 AS place
-                      FROM votes WHERE round = 6),
-             sizes AS (SELECT measure_id, count(*) AS n FROM post GROUP BY measure_id),
-             digests AS (SELECT rep, half, md5('42:' || rep || ':' || half) AS digest
-                         FROM range(1000) r(rep), range((SELECT max(n) // 2 + 1 FROM sizes)) h(half)),
-             draws AS (SELECT rep, 2 * half AS i, ('0x' || substr(digest, 1, 15))::BIGINT AS h FROM digests
-                       UNION ALL SELECT rep, 2 * half + 1, ('0x' || substr(digest, 17, 15))::BIGINT FROM digests),
-             shares AS (SELECT s.measure_id, d.rep, 100.0 * sum(p.stance) / count(*) AS share
-                        FROM sizes s JOIN draws d ON d.i < s.n
-                        JOIN post p ON p.measure_id = s.measure_id AND p.place = d.h % s.n
-                        GROUP BY s.measure_id, d.rep),
-             ranked AS (SELECT *, row_number() OVER (PARTITION BY measure_id ORDER BY share, rep) - 1 AS rank FROM shares)
-        SELECT r.measure_id, round(coalesce(max(share) FILTER (rank = 25), 50.0), 6) AS ci_low,
-               round(coalesce(max(share) FILTER (rank = 975), 50.0), 6) AS ci_high
-        FROM runs r LEFT JOIN ranked k USING (measure_id) GROUP BY r.measure_id"""),
+        SELECT measure_id, axis, value, n, suppressed, {_r(['pred_yes_pct', 'mean_abs_delta'], 9)} FROM segments"""),
+    "bootstrap_ci": query(["interval"], "SELECT * FROM interval"),
     "calibration": query(["scored"], f"""
         SELECT measure_id, n_votes, passed,
                {_r(['yes_pct', 'weighted_pct', 'actual_yes_pct', 'mae_threshold', 'mae_weighted', 'brier'])} FROM scored"""),
     "sensitivity": query(["group_scored"], f"""
-        SELECT measure_id, count(*) AS n_seeds, round(max(actual_yes_pct), 6) AS actual_yes_pct, {_spread('weighted_pct')},
-               round(min(weighted_pct), 6) AS min_predicted, round(max(weighted_pct), 6) AS max_predicted,
-               round(max(weighted_pct) - min(weighted_pct), 6) AS spread,
-               round(avg(mae_weighted), 6) AS mean_mae, round(avg(brier), 6) AS mean_brier
+        SELECT measure_id, count(*) AS n_seeds, round(max(actual_yes_pct), 9) AS actual_yes_pct, {_spread('weighted_pct')},
+               round(min(weighted_pct), 9) AS min_predicted, round(max(weighted_pct), 9) AS max_predicted,
+               round(max(weighted_pct) - min(weighted_pct), 9) AS spread,
+               round(avg(mae_weighted), 9) AS mean_mae, round(avg(brier), 9) AS mean_brier
         FROM group_scored GROUP BY measure_id"""),
-    "multigroup": query(["group_shares", "scored", "change"], f"""
-        SELECT g.*, round(s.weighted_pct, 6) AS pooled_predicted, round(s.actual_yes_pct, 6) AS actual_yes_pct,
-               round(s.mae_weighted, 6) AS mae_weighted, round(c.mean_abs_delta, 6) AS mean_abs_delta,
-               round(c.flip_rate, 6) AS flip_rate, c.n AS n_matched
+    "multigroup": query(["group_shares", "scored", "interval", "votes"], f"""
+        WITH named AS (
+          SELECT * REPLACE (CASE WHEN substr(persona_id, 2)::BIGINT % 10 = 1
+                                 THEN 'p' || (substr(persona_id, 2)::BIGINT - 1) ELSE persona_id END AS persona_id) FROM votes),
+        before AS (SELECT measure_id, persona_id, arg_max(stance, seq) AS pre FROM named WHERE round = 0 GROUP BY ALL),
+        moved AS (SELECT measure_id, avg(abs(stance - pre)) AS mean_abs_delta, avg(((stance > 0.5) <> (pre > 0.5))::INTEGER) AS flip_rate,
+                         count(*) AS n
+                  FROM named JOIN before USING (measure_id, persona_id) WHERE round = 6 GROUP BY measure_id)
+        SELECT g.*, round(s.weighted_pct, 9) AS pooled_predicted, round(s.actual_yes_pct, 9) AS actual_yes_pct,
+               round(s.mae_weighted, 9) AS mae_weighted, round(coalesce(c.mean_abs_delta, 0.0), 9) AS mean_abs_delta,
+               round(coalesce(c.flip_rate, 0.0), 9) AS flip_rate, coalesce(c.n, 0) AS n_matched,
+               i.ci_low AS pooled_ci_low, i.ci_high AS pooled_ci_high
         FROM (SELECT measure_id, count(*) AS n_groups, sum(n_votes)::BIGINT AS n_votes, {_spread('weighted_pct')}
               FROM group_shares GROUP BY measure_id) g
-        JOIN scored s USING (measure_id) JOIN change c USING (measure_id)"""),
+        JOIN scored s USING (measure_id) JOIN interval i USING (measure_id) LEFT JOIN moved c USING (measure_id)"""),
     "multigroup_segments": query(["personas", "paired"], f"""
-        SELECT measure_id, axis, value, n, suppressed, {_r(['pred_yes_pct', 'mean_abs_delta'])}
+        SELECT measure_id, axis, value, n, suppressed, {_r(['pred_yes_pct', 'mean_abs_delta'], 9)}
         FROM ({_segments(_members(['party_id', 'education']))})"""),
-    "backtest_summary": query(["scored", "personas", "priced"], """
-        SELECT s.measure_id, sum(n_personas)::BIGINT AS n_personas, round(avg(weighted_pct), 6) AS predicted,
-               round(avg(actual_yes_pct), 6) AS actual, round(avg(mae_weighted), 6) AS mae, round(avg(brier), 6) AS brier,
-               round(sum(coalesce(cost, 0.0)), 6) AS cost_usd
-        FROM scored s JOIN (SELECT measure_id, count(*) AS n_personas FROM personas GROUP BY ALL) p USING (measure_id)
-        LEFT JOIN (SELECT run_id AS measure_id, sum(usd)::DOUBLE AS cost FROM priced GROUP BY ALL) c USING (measure_id)
+    "backtest_summary": query(["group_scored", "personas", "priced"], """
+        SELECT s.measure_id, grouping(s.measure_id)::INTEGER AS level, count(*) AS n_runs, sum(n_personas)::BIGINT AS n_personas,
+               round(avg(weighted_pct), 9) AS predicted, round(avg(actual_yes_pct), 9) AS actual,
+               round(avg(mae_weighted), 9) AS mae, round(avg(brier), 9) AS brier, round(sum(coalesce(cost, 0.0)), 9) AS cost_usd
+        FROM group_scored s
+        JOIN (SELECT measure_id, (user_id % 5)::INTEGER AS group_id, count(*) AS n_personas FROM personas GROUP BY ALL) p USING (measure_id, group_id)
+        LEFT JOIN (SELECT run_id AS measure_id, ((seq // 7) % 5)::INTEGER AS group_id, sum(usd)::DOUBLE AS cost FROM priced GROUP BY ALL) c
+             USING (measure_id, group_id)
         GROUP BY ROLLUP (s.measure_id)"""),
     "segment_error": query(["segments"], f"""
         SELECT measure_id, axis, value, n, {_r(['pred_yes_pct', 'certified_yes_pct'])},
-               round(abs(pred_yes_pct - certified_yes_pct), 6) AS abs_error
+               round(abs(pred_yes_pct - certified_yes_pct), 9) AS abs_error
         FROM segments JOIN (
           SELECT 'wa_' || event_type AS measure_id, 'party_id' AS axis, {_pick(fixed.PARTIES, 'user_id % 3')} AS value,
                  20.0::DOUBLE + (count(*) % 600) / 10.0::DOUBLE AS certified_yes_pct
           FROM events GROUP BY ALL) USING (measure_id, axis, value)
         WHERE NOT suppressed"""),
     "model_divergence": query(["group_scored"], """
-        SELECT measure_id, count(*) AS n_models, round(min(weighted_pct), 6) AS min_predicted,
-               round(max(weighted_pct), 6) AS max_predicted, round(max(weighted_pct) - min(weighted_pct), 6) AS divergence,
-               'model-' || arg_min(group_id, weighted_pct) AS lowest_model, 'model-' || arg_max(group_id, weighted_pct) AS highest_model
-        FROM group_scored GROUP BY measure_id"""),
+        SELECT measure_id, count(*) AS n_models, round(min(w), 9) AS min_predicted, round(max(w), 9) AS max_predicted,
+               round(max(w) - min(w), 9) AS divergence, arg_min(model, w) AS lowest_model, arg_max(model, w) AS highest_model
+        FROM (SELECT measure_id, 'model-' || (group_id % 2) AS model, avg(weighted_pct) AS w FROM group_scored GROUP BY ALL)
+        GROUP BY measure_id"""),
     "run_grid": """
         SELECT 'wa_m' || doc_id AS measure_id, seed::INTEGER AS seed, group_id::INTEGER AS group_id, (seed + group_id)::INTEGER AS run_seed
         FROM documents CROSS JOIN range(1, 6) s(seed) CROSS JOIN range(3) g(group_id)""",
@@ -555,22 +581,22 @@ ORACLE: dict[str, str] = {
                  CASE s WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 ELSE TRY_CAST(s AS DOUBLE) END AS s,
                  CASE c WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 ELSE TRY_CAST(c AS DOUBLE) END AS c
           FROM typed)
-        SELECT event_id, CASE WHEN ok THEN round(greatest(0.0, least(1.0, coalesce(s, 0.5))), 6) ELSE 0.5 END + 0.0 AS stance,
-               CASE WHEN ok THEN round(greatest(0.0, least(1.0, coalesce(c, 0.5))), 6) ELSE 0.3 END + 0.0 AS confidence,
+        SELECT event_id, CASE WHEN ok THEN round(greatest(0.0, least(1.0, coalesce(s, 0.5))), 9) ELSE 0.5 END + 0.0 AS stance,
+               CASE WHEN ok THEN round(greatest(0.0, least(1.0, coalesce(c, 0.5))), 9) ELSE 0.3 END + 0.0 AS confidence,
                CASE WHEN ok THEN substr(coalesce(r, ''), 1, 600) ELSE {_text(fixed.UNPARSEABLE_VOTE)} END AS rationale
         FROM numbers"""),
     "parse_critic": r"""
         SELECT doc_id, doc_id % 6 IN (0, 3) AS flagged,
-               nullif(CASE doc_id % 6 WHEN 0 THEN substr(regexp_replace(text, '[\\"\x00-\x1f]', ' ', 'g'), 1, 300)
-                    WHEN 3 THEN 'doc ' || doc_id WHEN 4 THEN 'no flag' END, '') AS note
-        FROM documents""",
+               nullif(CASE doc_id % 6 WHEN 0 THEN substr(said, 1, 300) WHEN 3 THEN substr('doc ' || doc_id || ' ' || said, 1, 300)
+                    WHEN 4 THEN substr(said, 1, 300) END, '') AS note
+        FROM (SELECT doc_id, regexp_replace(text, '[\\"\x00-\x1f]', ' ', 'g') AS said FROM documents)""",
     "parse_probe": query(["probes_read"], """
-        SELECT measure_id, seed, knows, round(yes_pct, 6) AS yes_pct, round(confidence, 6) AS confidence, note FROM probes_read"""),
+        SELECT measure_id, seed, knows, round(yes_pct, 9) AS yes_pct, round(confidence, 9) AS confidence, note FROM probes_read"""),
     "strip_fences": r"""
-        SELECT doc_id, md5(CASE doc_id % 4 WHEN 2 THEN source ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END) AS stripped_md5
+        SELECT doc_id, md5(regexp_replace(CASE doc_id % 4 WHEN 2 THEN replace(text, chr(10), ' ') ELSE text END, '^\s+|\s+$', '', 'g')) AS stripped_md5
         FROM documents""",
     "contamination_flags": query(["probes_read"], """
-        SELECT measure_id, seed, knows, round(yes_pct, 6) AS yes_pct, actual_yes_pct,
+        SELECT measure_id, seed, knows, round(yes_pct, 9) AS yes_pct, actual_yes_pct,
                CASE WHEN knows THEN abs(yes_pct - actual_yes_pct) END AS recall_error,
                CASE WHEN NOT knows OR yes_pct IS NULL THEN 'NONE' WHEN abs(yes_pct - actual_yes_pct) <= 5 THEN 'HIGH'
                     WHEN abs(yes_pct - actual_yes_pct) <= 15 THEN 'MODERATE' ELSE 'LOW' END AS flag
@@ -610,18 +636,20 @@ ORACLE: dict[str, str] = {
                               b - least(1.0, value / 100.0) AS shift
                        FROM events e JOIN base USING (event_type, user_id) WHERE ts >= TIMESTAMP '2024-01-16')
         SELECT s.run_id, s.speaker_id, any_value(n_statements) AS n_statements, count(shift) AS n_personas,
-               round(coalesce(avg(shift), 0.0), 6) + 0.0 AS mean_signed_shift, round(coalesce(avg(abs(shift)), 0.0), 6) AS mean_abs_shift
+               round(coalesce(avg(shift), 0.0), 9) + 0.0 AS mean_signed_shift, round(coalesce(avg(abs(shift)), 0.0), 9) AS mean_abs_shift
         FROM said s LEFT JOIN moved USING (run_id, speaker_id) GROUP BY s.run_id, s.speaker_id"""),
     "unknown_models": query(["calls", "prices"], """
         SELECT model, count(*) AS calls FROM calls WHERE model NOT IN (SELECT model FROM prices) GROUP BY model"""),
     "spend_by_model": query(["priced"], """
         SELECT run_id, model, count(*) AS calls, sum(in_tok)::BIGINT AS in_tok, sum(out_tok)::BIGINT AS out_tok,
-               round(sum(usd)::DOUBLE, 9) AS usd, grouping(run_id, model)::INTEGER AS level
+               round(sum(usd)::DOUBLE, 9) AS usd, count(*) FILTER (usd IS NULL) AS unpriced_calls, grouping(run_id, model)::INTEGER AS level
         FROM priced GROUP BY ROLLUP (run_id, model)"""),
     "budget_cap": query(["priced"], f"""
-        WITH r AS (SELECT *, sum(usd) OVER (PARTITION BY run_id ORDER BY seq) AS running FROM priced)
+        WITH r AS (SELECT *, coalesce(usd, 0) AS charge,
+                          sum(coalesce(usd, 0)) OVER (PARTITION BY run_id ORDER BY seq) AS running FROM priced)
         SELECT run_id, seq, round(usd::DOUBLE, 9) AS usd, round(running::DOUBLE, 9) AS running_usd,
-               running - usd <= {CAP_USD} AS allowed, running > {CAP_USD} AND running - usd <= {CAP_USD} AS breach
+               running - charge <= {CAP_USD} AS allowed, running > {CAP_USD} AND running - charge <= {CAP_USD} AS breach,
+               usd IS NULL AS unpriced
         FROM r"""),
     "token_estimates": "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents",
     "model_stamp": query(["calls"], """

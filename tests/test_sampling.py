@@ -3,7 +3,9 @@ import json
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from censemble import session
 from censemble.functions import fixed
 from censemble.operators import sampling as smp
 from censemble.operators import validate
@@ -110,3 +112,44 @@ def test_baseline_is_the_weighted_mean(spark, cells):
 def test_draw_join_is_a_hash_or_merge_join(spark, cells):
     plan = smp.draw_cells(cells, spark.createDataFrame([(1, "US", 5, 1)], SPECS))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_only_asked_states_are_read_and_one_table_is_stored(spark, tmp_path):
+    rows = [(s, "00001", "30-44", sex, "white_nh", "hs", "lt_25k", 10, 9) for s in ("CA", "WA", "ZZ") for sex in ("male", "female")]
+    spark.createDataFrame(rows, CELLS).write.partitionBy("state").parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    plans = []
+    kept = smp.weight_intervals
+
+    def spied(pool):
+        plans.append(pool._jdf.queryExecution().executedPlan().toString())
+        return kept(pool)
+
+    before = len(session._stored_paths)
+    smp.weight_intervals = spied
+    try:
+        drawn = smp.draw_cells(cells, spark.createDataFrame([(1, "WA", 20, 7)], SPECS)).collect()
+    finally:
+        smp.weight_intervals = kept
+    assert {r.state for r in drawn} == {"WA"} and len(drawn) == 20
+    assert "PartitionFilters: [state" in plans[0].replace("PartitionFilters: [isnotnull(state", "PartitionFilters: [state")
+    assert len(session._stored_paths) == before + 1
+    every = smp.draw_cells(cells, spark.createDataFrame([(1, "US", 300, 7)], SPECS)).collect()
+    assert {r.state for r in every} == {"CA", "WA", "ZZ"} and len(every) == 300
+
+
+def test_scope_without_cells_is_an_error(spark):
+    rows = [("CA", "00001", "30-44", "male", "white_nh", "hs", "lt_25k", 10, 9)]
+    specs = spark.createDataFrame([(1, "CA", 3, 7), (2, "TX", 3, 7)], SPECS)
+    with pytest.raises(Exception, match="no cells with enough records in scope TX"):
+        smp.draw_cells(spark.createDataFrame(rows, CELLS), specs).collect()
+    cells = spark.createDataFrame(rows, CELLS)
+    assert smp.draw_cells(cells, specs, strict=False).count() == 3
+    assert [r.spec_id for r in smp.empty_scopes(cells, specs).collect()] == [2]
+
+
+def test_versions_are_escaped_like_json(spark):
+    versions = {"a": 'x"y\\z\n\t', "b": "é 日 😀 \x01"}
+    frame = spark.createDataFrame([(versions,)], "v map<string,string>")
+    got = frame.select(smp.versions_json(F.col("v")).alias("m"), smp.versions_json(versions).alias("d")).first()
+    assert got.m == got.d == json.dumps(versions, sort_keys=True)

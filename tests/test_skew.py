@@ -86,15 +86,17 @@ def test_split_join_refuses_other_kinds(spark, skewed):
         split_join(facts, facts, ["key"], "full")
 
 
-def test_lookup_join_same_on_both_sides_of_the_limit(spark, skewed):
+def test_lookup_join_keeps_every_row_and_runs_no_job(spark, skewed):
     facts = spark.createDataFrame(skewed, "key string, seq long, value long")
     lookup = spark.createDataFrame([("hot", 1), ("k1", 3)], "key string, w int")
-    small = lookup_join(facts, lookup, ["key"], "left")
-    large = lookup_join(facts, lookup, ["key"], "left", max_rows=1)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert Counter(map(tuple, small.select("key", "seq", "w").collect())) == Counter(
-        map(tuple, large.select("key", "seq", "w").collect())
-    )
+    spark.sparkContext.setJobGroup("lookup", "lookup")
+    joined = lookup_join(facts, lookup, ["key"], "left")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lookup")
+    spark.sparkContext.setJobGroup("", "")
+    weights = {"hot": 1, "k1": 3}
+    assert Counter(map(tuple, joined.select("key", "seq", "w").collect())) == Counter((k, n, weights.get(k)) for k, n, _ in skewed)
+    with pytest.raises(ValueError):
+        lookup_join(facts, lookup, ["key"], "full")
 
 
 def test_first_k_matches_sort(spark, skewed):

@@ -135,7 +135,15 @@ def test_artifacts_round_trip(spark, tmp_path, part_size):
     nested = writers.run_artifacts(reports, said, votes, people, part_size)
     assert max(len(r.votes) for r in nested.collect()) <= part_size
     path = str(tmp_path / "runs")
-    writers.write_artifacts(nested, path)
+    # Written again, a run replaces itself.
+    for _ in range(2):
+        writers.write_artifacts(nested, path)
+    assert len(list((tmp_path / "runs").glob("*/*/*.json"))) == nested.count()
+    cut = writers.run_artifacts(reports, said, votes, people, part_size, slice_bytes=3)
+    assert max(len(r.votes) for r in cut.collect()) <= 3
+    writers.write_artifacts(cut, str(tmp_path / "cut"))
+    again = readers.artifact_votes(readers.read_artifacts(spark, str(tmp_path / "cut"))).select(votes.columns)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, votes.where("seed = 1").collect()))
     back = readers.read_artifacts(spark, path)
     got = readers.artifact_votes(back).select(votes.columns)
     # The second run's report is refused, so nothing of that run is written.
@@ -159,17 +167,36 @@ def test_reports_from_artifacts(spark, tmp_path):
     segments = spark.read.json(f"{out}/segments").where("axis = 'party_id'").collect()
     assert {(r.seed, r.value, r.n) for r in segments} == {(1, "dem", 6), (2, "dem", 6)}
     assert spark.read.json(f"{out}/sensitivity").first().n_seeds == 2
+    summary = {r.level: r for r in spark.read.json(f"{out}/summary").collect()}
+    assert summary[0].n_runs == 2 and summary[1].cost_usd == 1.25
+    assert spark.read.json(f"{out}/multigroup").first().n_groups == 2
     groups = backtest.multigroup_report(votes, readers.with_measure_defaults(raw), 42).first()
     assert groups.n_groups == 2 and groups.pooled_ci_low == pytest.approx(70.0)
 
 
+def test_csv_columns_go_by_name_in_every_file(spark, tmp_path):
+    write(tmp_path / "csv_pus" / "psam_pusa.csv", [HEADER, "x,53,-9,1,40,2,1,1,21,1,10"])
+    names = HEADER.split(",")
+    values = dict(zip(names, "y,6,-9,2,70,1,2,1,16,5,30".split(","), strict=True))
+    turned = ["PWGTP", *[n for n in names[::-1] if n != "PWGTP"], "MORE", "MORE"]
+    write(tmp_path / "csv_pus" / "psam_pusb.csv", [",".join(turned), ",".join([values.get(n, "z") for n in turned])])
+    rows = {r.ST: r for r in readers.read_national_microdata(spark, str(tmp_path)).collect()}
+    assert (rows[53].PWGTP, rows[53].AGEP) == (10, 40) and (rows[6].PWGTP, rows[6].AGEP, rows[6].PINCP) == (30, 70, 5.0)
+    write(tmp_path / "bad" / "psam_pusa.csv", [HEADER, "x,53,-9,1,40,2,1,1,21,1,10"])
+    write(tmp_path / "bad" / "psam_pusb.csv", [HEADER.replace("AGEP", "AGE"), "x,53,-9,1,40,2,1,1,21,1,10"])
+    with pytest.raises(KeyError, match="AGEP"):
+        readers.read_national_microdata(spark, str(tmp_path / "bad"))
+
+
 def test_contamination_report(spark, tmp_path):
     probes = spark.createDataFrame(
-        [("wa_a", 1, '{"knows": true, "yes_pct": 52, "confidence": 0.5, "note": "n"}', 50.0), ("wa_a", 2, "?", 50.0)],
+        [("wa_a", 1, '{"knows": true, "yes_pct": 52, "confidence": 0.5, "note": "n"}', 50.0), ("wa_a", 2, "?", 50.0),
+         ("wa_a", 3, '{"knows": true, "yes_pct": 1, "note": "The campaign should act"}', 50.0)],
         "measure_id string, seed int, response string, actual_yes_pct double",
     )
     backtest.contamination_report(probes, str(tmp_path / "c"))
     rows = {r.seed: (r.flag, r.recall_error, r.knows) for r in spark.read.json(str(tmp_path / "c")).collect()}
+    # The third probe's note is refused, and with it the row.
     assert rows == {1: ("HIGH", 2.0, True), 2: ("NONE", None, False)}
 
 

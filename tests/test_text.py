@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from censemble.functions import fixed, parsing, policy, text
+from censemble.operators import validate
 from censemble.operators import calibration as cal
 from censemble.operators import spend, validate
 
@@ -24,6 +25,8 @@ def one(spark, fn, value):
     ('```json\n{"stance": 0.7, "confidence": 0.2, "rationale": "x"}\n```', 0.7, 0.2, "x"),
     ('{"stance": "0.7"}', 0.7, 0.5, ""), ('{"stance": null}', 0.5, 0.3, fixed.UNPARSEABLE_VOTE),
     ('{"stance": true}', 1.0, 0.5, ""), ('{"stance": 1.5}', 1.0, 0.5, ""), ('{"stance": NaN}', 1.0, 0.5, ""),
+    ('{"stance": NaN, "rationale": "score: NaN, so"}', 1.0, 0.5, "score: NaN, so"),
+    ('{"rationale": "x, \\"stance\\": NaN, y", "confidence": Infinity}', 0.5, 1.0, 'x, "stance": NaN, y'),
     ('{"stance": -Infinity}', 0.0, 0.5, ""), ('{"stance": 0.4, "rationale": "a: NaN, b"}', 0.4, 0.5, "a: NaN, b"),
     ('{"stance": 0.4} trailing', 0.5, 0.3, fixed.UNPARSEABLE_VOTE), ('{"stance": 0.4} x}', 0.5, 0.3, fixed.UNPARSEABLE_VOTE),
     ('{"a": 1},{"b": 2}', 0.5, 0.3, fixed.UNPARSEABLE_VOTE), ('{"a": 1}]', 0.5, 0.3, fixed.UNPARSEABLE_VOTE),
@@ -157,7 +160,10 @@ def test_prices_and_cap(spark):
     rows = [("r", i, "gemini-2.5-pro", 400_000, 100_000) for i in range(6)] + [("s", 0, "gemma-3-1b-it", 9, 9), ("s", 1, "who", 1, 1)]
     calls = spark.createDataFrame(rows, CALLS)
     prices = spend.price_table(spark)
-    priced = spend.priced_calls(calls, prices)
+    with pytest.raises(Exception, match="model without a price: who"):
+        spend.spend_by_model(spend.priced_calls(calls, prices)).collect()
+    priced = spend.priced_calls(calls, prices, strict=False)
+    assert priced.count() == 8
     assert {r.usd for r in priced.where("run_id = 'r'").collect()} == {Decimal("1.5")}
     for bits in (1, 20):
         used = spend.budget_use(priced, ["run_id"], "4.5", bits).where("run_id = 'r'").orderBy("seq").collect()
@@ -168,8 +174,11 @@ def test_prices_and_cap(spark):
     assert [tuple(r) for r in spend.unknown_models(calls, prices).collect()] == [("who", 1)]
     with pytest.raises(ValueError, match="who"):
         spend.require_priced(calls, prices)
+    marked = spend.budget_use(priced, ["run_id"], "4.5").where("run_id = 's'").orderBy("seq").collect()
+    assert [(r.unpriced, r.usd is None, r.allowed) for r in marked] == [(False, False, True), (True, True, True)]
     total = {(r.run_id, r.model): r for r in spend.spend_by_model(priced).collect()}
-    assert total["r", None].usd == Decimal(9) and total[None, None].calls == 7 and total["r", "gemini-2.5-pro"].in_tok == 2_400_000
+    assert total["s", "who"].unpriced_calls == total[None, None].unpriced_calls == 1 and total["s", "who"].usd is None
+    assert total["r", None].usd == Decimal(9) and total[None, None].calls == 8 and total["r", "gemini-2.5-pro"].in_tok == 2_400_000
 
 
 def test_model_stamp(spark):
@@ -193,3 +202,10 @@ def test_vote_checks(spark):
 def test_run_grid(spark):
     grid = cal.run_grid(spark.createDataFrame([("m",)], "measure_id string"), (1, 5), 2).collect()
     assert sorted((r.seed, r.group_id, r.run_seed) for r in grid) == [(1, 0, 1), (1, 1, 2), (5, 0, 5), (5, 1, 6)]
+
+
+def test_places_that_break_the_contract(spark):
+    rows = [("a", 0), ("a", 1), ("a", 1), ("a", -1), ("b", 1 << 40), ("b", None), ("c", 5)]
+    found = validate.check_places(spark.createDataFrame(rows, "run string, seq long"), ["run"]).collect()
+    assert {(r.run, r.seq, r.n, tuple(r.reasons)) for r in found} == {
+        ("a", 1, 2, ("repeated",)), ("a", -1, 1, ("range",)), ("b", 1 << 40, 1, ("range",)), ("b", None, 1, ("range",))}

@@ -38,7 +38,19 @@ def test_phase_by_round(spark):
     votes = spark.createDataFrame([("m", r) for r in range(0, 8)], "measure_id string, round int")
     measures = spark.createDataFrame([("m", 5)], "measure_id string, n_rounds int")
     got = {r.round: r.phase for r in vot.with_phase(votes, measures).collect()}
-    assert got == {0: "pre", 6: "post"}
+    assert got == {0: "pre", 6: "post", **{r: "middle" for r in (1, 2, 3, 4, 5, 7)}}
+    middle = vot.with_phase(votes.where("round = 3"), measures).selectExpr("*", "'r' run", "0.5 stance", "1 seq", "'p' persona_id")
+    assert vot.yes_shares(middle, ["run"]).first().yes_pct == 50.0
+    assert vot.opinion_change(middle, ["run"]).first().n == 0
+
+
+def test_unknown_measures_are_errors(spark):
+    votes = spark.createDataFrame([("m", 6, 0.5), ("who", 6, 0.5)], "measure_id string, round int, stance double")
+    measures = spark.createDataFrame([("m", 5)], "measure_id string, n_rounds int")
+    with pytest.raises(Exception, match="unknown measure: who"):
+        vot.yes_shares(vot.with_phase(votes, measures), ["measure_id"]).collect()
+    with pytest.raises(Exception, match="unknown measure: c"):
+        scored(spark, [("a", 1.0, 1.0), ("c", 1.0, 1.0)]).collect()
 
 
 def test_flips(spark):
@@ -120,10 +132,18 @@ def test_multigroup_pools_all_votes(spark):
 
 
 def test_summary_has_a_total_row(spark):
-    runs = scored(spark, [("a", 50.0, 40.0), ("b", 70.0, 80.0)]).withColumn("n_personas", F.lit(12))
-    costs = spark.createDataFrame([("a", 1.5)], "measure_id string, cost_usd double")
-    total = vot.backtest_summary(runs, costs).where("measure_id is null").first()
-    assert total.mae == pytest.approx(15.0) and total.cost_usd == 1.5
+    runs = scored(spark, [("a", 50.0, 40.0), ("b", 70.0, 80.0)]).withColumns({"n_personas": F.lit(12), "seed": F.lit(1)})
+    runs = runs.unionByName(runs.where("measure_id = 'a'").withColumn("seed", F.lit(2)))
+    costs = spark.createDataFrame([("a", 1, 1.5), ("a", 2, 3.0)], "measure_id string, seed int, cost_usd double")
+    got = {r.measure_id: r for r in vot.backtest_summary(runs, costs, ["measure_id", "seed"]).collect()}
+    assert got["a"].cost_usd == 4.5 and got["b"].cost_usd == 0.0 and got["a"].n_runs == 2 and got["a"].level == 0
+    assert got[None].mae == pytest.approx(40 / 3) and got[None].cost_usd == 4.5 and got[None].level == 1
+
+
+def test_divergence_counts_models_not_runs(spark):
+    rows = [("a", "x", 10.0), ("a", "x", 30.0), ("a", "y", 25.0)]
+    got = vot.model_divergence(spark.createDataFrame(rows, "measure_id string, model string, weighted_pct double")).first()
+    assert (got.n_models, got.min_predicted, got.max_predicted, got.lowest_model) == (2, 20.0, 25.0, "x")
 
 
 def brute_interval(stances, seed, replicates):
@@ -131,22 +151,50 @@ def brute_interval(stances, seed, replicates):
     for rep in range(replicates):
         total = 0.0
         for i in range(n):
-            digest = hashlib.md5(f"{seed}:{rep}:{i // 2}".encode()).hexdigest()
-            total += stances[int(digest[17 - 1:31] if i % 2 else digest[:15], 16) % n]
+            total += stances[half_of(f"{seed}:{rep}:0:{i // 2}", i % 2) % n]
+        shares.append(100.0 * total / n)
+    shares.sort()
+    low, high = rank_bounds(replicates, 0.05)
+    return shares[low], shares[high]
+
+
+def half_of(text, second):
+    digest = hashlib.md5(text.encode()).hexdigest()
+    return int(digest[16:31] if second else digest[:15], 16)
+
+
+def brute_blocks(stances, seed, replicates, size):
+    """Draws fall into blocks of places; each block draws that many from itself."""
+    n, shares = len(stances), []
+    for rep in range(replicates):
+        if n <= size:
+            counts = {0: n}
+        else:
+            counts = {}
+            for i in range(n):
+                block = half_of(f"{seed}:{rep}:block:{i // 2}", i % 2) % n // size
+                counts[block] = counts.get(block, 0) + 1
+        assert sum(counts.values()) == n
+        total = 0.0
+        for block, draws in counts.items():
+            own = stances[block * size : (block + 1) * size]
+            total += sum(own[half_of(f"{seed}:{rep}:{block}:{j // 2}", j % 2) % len(own)] for j in range(draws))
         shares.append(100.0 * total / n)
     shares.sort()
     low, high = rank_bounds(replicates, 0.05)
     return shares[low], shares[high]
 
 
-@pytest.mark.parametrize("array_votes", [65_536, 4, 0])
-def test_bootstrap_matches_brute_force_on_both_routes(spark, array_votes):
+@pytest.mark.parametrize("place_bits", [16, 2, 0])
+def test_bootstrap_matches_brute_force_for_any_block(spark, place_bits):
     rng = random.Random(2)
     runs = {"a": [rng.random() for _ in range(9)], "b": [rng.random() for _ in range(4)], "one": [0.3]}
     rows = [(f"p{i}", "post", s, run) for run, stances in runs.items() for i, s in enumerate(stances)]
-    got = {r.run: r for r in bootstrap_interval(make(spark, rows), ["run"], F.lit(7), 200, array_votes=array_votes).collect()}
+    got = {r.run: r for r in bootstrap_interval(make(spark, rows), ["run"], F.lit(7), 200, place_bits=place_bits).collect()}
     for run, stances in runs.items():
-        low, high = brute_interval(stances, 7, 200)
+        low, high = brute_blocks(stances, 7, 200, 1 << place_bits)
+        if place_bits == 16:
+            assert (low, high) == pytest.approx(brute_interval(stances, 7, 200))
         assert got[run].ci_low == pytest.approx(low) and got[run].ci_high == pytest.approx(high)
         assert 0 <= low <= 100 * sum(stances) / len(stances) <= high <= 100
     assert got["one"].ci_low == got["one"].ci_high == pytest.approx(30.0)
