@@ -9,6 +9,7 @@ columns of the input are never read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,11 +41,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Maximal runs of characters other than space, tab, newline, VT, FF and CR."""
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    return F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
 
 
 def _n_chars_in(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many of the characters the text has; most have none, which a search shows faster."""
+    counted = F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.when(text.rlike(f"[{re.escape(chars)}]"), counted).otherwise(0)
+
+
+def _has_word(text: Column) -> Column:
+    return text.rlike("[^ \\t\\n\\x0b\\f\\r]")
 
 
 def _word_chars(text: Column) -> Column:
@@ -82,17 +89,21 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 def bad_line(line: Column) -> Column:
     """Whether a line with words fails a punctuation, navigation or boilerplate rule."""
-    n_words = F.length(F.trim(line)) - F.length(F.translate(F.trim(line), " ", "")) + 1
-    garbled = _n_chars_in(line, LINE_MARKS) * 2 > n_words
-    no_sentence = ~line.rlike(SENTENCE_END)
-    navigation = _n_chars_in(line, NAVIGATION_MARKS) * 4 >= n_words
-    boilerplate = (n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-    return garbled | navigation | no_sentence | boilerplate
+
+    def failing(n_words: Column) -> Column:
+        marked = line.rlike(f"[{re.escape(LINE_MARKS + NAVIGATION_MARKS)}]")
+        garbled = _n_chars_in(line, LINE_MARKS) * 2 > n_words
+        navigation = _n_chars_in(line, NAVIGATION_MARKS) * 4 >= n_words
+        boilerplate = (n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+        return ~line.rlike(SENTENCE_END) | marked & (garbled | navigation) | boilerplate
+
+    trimmed = F.trim(line)
+    return let(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1, failing)
 
 
 def good_lines(text: Column) -> Column:
     """The lines that hold no word or pass every rule, in order."""
-    return F.filter(F.split(text, "\n"), lambda x: (_word_chars(x) == 0) | ~bad_line(x))
+    return F.filter(F.split(text, "\n"), lambda x: ~_has_word(x) | ~bad_line(x))
 
 
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -101,29 +112,31 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = _fresh(docs, "whole")
     lines, words = _fresh(docs, "lines"), _fresh(docs, "words")
     out = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn(lines, F.filter(F.split(F.col(whole), "\n"), lambda x: _word_chars(x) > 0))
+    out = out.withColumn(lines, F.filter(F.split(F.col(whole), "\n"), _has_word))
     out = out.withColumn(words, words_of(F.col(whole)))
-    out = out.withColumn(
-        "quality",
-        F.struct(
+    # Figures leave through a generator, which later projections and filters cannot work out anew.
+    out = out.select(
+        *docs.columns,
+        whole,
+        F.explode(F.array(F.struct(
             F.size(words).cast("long").alias("n_words"),
-            _word_chars(F.col(whole)).cast("long").alias("word_chars"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             _n_chars_in(F.col(whole), SYMBOLS).cast("long").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col(words)).cast("long").alias("n_repeat_words"),
             F.array_join(good_lines(F.col(whole)), "\n").alias("clean_text"),
-        ),
-    ).drop(whole, lines, words)
+        ))).alias("quality"),
+    )
     q = F.col("quality")
     base_failed = (q["n_words"] < MIN_WORDS) | (
         q["n_repeat_words"] * 100 > q["n_words"] * MAX_REPEATED_PERCENT
     )
-    left = _word_chars(q["clean_text"]).cast("long")
+    same = q["clean_text"] == F.col(whole)
+    left = F.when(same, q["word_chars"]).otherwise(_word_chars(q["clean_text"]).cast("long"))
     lost_much = (q["word_chars"] - left) * 100 > q["word_chars"] * MAX_LOST_PERCENT
     out = out.withColumn("quality", q.withField("base_failed", base_failed).withField("kept_chars", left))
-    return out.withColumn(
-        "quality", F.col("quality").withField("kept", ~F.col("quality")["base_failed"] & ~lost_much)
-    )
+    kept = ~F.col("quality")["base_failed"] & ~lost_much
+    return out.withColumn("quality", F.col("quality").withField("kept", kept)).drop(whole)
 
 
 def _fresh(df: DataFrame, name: str) -> str:
