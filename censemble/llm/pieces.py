@@ -32,7 +32,7 @@ from censemble.llm.flat import CUT_BYTES, Cache, flat, sliced
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 # Cuts whose pieces a task keeps at hand; beyond it the table starts anew.
-CACHED_CUTS = 500_000
+CACHED_CUTS = 400_000
 SHORT = 40
 # Rows that are decoded at once.
 DECODED_ROWS = 256
@@ -350,20 +350,27 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def encode_pieces(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keys`` with ``ids``, ``begins`` and ``ends``: pieces and their byte spans in the text."""
+def encode_pieces(
+    docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", decoded: bool = False
+) -> DataFrame:
+    """``keys`` with ``ids``, ``begins`` and ``ends``: pieces and their byte spans in the text.
+
+    ``decoded`` adds what the ids decode to, in the same pass: the ids need not come back to Python.
+    """
     rows = docs.select(*keys, F.col(text).alias("__text"))
     added = [StructField(name, ArrayType(IntegerType())) for name in ("ids", "begins", "ends")]
+    if decoded:
+        added.append(StructField("decoded", StringType()))
+    names = [*keys, *[f.name for f in added]]
     schema = StructType([*rows.drop("__text").schema.fields, *added])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path)
         for whole in batches:
             for batch in sliced(whole, "__text", CUT_BYTES):
-                kept = [batch.column(k) for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, *coder.encode(batch.column("__text"))], names=[*keys, "ids", "begins", "ends"]
-                )
+                lists = coder.encode(batch.column("__text"))
+                text_again = [coder.decode(lists[0])] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *lists, *text_again], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -402,13 +409,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece count and digests of ids and decoded text of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = default_model()
-    coded = encode_pieces(docs, path).select(
-        "doc_id", "ids", F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes")
-    )
-    return decode_pieces(coded, path).select(
+    return encode_pieces(docs, path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         digest(F.col("ids")).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        "n_bytes",
+        F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes"),
     )

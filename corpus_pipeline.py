@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from censemble.llm.decontaminate import without_leaks
 from censemble.llm.neardup import one_of_each
-from censemble.llm.pieces import decode_pieces, default_model, encode_pieces
+from censemble.llm.pieces import default_model, encode_pieces
 from censemble.llm.quality import keep_good
 from censemble.llm.secrets import redact_secrets
 from censemble.session import stored
@@ -43,9 +43,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of what they decode to."""
-    path = default_model()
-    coded = encode_pieces(docs, path).select("doc_id", "ids")
-    return decode_pieces(coded, path).select(
+    return encode_pieces(docs, default_model(), decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",

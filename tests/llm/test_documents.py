@@ -89,6 +89,14 @@ def test_sentencepiece_equals_the_library(spark, path):
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_decoding_a_table_equals_decoding_at_once(spark, tables):
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    path = pieces.default_model()
+    at_once = pieces.encode_pieces(docs, path, decoded=True).select("doc_id", "ids", "decoded")
+    later = pieces.decode_pieces(pieces.encode_pieces(docs, path).select("doc_id", "ids"), path)
+    assert sorted(map(repr, at_once.collect())) == sorted(map(repr, later.collect()))
+
+
 def test_pieces_tile_the_source(spark):
     model = pieces.model(pieces.default_model())
     random.seed(3)
