@@ -106,8 +106,8 @@ def good_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: ~_has_word(x) | ~bad_line(x))
 
 
-def quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the struct ``quality``: base figures, verdicts and ``clean_text`` (good lines only)."""
+def quality(docs: DataFrame, text: str = "text", out_name: str = "quality") -> DataFrame:
+    """Adds the struct ``out_name``: base figures, verdicts and ``clean_text`` (good lines only)."""
     # A name that no input column has, so that the text can be cleaned up once.
     whole = _fresh(docs, "whole")
     lines, words = _fresh(docs, "lines"), _fresh(docs, "words")
@@ -125,18 +125,18 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col(words)).cast("long").alias("n_repeat_words"),
             F.array_join(good_lines(F.col(whole)), "\n").alias("clean_text"),
-        ))).alias("quality"),
+        ))).alias(out_name),
     )
-    q = F.col("quality")
+    q = F.col(out_name)
     base_failed = (q["n_words"] < MIN_WORDS) | (
         q["n_repeat_words"] * 100 > q["n_words"] * MAX_REPEATED_PERCENT
     )
     same = q["clean_text"] == F.col(whole)
     left = F.when(same, q["word_chars"]).otherwise(_word_chars(q["clean_text"]).cast("long"))
     lost_much = (q["word_chars"] - left) * 100 > q["word_chars"] * MAX_LOST_PERCENT
-    out = out.withColumn("quality", q.withField("base_failed", base_failed).withField("kept_chars", left))
-    kept = ~F.col("quality")["base_failed"] & ~lost_much
-    return out.withColumn("quality", F.col("quality").withField("kept", kept)).drop(whole)
+    out = out.withColumn(out_name, q.withField("base_failed", base_failed).withField("kept_chars", left))
+    kept = ~F.col(out_name)["base_failed"] & ~lost_much
+    return out.withColumn(out_name, F.col(out_name).withField("kept", kept)).drop(whole)
 
 
 def _fresh(df: DataFrame, name: str) -> str:
@@ -148,14 +148,12 @@ def _fresh(df: DataFrame, name: str) -> str:
 
 def keep_good(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The documents that pass, with bad lines cut out of their text; the columns stay the same."""
-    columns = docs.columns
-    out = quality(docs.drop("quality"), text)
-    out = out.where(F.col("quality")["kept"]).withColumn(text, F.col("quality")["clean_text"])
+    columns, name = docs.columns, _fresh(docs, "quality")
+    out = quality(docs, text, name)
+    out = out.where(F.col(name)["kept"]).withColumn(text, F.col(name)["clean_text"])
     if n_chars in columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    if "quality" not in columns:
-        return out.select(*columns)
-    raise ValueError("a column named quality would be lost")
+    return out.select(*columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ LONG = " ".join(f"word{i} of{i % 977}" for i in range(30_000)) + "."
 AWKWARD = [None, "", " ", "\n\t ", "a", "é ü\n日本 ▁x", "x" * 3000, LONG, "tab\there\x0bvt", "a  b   c", "<|endoftext|> <s>", "😀 ok."]
 
 
-def write(spark, path, name, rows, schema, extra=("kept string", "words array<string>", "part int", "value string")):
+def write(spark, path, name, rows, schema, extra=("kept string", "words array<string>", "part int", "value string", "quality int", "h string", "ids string")):
     """Rows as a Parquet table, with further columns whose names operators use themselves."""
     fields = ", ".join([schema, *extra])
     full = [(*r, *([None] * len(extra))) for r in rows]
