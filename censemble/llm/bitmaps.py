@@ -42,5 +42,5 @@ def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """The rows in at most two partitions per core: for results far smaller than what they come from."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """The rows in at most four partitions per core: for results far smaller than what they come from."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)

@@ -154,3 +154,6 @@ class Cache:
         if len(young) > self.half:
             self.old, self.young = young, {}
         return out
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}

@@ -32,7 +32,7 @@ from censemble.llm.flat import CUT_BYTES, Cache, flat, sliced
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 # Cuts whose pieces a task keeps at hand; beyond it the table starts anew.
-CACHED_CUTS = 400_000
+CACHED_CUTS = 300_000
 SHORT = 40
 # Rows that are decoded at once.
 DECODED_ROWS = 256
@@ -371,6 +371,8 @@ def encode_pieces(
                 lists = coder.encode(batch.column("__text"))
                 text_again = [coder.decode(lists[0])] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *lists, *text_again], names=names)
+        # The process lives on for other stages; the table would fill its memory.
+        coder.cache.clear()
 
     return rows.mapInArrow(run, schema)
 
