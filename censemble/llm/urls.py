@@ -3,7 +3,8 @@
 A rule fits its host and all subdomains if the path starts with the rule's path; the longest rule
 wins. Pages that no rule fits take the decision of their aliases: documents that redirects or
 canonical links tie together, directly or through others. If any alias is blocked by a rule, they
-are blocked; a page with an allow rule of its own stays allowed. All else is allowed.
+are blocked, whether that alias is a page of the table or only an address that a link or redirect
+names; a page with an allow rule of its own stays allowed. All else is allowed.
 
 Everything is a DataFrame expression or join. Links are read from the head of the page with regular
 expressions; a table of observed redirects can be added.
@@ -142,8 +143,11 @@ def judge_urls(
         .select(url_key(F.col("url")).alias("node"))
         .join(aliases, "node")
         .select("component")
-        .distinct()
     )
+    # Aliases need not be pages: a blocked site is seldom crawled.
+    address = F.concat(F.lit("://"), F.col("node"))
+    named = aliases.where(fitting_rule(host_of(address), path_of(address), rules)["verdict"] == "block").select("component")
+    blocked = blocked.unionByName(named).distinct()
     infected = aliases.join(blocked, "component").select(F.col("node").alias("__key"), F.lit(True).alias("__bad"))
     out = ruled.withColumn("__own", own).withColumn("__key", url_key(F.col(url)))
     out = out.join(infected, "__key", "left")
