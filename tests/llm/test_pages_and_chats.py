@@ -42,6 +42,40 @@ def test_blocks(page, text):
     assert [t for z, t in pages.blocks_of(page) if z == pages.MAIN] == text
 
 
+BODY = "body text " * 20
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<div class="layout has-sidebar"><article>a</article></div>', ["a"]),
+    ('<div class="elementor-widget-container"><main>a<nav>n</nav></main></div>', ["a"]),
+    ('<form id="aspnetForm"><article>a<form>f</form></article><div class="comments">c</div></form>', ["a"]),
+    ('<main>t<form id="aspnetForm"><article>a</article></form></main>', ["t", "a"]),
+    ('<div class="widget"><article>a<div class="share">s</div></article><p>w</div>', ["a"]),
+    ('<article>the page itself</article><div class="sidebar"><article>teaser</article></div>', ["the page itself"]),
+    ('<div class="comments"><article>c</article></div><article>a</article>', ["a"]),
+    ('<article>a<section id="discussion">b</section><h2 id="related-work">c</h2>d</article>', ["a", "b", "c", "d"]),
+    ('<article>a<div class="section" id="comments-received">b</div><section class="comment-list">c</section></article>', ["a", "b"]),
+    ('<article>a<footer class="x">f</footer><div class="site-footer">g</div></article>', ["a"]),
+    ('<article>a <svg width="1" class="icon"/> b <math/> c <svg a="/>"><text>s</text></svg> d</article>', ["a b c d"]),
+    ("<article>one</article><article>two</article><p>x", ["one", "two"]),
+    (f"<article>one</article><div>{BODY}</div><article>two</article>", []),
+    (f"<main><article>one</article><article>two</article></main><div>{BODY}</div>", ["one", "two"]),
+])
+def test_declared_articles_and_asides_by_name(page, text):
+    assert [t for z, t in pages.blocks_of(page) if z == pages.MAIN] == text
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<article>one</article><div>{BODY}</div><article>two</article>", ["one", BODY.strip(), "two"]),
+    (f'<p>top</p><form id="aspnetForm"><div>{BODY}</div><div class="menu">m</div></form>', ["top", BODY.strip()]),
+    ('<div class="has-sidebar no-footer"><p>a</p></div><div class="sidebar">s</div>', ["a"]),
+    ('<div class="widget">a</div><nav>n</nav>', ["a"]),
+    (f"<p>{BODY}</p><form>search</form>", [BODY.strip()]),
+])
+def test_open_text(page, text):
+    assert [t for z, t in pages.blocks_of(page) if z == pages.OPEN] == text
+
+
 def test_pages_of_the_test_data(spark):
     got = {r.page_id: r for r in QUERIES["op3_html_extraction"](spark, SF_DIR).collect()}
     rows = spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()
