@@ -129,6 +129,23 @@ def test_repeats_of_a_host(spark):
     assert (got[7], got[8], got[9]) == (menu, "", "more")
 
 
+def test_near_copies_and_shared_passages(spark):
+    menu = "home news about contact search help imprint privacy terms"
+    quote = "a passage of more than eight words that two pages of the host share"
+    own = [" ".join(f"own{n}x{k}" for k in range(12)) for n in range(6)]
+    story = "the whole text of one page that was crawled again and again on other days"
+    rows = [(n, f"http://h.org/{n}", f"<p>{menu}<p>{own[n]}" + (f"<p>{quote}" if n < 2 else "")) for n in range(6)]
+    # Crawls of a page under one address, with other words, and under many, with other dates and counters.
+    rows += [(10 + n, "http://h.org/same", f"<p>{menu}<p>{story} word{'abcdefgh'[n]}") for n in range(8)]
+    rows += [(20 + n, f"http://h.org/?s={n}", f"<p>{menu}<p>read {n * 1234:,} times since {n + 1} {m} 2024 {story[::-1]}") for n, m in enumerate(["May", "June", "July", "Oct.", "March", "April"])]
+    rows += [(30 + n, None if n % 2 else f"path/{n}", f"<p>{menu} {n}") for n in range(6)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i, _, page in rows:
+        whole = page.replace("<p>", "\n").strip()
+        assert got[i] == (whole if i >= 30 else whole.removeprefix(menu).strip()), i
+
+
 @pytest.fixture(scope="module")
 def duck():
     return connect(SF_DIR)
