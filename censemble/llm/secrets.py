@@ -3,13 +3,15 @@
 Patterns give the base spans. Every other run of 16 or more characters that keys are made of is
 tested: its encoding is inferred (the smallest alphabet that holds it), and it must pass, as random
 over that alphabet, a chi-squared test of uniformity, a runs test and a serial-correlation test.
-How easily prose would look as even is a second p-value: the sum of squared character counts has a
-known mean and variance for text of that length with the corpus's own character frequencies. These
-p-values are controlled for false discovery inside each class of lengths, over all runs of the
-corpus, words included; so a short run must be far more even than a long one.
+How easily prose would look so is told by two more p-values. The sum of squared character counts has
+a known mean and variance for text of that length with the corpus's own character frequencies. And
+under a chain of the corpus's character pairs, the chance that a run is a times likelier over its
+alphabet than in the chain is at most 1 / a; so a key of 16 characters shows, however few its counts.
+The smaller of both, twice, is controlled for false discovery inside each class of lengths, over all
+runs of the corpus, words included.
 
-Three passes over the texts: character counts, a histogram of p-values, the spans. What comes to
-the driver is of fixed size: 256 counts, and one threshold per length class.
+Three passes over the texts: counts of characters and pairs, a histogram of p-values, the spans. What
+comes to the driver is of fixed size: at most 5,000 counts, and one threshold per length class.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned one by one and
 count as often in the statistics; an empty table gives no rows. Runs of digits alone are numbers,
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,6 +52,12 @@ REJECT = 0.001
 FALSE_DISCOVERIES = 0.01
 LENGTH_CLASSES = (16, 20, 24, 32, 48, 64, 128, 256)
 BINS = 400
+# Share of the pair chain in which any character may follow, and the power of its likelihood ratios:
+# text in a rare language, or an odd pair in a path or name, is less likely than the chain says.
+ANY_NEXT = 0.01
+TEMPER = 0.5
+# Weight of the single characters' frequencies in the chain, in pairs.
+SINGLE_WEIGHT = 50
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Alphabets by size; the first that holds a run is its encoding.
@@ -78,6 +87,10 @@ def _mask(chars: str) -> np.ndarray:
 
 
 _HEX, _KEY = _mask(ALPHABETS["hex"]), _mask(ALPHABETS["any"])
+_N_KEY = len(ALPHABETS["any"])
+# Place of a byte among the key characters; all others share the last.
+_PLACE = np.full(256, _N_KEY, dtype=np.int32)
+_PLACE[np.frombuffer(ALPHABETS["any"].encode(), dtype=np.uint8)] = np.arange(_N_KEY)
 
 
 def _runs(inside: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,6 +162,28 @@ def prose_evenness(run: str, encoding: str, frequency: dict[str, tuple[float, fl
     return upper_tail((mean - squares) / math.sqrt(var))
 
 
+def pair_evidence(run: str, encoding: str, chain: tuple[list[list[int]], list[int], list[float]]) -> float:
+    """Bound on the chance that the chain of pairs, without those of the run itself, gives a run that
+    speaks as much for the alphabet."""
+    pairs, sums, single = chain
+    places = [_N_KEY, *(_PLACES["any"][c] for c in run.rstrip("="))]
+    steps = list(zip(places, places[1:], strict=False))
+    own, own_sums = Counter(steps), Counter(places[:-1])
+    prose = 0.0
+    for a, b in steps:
+        near = (pairs[a][b] - own[a, b] + SINGLE_WEIGHT * single[b]) / (sums[a] - own_sums[a] + SINGLE_WEIGHT)
+        prose += math.log((1 - ANY_NEXT) * max(near, 0.0) + ANY_NEXT / _N_KEY)
+    # The alphabet is one of several, chosen after the run.
+    even = -len(steps) * math.log(len(_PLACES[encoding])) - math.log(len(ALPHABETS))
+    return math.exp(min(0.0, TEMPER * (prose - even)))
+
+
+def prose_chance(run: str, encoding: str, prose: tuple[dict, tuple]) -> float:
+    """Chance that prose of that length looks as little like prose in the clearer of both tests."""
+    frequency, chain = prose
+    return min(1.0, 2 * min(prose_evenness(run, encoding, frequency), pair_evidence(run, encoding, chain)))
+
+
 def moments(counts: list[int]) -> dict[str, tuple[float, float, float]]:
     """Sums of squared and cubed frequencies inside each alphabet, from counts by byte."""
     out = {}
@@ -160,6 +195,12 @@ def moments(counts: list[int]) -> dict[str, tuple[float, float, float]]:
     return out
 
 
+def pair_chain(pairs: np.ndarray) -> tuple[list[list[int]], list[int], list[float]]:
+    """Counts of each key character after another, or (last row) at the begin of a run; their sums; frequencies."""
+    single = pairs.sum(axis=0) + 1.0
+    return pairs.tolist(), pairs.sum(axis=1).tolist(), (single / single.sum()).tolist()
+
+
 def length_class(n: int) -> int:
     return max(c for c in LENGTH_CLASSES if c <= max(n, LENGTH_CLASSES[0]))
 
@@ -217,25 +258,35 @@ class Scan:
                 yield t, begin, end, run
 
 
-def character_counts(docs: DataFrame, text: str = "text") -> list[int]:
-    """How often each byte occurs in all texts: 256 numbers."""
+def prose_of(docs: DataFrame, text: str = "text") -> tuple[dict, tuple]:
+    """What prose looks like: moments of the characters' frequencies, and the chain of their pairs."""
+    n_pairs = (_N_KEY + 1) * (_N_KEY + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(256, dtype=np.int64)
+        counts = np.zeros(256 + n_pairs, dtype=np.int64)
         for batch in batches:
             for part in sliced(batch, "t"):
-                counts += np.bincount(flat(part.column(0))[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(counts)], names=["byte", "n"])
-
-    per_task = docs.select(F.col(text).alias("t")).mapInArrow(run, "byte bigint, n bigint")
-    rows = per_task.groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    counts = [0] * 256
-    for r in rows:
-        counts[r["byte"]] = r["n"]
-    return counts
-
-
-def discovery_thresholds(docs: DataFrame, frequency: dict, text: str = "text") -> dict[int, int]:
+                buffer, at = flat(part.column(0))
+                counts[:256] += np.bincount(buffer, minlength=256)
+                # A text begins after what is no key character.
+                places = _PLACE[buffer]
+                pairs = places.copy()
+                pairs[1:] += (_N_KEY + 1) * places[:-1]
+                first = at[at < len(buffer)]
+                pairs[first] = (_N_KEY + 1) * _N_KEY + places[first]
+                counts[256:] += np.bincount(pairs, minlength=n_pairs)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["code", "n"])
+
+    per_task = docs.select(F.col(text).alias("t")).mapInArrow(run, "code bigint, n bigint")
+    counts = np.zeros(256 + n_pairs, dtype=np.int64)
+    for r in per_task.groupBy("code").agg(F.sum("n").alias("n")).collect():
+        counts[r["code"]] = r["n"]
+    pairs = counts[256:].reshape(_N_KEY + 1, _N_KEY + 1)[:, :_N_KEY]
+    return moments(counts[:256].tolist()), pair_chain(pairs)
+
+
+def discovery_thresholds(docs: DataFrame, prose: tuple[dict, tuple], text: str = "text") -> dict[int, int]:
     """Per length class the last bin of p-values in which false discoveries stay rare enough."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +296,7 @@ def discovery_thresholds(docs: DataFrame, frequency: dict, text: str = "text") -
                 scan = Scan(part.column(0))
                 for _, _, _, found in scan.runs(scan.base()):
                     encoding = encoding_of(found)
-                    at = p_bin(prose_evenness(found, encoding, frequency))
+                    at = p_bin(prose_chance(found, encoding, prose))
                     key = (length_class(len(found)), at, randomness(found, encoding) >= REJECT)
                     counts[key] = counts.get(key, 0) + 1
         columns = list(zip(*counts, strict=True)) if counts else [[], [], []]
@@ -272,7 +323,7 @@ def discovery_thresholds(docs: DataFrame, frequency: dict, text: str = "text") -
     return {r["class"]: r["bin"] for r in kept.groupBy("class").agg(F.max("bin").alias("bin")).collect()}
 
 
-def _spans(scan: Scan, frequency: dict, thresholds: dict[int, int]) -> tuple[list, list]:
+def _spans(scan: Scan, prose: tuple[dict, tuple], thresholds: dict[int, int]) -> tuple[list, list]:
     """Per text its base spans, and all spans."""
     base = scan.base()
     every = [list(spans) for spans in base]
@@ -281,7 +332,7 @@ def _spans(scan: Scan, frequency: dict, thresholds: dict[int, int]) -> tuple[lis
         if last is None:
             continue
         encoding = encoding_of(run)
-        if p_bin(prose_evenness(run, encoding, frequency)) <= last and randomness(run, encoding) >= REJECT:
+        if p_bin(prose_chance(run, encoding, prose)) <= last and randomness(run, encoding) >= REJECT:
             every[t].append((begin, 3, end))
     for spans in every:
         spans.sort()
@@ -297,8 +348,8 @@ def _as_spans(rows: list) -> pa.Array:
 
 def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``base`` and ``spans``: arrays of ``struct<kind, start, end>`` in code points."""
-    frequency = moments(character_counts(docs, text))
-    thresholds = discovery_thresholds(docs, frequency, text)
+    prose = prose_of(docs, text)
+    thresholds = discovery_thresholds(docs, prose, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     kind = dict(rows.dtypes)["doc_id"]
     span = "array<struct<kind:string,start:int,end:int>>"
@@ -306,7 +357,7 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "t"):
-                base, every = _spans(Scan(part.column(1)), frequency, thresholds)
+                base, every = _spans(Scan(part.column(1)), prose, thresholds)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), _as_spans(base), _as_spans(every)], names=["doc_id", "base", "spans"]
                 )
@@ -316,8 +367,8 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", put: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced; other columns and all rows stay."""
-    frequency = moments(character_counts(docs, text))
-    thresholds = discovery_thresholds(docs, frequency, text)
+    prose = prose_of(docs, text)
+    thresholds = discovery_thresholds(docs, prose, text)
     place = docs.columns.index(text)
 
     def cleaned(value: str | None, spans: list) -> str | None:
@@ -333,7 +384,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, text):
-                _, every = _spans(Scan(part.column(place)), frequency, thresholds)
+                _, every = _spans(Scan(part.column(place)), prose, thresholds)
                 old = part.column(place)
                 columns = list(part.columns)
                 if any(every):

@@ -238,6 +238,29 @@ def test_random_keys_are_found_and_words_left_alone(spark):
     assert clean[9] == 'a [SECRET]" and é [SECRET]'
 
 
+@pytest.mark.parametrize("n", [16, 20, 24, 32])
+def test_short_keys_of_every_encoding_among_long_words(spark, n):
+    rng = random.Random(n)
+    parts = [w.strip(".").lower() for w in PROSE.split()] + ["Item", "Class", "set", "get", "index", "2024", "v2"]
+
+    def word():
+        join, out = rng.choice(["", "", "_", "-", "/"]), rng.choice(parts)
+        while len(out) < n:
+            out += join + rng.choice(parts)
+        return out
+
+    encodings = ["lower", "upper", "base32", "base36", "BASE36", "letters", "base62", "base64", "base64url"]
+    keys = ["".join(rng.choice(secrets.ALPHABETS[e]) for _ in range(n)) for e in encodings for _ in range(4)]
+    rows = [(i, f"{PROSE} see {k} there, {PROSE}") for i, k in enumerate(keys)]
+    rows += [(100 + i, f"{PROSE} {' '.join(word() for _ in range(20))}") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    at = len(PROSE) + len(" see ")
+    # The battery takes one random run in a thousand for none.
+    assert sum(found[i] == [("random", at, at + n)] for i in range(len(keys))) >= len(keys) - 1
+    assert not any(found[100 + i] for i in range(180))
+
+
 def test_repeated_passages(spark, path):
     rows = texts(spark, path)
     by_id: dict = {}
