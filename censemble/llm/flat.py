@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,56 +77,80 @@ def _odd(seed: int) -> np.uint64:
 
 
 def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of every word: a polynomial over hashed bytes, from running sums."""
+    """A 64-bit hash of every word, eight bytes at a time, scrambled after each.
+
+    No sum over bytes or powers of a base: words of up to eight bytes and one length never collide,
+    longer ones collide by chance only, and other seeds are independent. Words above ``_LONG_WORD``
+    bytes, which are few, are digested by a library.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    code = mix(np.arange(1, 257, dtype=np.uint64) * _odd(seed))
-    if lower:
-        code = code[_LOWER]
-    powers, back = _powers(len(buffer), seed)
+    padded = np.zeros(len(buffer) + 8, dtype=np.uint8)
+    padded[: len(buffer)] = _LOWER[buffer] if lower else buffer
+    # Eight bytes from any place on, as one number.
+    lanes = np.ndarray((len(buffer) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    key = _odd(seed)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
-        terms = code[buffer]
-        terms *= powers
-        np.cumsum(terms, out=sums[1:])
-        del terms
-        return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+        out = mix(size.astype(np.uint64) + key)
+        out = _absorbed(out, lanes[starts], size, key)
+        some = np.flatnonzero((size > 8) & (size <= _LONG_WORD))
+        at = starts[some] + 8
+        while len(some):
+            left = ends[some] - at
+            out[some] = _absorbed(out[some], lanes[at], left, key)
+            more = left > 8
+            some, at = some[more], at[more] + 8
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([seed % 256])).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LONG_WORD = 256
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
-def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n, kept for the next buffer."""
-    known = _POWERS.get(seed)
-    if known is None or len(known[0]) < n:
-        base = int(_odd(seed + 1000))
-        tables = []
-        for factor in (base, pow(base, -1, 2**64)):
-            table = np.full(max(n, 1 << 16), factor, dtype=np.uint64)
-            table[0] = 1
-            with np.errstate(over="ignore"):
-                np.cumprod(table, out=table)
-            tables.append(table)
-        known = _POWERS[seed] = (tables[0], tables[1])
-    return known[0][:n], known[1][:n]
+def _absorbed(state: np.ndarray, lane: np.ndarray, left: np.ndarray, key: np.uint64) -> np.ndarray:
+    """The state after at most eight more bytes; those past the word's end do not count."""
+    return mix((state ^ (lane & _KEEP[np.minimum(left, 8)])) * key)
 
 
 def windows(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``width`` words inside one text, and the word at which each begins."""
+    """Hashes of all runs of ``width`` words inside one text, and the word at which each begins.
+
+    A sum of the words' hashes, each times an unrelated odd factor of its place, then scrambled.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         out = np.zeros(n, dtype=np.uint64)
-        for j in range(width):
-            out *= np.uint64(0xD6E8FEB86659FD93)
-            out += hashes[j : j + n]
+        for factor, j in zip(mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1), range(width), strict=True):
+            out += hashes[j : j + n] * factor
     text_end = np.repeat(before[1:], np.diff(before))[:n]
     whole = np.arange(n) + width <= text_end
     return mix(out[whole]), np.flatnonzero(whole)
 
 
+def joined(buffer: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The kept words of every text, joined by one space."""
+    kept = np.flatnonzero(keep)
+    begins, stops = starts[kept], ends[kept]
+    change = np.zeros(len(buffer) + 1, dtype=np.int8)
+    change[begins] += 1
+    change[stops] -= 1
+    stay = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+    out = buffer.copy()
+    # A kept word that is not its text's first has a white space before it, which becomes the joint.
+    doc = np.searchsorted(before, kept, side="right")
+    joint = begins[1:][doc[1:] == doc[:-1]] - 1
+    out[joint] = 0x20
+    stay[joint] = True
+    offsets = np.concatenate([[0], np.cumsum(stay)])[at]
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out[stay]))
+
+
 class Cache:
     """A bounded table of byte strings: when the young half is full, it replaces the old half."""
 
