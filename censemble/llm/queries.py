@@ -5,6 +5,7 @@ from __future__ import annotations
 from censemble.llm.binary import op6_token_binary
 from censemble.llm.chat import op4_chat_formatting
 from censemble.llm.decontaminate import op1_benchmark_decontamination
+from censemble.llm.merkle import op11_merkle_manifest
 from censemble.llm.neardup import op7_minhash_near_dedup
 from censemble.llm.pages import op3_html_extraction
 from censemble.llm.passages import op9_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -98,7 +98,80 @@ SELECT page_id, host, path, own.rule AS rule,
        coalesce(own.verdict, CASE WHEN regexp_replace(url, '^[^:]*://|#.*$', '', 'g') IN (SELECT k FROM bad) THEN 'block' END, 'allow') AS verdict
 FROM ruled"""
 
+# crc32 of a number's decimal digits, four bits at a time.
+_CRC_TABLE = [0]
+for _i in range(1, 16):
+    _c = _i
+    for _ in range(4):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC_TABLE.append(_c)
+_NIBBLE = f"xor({_CRC_TABLE}[(({{x}}) & 15) + 1], ({{x}}) >> 4)"
+
+
+def _crc32(text: str) -> str:
+    step = _NIBBLE.format(x=_NIBBLE.format(x="xor(c, b)"))
+    codes = f"list_transform(string_split({text}, ''), lambda d: ascii(d)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(f) for f in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+def _above(nodes: str) -> str:
+    """The rows of the next level of trees of ``nodes`` (tree, level, place, total, node)."""
+    return f"""
+    SELECT tree, level + 1, place // 2, (total + 1) // 2, sha256(string_agg(node, '' ORDER BY place))
+    FROM {nodes} WHERE total > 1 GROUP BY tree, level, place // 2, total"""
+
+
+_MERKLE = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('n_chars')} AS leaf,
+           CASE WHEN {_crc32('doc_id::VARCHAR')} % 7 = 0 THEN {_leaf('n_chars + 1')} END AS claimed
+    FROM documents
+), first AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+           count(*) OVER (PARTITION BY tree) AS total
+    FROM leaves
+), inner_nodes(tree, level, place, total, node) AS (
+    SELECT tree, 0, place, total, leaf FROM first UNION ALL {_above('inner_nodes')}
+), subroots AS (
+    SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS total
+    FROM inner_nodes WHERE total = 1
+), outer_nodes(tree, level, place, total, node) AS (
+    SELECT 'all', 0, place, total, subroot FROM subroots UNION ALL {_above('outer_nodes')}
+), steps AS (
+    -- Level by level: the node next to the row's own, if there is one.
+    SELECT f.doc_id, f.leaf AS row_leaf, f.tree AS t, f.place AS row_place, 0 AS part, m.level, s.node AS sibling, s.place < m.place AS is_left
+    FROM first f JOIN inner_nodes m ON m.tree = f.tree AND m.place = f.place // (1::BIGINT << m.level) AND m.total > 1
+    LEFT JOIN inner_nodes s ON s.tree = m.tree AND s.level = m.level AND s.place = xor(m.place, 1::BIGINT)
+    UNION ALL
+    SELECT f.doc_id, f.leaf, f.tree, f.place, 1, m.level, s.node, s.place < m.place
+    FROM first f JOIN subroots r ON r.tree = f.tree
+    JOIN outer_nodes m ON m.place = r.place // (1::BIGINT << m.level) AND m.total > 1
+    LEFT JOIN outer_nodes s ON s.level = m.level AND s.place = xor(m.place, 1::BIGINT)
+), proofs AS (
+    SELECT t, row_place, list(struct_pack(sibling, is_left) ORDER BY part, level) AS proof FROM steps GROUP BY t, row_place
+), folded(t, row_place, n, node, proof) AS (
+    SELECT f.tree, f.place, 1, coalesce(f.claimed, f.leaf), coalesce(p.proof, [])
+    FROM first f LEFT JOIN proofs p ON p.t = f.tree AND p.row_place = f.place
+    UNION ALL
+    SELECT t, row_place, n + 1, sha256(CASE WHEN proof[n].is_left THEN proof[n].sibling || node ELSE node || coalesce(proof[n].sibling, '') END), proof
+    FROM folded WHERE n <= len(proof)
+)
+SELECT f.doc_id, f.leaf, r.subroot, top.node AS root,
+       sha256(coalesce(array_to_string(list_transform(d.proof, lambda p: p.sibling), ''), '')) AS proof_sha256,
+       d.node AS folded_root, d.node = top.node AS verified
+FROM first f JOIN subroots r ON r.tree = f.tree JOIN outer_nodes top ON top.total = 1
+JOIN folded d ON d.t = f.tree AND d.row_place = f.place AND d.n = len(d.proof) + 1"""
+
 ORACLE = {
+    "op11_merkle_manifest": _MERKLE,
     "op4_chat_formatting": _CHAT,
     "op8_url_filters": _URLS,
     "op5_quality_rules": _QUALITY
