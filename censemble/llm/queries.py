@@ -11,6 +11,7 @@ from censemble.llm.pages import op3_html_extraction
 from censemble.llm.passages import op9_substring_dedup
 from censemble.llm.pieces import op2_sentencepiece
 from censemble.llm.quality import op5_quality_rules
+from censemble.llm.runs import op12_periodic_runs
 from censemble.llm.secrets import op10_secret_scans
 from censemble.llm.sql import ORACLE
 from censemble.llm.urls import op8_url_filters
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
