@@ -13,6 +13,7 @@ from censemble.llm.pieces import op2_sentencepiece
 from censemble.llm.quality import op5_quality_rules
 from censemble.llm.runs import op12_periodic_runs
 from censemble.llm.secrets import op10_secret_scans
+from censemble.llm.simhash import op13_simhash_near_dedup
 from censemble.llm.sql import ORACLE
 from censemble.llm.urls import op8_url_filters
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
