@@ -20,6 +20,7 @@ gives an empty set. Extra columns of the input are never read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -50,7 +51,8 @@ class Coder:
 
     A byte-level vocabulary's splitting pattern has a boundary before white space that follows
     another character, after a newline that stands alone between other characters, and between a
-    letter and a mark; texts are cut there, where the bytes show the case beyond doubt.
+    letter and a mark; texts are cut there, where the bytes show the case beyond doubt. They are also
+    cut before and after the strings of added tokens, never inside.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,8 +60,12 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Control strings in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens are found in a text before it is split; texts are cut around them.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError("added tokens that take in white space or ask for whole words are not cut around")
+        longest_first = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, longest_first))) if longest_first else None
         self.cache = Cache(self._encode_new, CACHED_CUTS)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +88,9 @@ class Coder:
         sure = (show == 1) | (show == 2) & (two_before == 0xC3) | (show == 3) & letter | (show == 4) & alone
         cut = np.zeros(len(buffer) + 1, dtype=bool)
         cut[found[sure] + 1] = True
+        for begin, end in self._added_in(buffer, at):
+            cut[begin + 1 : end] = False
+            cut[[begin, end]] = True
         cut[at] = True
         cut[-1] = False
         begins = np.flatnonzero(cut)
@@ -101,6 +110,15 @@ class Coder:
         bounds = total[np.searchsorted(begins, at)]
         return ids, np.diff(bounds)
 
+    def _added_in(self, buffer: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        """Where added tokens stand, the first and longest ones, inside texts."""
+        if self.added is None:
+            return []
+        data = buffer.tobytes()
+        # Of all texts on end first, which may also show some that two texts share.
+        shown = {d for m in self.added.finditer(data) for d in np.searchsorted(at, [m.start(), m.end() - 1], side="right") - 1}
+        return [m.span() for d in sorted(shown) for m in self.added.finditer(data, int(at[d]), int(at[d + 1]))]
+
     def _encode_new(self, cuts: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast([c.decode() for c in cuts], add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in coded]
@@ -172,7 +190,8 @@ def write_ids(
     spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
-    placed = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share an id, or have none, are more than one shard's: the begin of the text goes on.
+    placed = rows.repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     placed = placed.withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -161,7 +161,6 @@ def test_decoding_replaces_bytes_that_are_no_text(spark):
 
 def test_id_files_round_trip(spark, path):
     tokenizer = Tokenizer.from_file(binary.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     at, expected = 0, []
     for i, t in sorted(texts(spark, path), key=lambda d: (d[0], d[1] or "")):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -183,9 +182,12 @@ def test_planes_and_small_blocks(spark, tables, tmp_path, bits):
 
 
 def test_tokens_of_cuts_equal_those_of_texts():
+    """Added tokens too, wherever they stand, whole or in part."""
     random.seed(4)
-    alphabet = "ab the  \n\té日ﬁ<>s/😀.'s123\u0000　 \u0085à "
+    alphabet = [*"ab the  \n\té日ﬁ<>s/😀.'s123\u0000　 \u0085à ", "<|endoftext|>", "<|endof", "text|>"]
     sources = ["".join(random.choice(alphabet) for _ in range(random.randrange(60))) for _ in range(2000)]
+    end = "<|endoftext|>"
+    sources += [end, end + end, f"a {end}", f"{end} b", f"a\n\n{end}\n b {end[:5]}", end[:7], end[7:], f"x{end}\ny", f"  {end}  "]
     coder = binary.Coder(binary.default_tokenizer())
     ids, n = coder.encode(pa.array(sources))
     edges = np.concatenate([[0], np.cumsum(n)])
