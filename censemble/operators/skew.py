@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from censemble.session import stored
-
 # Rows of one key that a single task may take in a join. There are at most rows / HOT_ROWS keys
 # above it. The list of hot keys is joined like any table: Spark broadcasts it while it is small.
 HOT_ROWS = 1_000_000
 # Positions per window partition in running totals, as a power of two.
 BLOCK_BITS = 20
+# Rows of a bin that are ordered in one task.
+BLOCK_ROWS = 100_000
 
 
 def split_join(
@@ -112,33 +112,38 @@ def positions(
     return ranked.withColumn(out, F.col(out) - 1)
 
 
-def sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Adds ``out``: the 0-based place within the keys by any sortable columns, and ``out``_of:
-    the number of rows with those keys.
-
-    The rows are range-sorted over all keys at once, so a hot key spans as many tasks as it
-    needs. Range bounds are sampled, so the sorted rows are stored before their places are
-    counted; a lost executor then cannot move a row between ranges.
+def lowest_share(
+    df: DataFrame, keys: Sequence[str], value: str, label: str, tie: str, share: int, out: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The first rows per key by (``value``, ``label``, ``tie``): one in ``share``, one at least.
+
+    Adds ``out``: the 0-based place. Nothing is sorted as a whole and nothing stored: a histogram of
+    ``value`` (few different whole numbers per key) tells which values are in, in part or not at
+    all. Rows of one value are cut into bins by the first characters of ``label``, as many as leave
+    about ``block_rows`` in a bin if labels are spread over sixteen digits (ids made of digests; others
+    give uneven bins and the same result). A histogram of the bins gives each its first place and
+    leaves out those beyond the share; rows are ordered inside their bin alone.
     """
-    placed = stored(
-        df.orderBy(*keys, *order).withColumn("__id", F.monotonically_increasing_id()), "sorted"
-    )
-    # High bits of the id are the partition, low 33 bits the row within it.
-    part = F.shiftright(F.col("__id"), 33)
-    row = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.withColumn("__part", part).withColumn("__row", row)
-    # One row per partition: its number is a setting, not a matter of data size.
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    bases = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    placed = placed.join(F.broadcast(bases), "__part").withColumn("__at", F.col("__base") + F.col("__row"))
-    starts = placed.groupBy(*keys).agg(
-        F.min("__at").alias("__start"), F.count(F.lit(1)).alias(f"{out}_of")
-    )
-    joined = split_join(placed, starts, keys, "inner", spread_by=["__at"])
-    return joined.withColumn(out, F.col("__at") - F.col("__start")).drop(
-        "__id", "__part", "__row", "__base", "__at", "__start"
-    )
+    keys = list(keys)
+    group = [*keys, value]
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"))
+    over = W.partitionBy(*keys)
+    before = over.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    quota = F.greatest(F.lit(1).cast("bigint"), F.floor(F.sum("__rows").over(over) / share))
+    digits = F.when(F.col("__rows") <= block_rows, 0).otherwise(F.ceil(F.log(16.0, F.col("__rows") / block_rows)))
+    values = counts.select(
+        *group, "__rows", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"), quota.alias("__quota"),
+        digits.cast("int").alias("__digits"),
+    ).where(F.col("__before") < F.col("__quota"))
+    rows = split_join(df, values.drop("__rows"), group, "inner", spread_by=[label, tie], counts=counts)
+    rows = rows.withColumn("__bin", F.substring(F.col(label), F.lit(1), F.col("__digits")))
+    bins = rows.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n"), F.first("__before").alias("__b"), F.first("__quota").alias("__q"))
+    ahead = W.partitionBy(*group).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.withColumn("__first", F.col("__b") + F.coalesce(F.sum("__n").over(ahead), F.lit(0))).where(F.col("__first") < F.col("__q"))
+    placed = rows.join(bins.select(*group, "__bin", "__first"), [*group, "__bin"])
+    inside = W.partitionBy(*group, "__bin").orderBy(label, tie)
+    placed = placed.withColumn(out, F.col("__first") + F.row_number().over(inside) - 1)
+    return placed.where(F.col(out) < F.col("__quota")).select(*df.columns, out)
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from censemble.functions import fixed
 from censemble.functions.text import transcript_line
-from censemble.operators.skew import first_k, positions, sorted_positions, split_join
+from censemble.operators.skew import BLOCK_ROWS, first_k, lowest_share, positions, split_join
 
 # Statements per window block, as a power of two; smaller than elsewhere since they carry text.
 CONTEXT_BLOCK_BITS = 16
@@ -111,7 +111,9 @@ def statement_counts(statements: DataFrame, run: Sequence[str]) -> DataFrame:
     )
 
 
-def next_speakers(roster: DataFrame, statements: DataFrame, run: Sequence[str]) -> DataFrame:
+def next_speakers(
+    roster: DataFrame, statements: DataFrame, run: Sequence[str], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Who speaks next: the third of the roster (at least one) that spoke least, ties by id.
 
     ``roster`` has the run key, persona_id and draw_no, one row per seat.
@@ -125,9 +127,8 @@ def next_speakers(roster: DataFrame, statements: DataFrame, run: Sequence[str])
     seats = split_join(roster.select(*run, "persona_id", "draw_no"), spoken, [*run, "persona_id"], "left",
                        spread_by=["draw_no"])
     seats = seats.withColumn("n_spoken", F.coalesce("n_spoken", F.lit(0).cast("bigint")))
-    placed = sorted_positions(seats, run, ["n_spoken", "persona_id", "draw_no"], "turn")
-    quota = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("turn_of") / 3))
-    return placed.where(F.col("turn") < quota).select(
+    chosen = lowest_share(seats, run, "n_spoken", "persona_id", "draw_no", 3, "turn", block_rows)
+    return chosen.select(
         *run, "persona_id", "draw_no", "n_spoken", (F.col("turn") + 1).alias("turn")
     )
 

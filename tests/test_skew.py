@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from censemble.operators.skew import (
     first_k,
     lookup_join,
+    lowest_share,
     numbered_rows,
     positions,
     running_total,
-    sorted_positions,
     split_join,
 )
 
@@ -56,19 +56,30 @@ def test_positions_are_dense(spark, skewed, bits):
         assert [got[key, seq] for seq, _ in entries] == list(range(len(entries)))
 
 
-def test_sorted_positions_by_text(spark, skewed):
-    named = [(k, f"id-{s:04d}", v) for k, s, v in skewed]
-    df = spark.createDataFrame(named, "key string, id string, value long")
-    rows = sorted_positions(df, ["key"], ["value", "id"], "at").collect()
+@pytest.mark.parametrize("block_rows", [1, 7, 100_000])
+def test_lowest_share_by_text(spark, skewed, block_rows):
+    """Repeated labels, labels of any length, ties of a whole key, and keys of a single row."""
+    named = [(k, s % 3 if k == "hot" else 0, format(s * 7919 % 5000, "x") if s % 4 else "same", s) for k, s, _ in skewed]
+    df = spark.createDataFrame(named, "key string, value long, id string, tie long")
+    rows = lowest_share(df, ["key"], "value", "id", "tie", 3, "at", block_rows).collect()
     by_key = defaultdict(list)
     for r in rows:
-        by_key[r.key].append((r["at"], r.value, r.id, r.at_of))
+        by_key[r.key].append((r["at"], r.value, r.id, r.tie))
+    assert set(by_key) == {k for k, *_ in named}
     for key, entries in by_key.items():
-        entries.sort()
-        expected = sorted((v, i) for k, i, v in named if k == key)
-        assert [(v, i) for _, v, i, _ in entries] == expected
-        assert [at for at, *_ in entries] == list(range(len(expected)))
-        assert {n for *_, n in entries} == {len(expected)}
+        expected = sorted(r[1:] for r in named if r[0] == key)
+        expected = expected[: max(1, len(expected) // 3)]
+        assert sorted(entries) == [(i, *e) for i, e in enumerate(expected)]
+
+
+def test_lowest_share_orders_bins_only(spark, skewed):
+    """No range exchange, and no job while the plan is built."""
+    df = spark.createDataFrame([(k, 0, str(s), s) for k, s, _ in skewed], "key string, value long, id string, tie long")
+    spark.sparkContext.setJobGroup("lowest", "lowest")
+    plan = lowest_share(df, ["key"], "value", "id", "tie", 3, "at")._jdf.queryExecution().executedPlan().toString()
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lowest")
+    spark.sparkContext.setJobGroup("", "")
+    assert "rangepartitioning" not in plan
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

@@ -73,9 +73,10 @@ def test_context_is_empty_without_others(spark):
     assert tr.ablated_context(df, ["run"]).first().context == "(no statements yet)"
 
 
-def test_next_speakers(spark, said):
+@pytest.mark.parametrize("block_rows", [1, 2, 100_000])
+def test_next_speakers(spark, said, block_rows):
     roster = [(run, f"s{i}", i) for run in ("hot", "small", "two") for i in range(7)] + [("hot", "s1", 99), ("solo", "s0", 0), ("solo", "s1", 1)]
-    df = tr.next_speakers(spark.createDataFrame(roster, "run string, persona_id string, draw_no int"), spark.createDataFrame(said, STATEMENTS), ["run"])
+    df = tr.next_speakers(spark.createDataFrame(roster, "run string, persona_id string, draw_no int"), spark.createDataFrame(said, STATEMENTS), ["run"], block_rows)
     got = defaultdict(list)
     for r in df.orderBy("run", "turn").collect():
         got[r.run].append((r.persona_id, r.draw_no, r.n_spoken))
