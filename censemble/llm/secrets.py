@@ -217,11 +217,14 @@ class Scan:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         self.texts = texts
         self.buffer, self.at = flat(texts)
+        # Code points before every byte, counted once.
+        self.points = np.concatenate([[0], np.cumsum((self.buffer & 0xC0) != 0x80, dtype=np.int64)])
 
-    def _chars(self, text: int, place: int) -> int:
-        """Code points before a byte place of a text."""
-        part = self.buffer[self.at[text] : place]
-        return int(np.count_nonzero((part & 0xC0) != 0x80))
+    def _placed(self, inside: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
+        """Text, begin in code points, and begin and end byte of runs of at least so many bytes."""
+        texts, begins, ends = _runs(inside, self.at, least)
+        chars = self.points[begins] - self.points[self.at[texts]]
+        return zip(texts.tolist(), chars.tolist(), begins.tolist(), ends.tolist(), strict=True)
 
     def base(self) -> list[list[tuple[int, int, int]]]:
         """Per text its pattern spans as (begin, kind, end), sorted."""
@@ -237,8 +240,7 @@ class Scan:
             for m in ACCESS.finditer(self.texts[t].as_py()):
                 if len(m[0]) >= ACCESS_CHARS:
                     found[t].append((m.start(), 1, m.end()))
-        for t, b, e in zip(*(x.tolist() for x in _runs(_HEX[self.buffer], self.at, HEX_CHARS)), strict=True):
-            begin = self._chars(t, b)
+        for t, begin, b, e in self._placed(_HEX[self.buffer], HEX_CHARS):
             found[t].append((begin, 2, begin + e - b))
         for spans in found:
             spans.sort()
@@ -248,13 +250,17 @@ class Scan:
         """Other runs of key characters: text, begin, end, and the run."""
         if not len(self.buffer):
             return
-        for t, b, e in zip(*(x.tolist() for x in _runs(_KEY[self.buffer], self.at, RUN_CHARS)), strict=True):
-            run = self.buffer[b:e].tobytes().decode()
-            if run.isdigit():
-                continue
-            begin = self._chars(t, b)
+        text, at, reach = -1, 0, 0
+        for t, begin, b, e in self._placed(_KEY[self.buffer], RUN_CHARS):
+            if t != text:
+                text, at, reach = t, 0, 0
+            # Runs and spans both come in order: how far do the spans that begin before this end reach?
             end = begin + e - b
-            if not any(x < end and begin < y for x, _, y in base[t]):
+            while at < len(base[t]) and base[t][at][0] < end:
+                reach = max(reach, base[t][at][2])
+                at += 1
+            run = self.buffer[b:e].tobytes().decode()
+            if reach <= begin and not run.isdigit():
                 yield t, begin, end, run
 
 
