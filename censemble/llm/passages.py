@@ -1,7 +1,7 @@
 """Substring dedup: words of passages that an earlier document holds are removed, exactly.
 
 A window is a run of consecutive words of one document. A word goes if a window that covers it also
-starts in a document with a smaller id. Documents are dealt into groups by a hash of their id; each
+starts in a document with a smaller id. Documents are dealt into groups by a hash of their id and text; each
 group is the partition of a count-min sketch:
 
 1. every group counts its distinct windows in the cells of the sketch's rows; counts of a block of
@@ -162,7 +162,7 @@ def remove_repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shape = Shape(int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
     n = shape.groups
-    dealt = rows.withColumn("gid", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    dealt = rows.withColumn("gid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def sketch(table: pa.Table) -> pa.Table:
         group = Group(table, width)
