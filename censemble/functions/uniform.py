@@ -24,14 +24,21 @@ def hash_draw(*parts: Column) -> Column:
     return _hex_to_long(F.substring(_digest(*parts), 1, 15))
 
 
-def pair_digest(*parts: Column) -> Column:
-    """A digest that holds two draws; see ``pair_draw``."""
-    return _digest(*parts)
+# Many draws from one digest: values of a cubic polynomial over the field of this prime, at the places
+# 0, 1, 2 and so on. Any four of them are independent and uniform; digests are independent of each other.
+PRIME = 2**31 - 1
+DRAWS = 16
 
 
-def pair_draw(digest: Column, second: bool) -> Column:
-    """The first or second uniform integer in [0, 2**60) of a digest."""
-    return _hex_to_long(F.substring(digest, 17 if second else 1, 15))
+def coefficients(*parts: Column) -> list[Column]:
+    """The four 32-bit parts of the labels' digest, for ``field_draw``."""
+    digest = _digest(*parts)
+    return [_hex_to_long(F.substring(digest, 1 + 8 * i, 8)) for i in range(4)]
+
+
+def field_draw(c: list[Column], place: Column) -> Column:
+    """Uniform integer in [0, 2**31 - 1): the draw at ``place`` (below ``DRAWS``)."""
+    return (c[0] + place * (c[1] + place * (c[2] + place * c[3]))) % PRIME
 
 
 def unit_draw(*parts: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from censemble.functions import fixed
-from censemble.functions.uniform import pair_digest, pair_draw
+from censemble.functions.uniform import DRAWS, PRIME, coefficients, field_draw
 from censemble.operators.skew import dealt_out, numbered_rows, positions
 
 # Places per block of votes, as a power of two: a block's stances are one array.
@@ -25,33 +25,44 @@ def rank_bounds(replicates: int, alpha: float) -> tuple[int, int]:
     return low, high
 
 
+_PARTS = ["__c0", "__c1", "__c2", "__c3"]
+
+
+def _drawn(rows: DataFrame, n: str, each: int, *labels: Column) -> DataFrame:
+    """A row for every of the ``n`` draws of a row's seed, replicate and labels that its turn holds,
+    ``each`` in a turn, numbered in ``at``. A loop inside the row: unrolled it would be too much code to compile."""
+    hashed = rows.withColumns(dict(zip(_PARTS, coefficients(F.col("__seed"), F.col("rep"), *labels, F.col("turn")), strict=True)))
+    left = F.least(F.lit(each).cast("bigint"), F.col(n) - F.col("turn") * each)
+    return hashed.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), left - 1)))
+
+
+def _value(at: Column) -> Column:
+    return field_draw([F.col(c) for c in _PARTS], at)
+
+
 def _draw_counts(sizes: DataFrame, run: list[str], replicates: int, place_bits: int) -> DataFrame:
     """How many of a replicate's n draws fall into each block of places: (run, block, rep, draws).
 
-    Every draw hashes to a place; only counts leave the task. In a run of one block all n do.
+    A digest holds the places of half ``DRAWS`` draws, two values each; only counts leave the task. In
+    a run of one block all n draws fall into it.
     """
+    each = DRAWS // 2
     per_rep = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     alone = per_rep.where(F.col("blocks") == 1).select(*run, F.lit(0).cast("bigint").alias("block"), "rep", F.col("n").alias("draws"))
-    halves = numbered_rows(
-        per_rep.where(F.col("blocks") > 1).withColumn("__pairs", F.shiftright(F.col("n") + 1, 1)), "__pairs", "half", [*run, "rep"]
-    )
-    hashed = halves.withColumn("__digest", pair_digest(F.col("__seed"), F.col("rep"), F.lit("block"), F.col("half")))
-    places = F.array(
-        F.pmod(pair_draw(F.col("__digest"), False), F.col("n")),
-        F.when(F.col("half") * 2 + 1 < F.col("n"), F.pmod(pair_draw(F.col("__digest"), True), F.col("n"))),
-    )
-    drawn = hashed.select(*run, "rep", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("__place"))
-    spread = drawn.groupBy(*run, F.shiftright(F.col("__place"), place_bits).alias("block"), "rep").agg(
-        F.count(F.lit(1)).alias("draws")
+    turns = numbered_rows(
+        per_rep.where(F.col("blocks") > 1).withColumn("__turns", F.ceil(F.col("n") / each)), "__turns", "turn", [*run, "rep"]
     )
-    return alone.unionByName(spread)
+    drawn = _drawn(turns, "n", each, F.lit("block"))
+    place = (_value(2 * F.col("at")) * PRIME + _value(2 * F.col("at") + 1)) % F.col("n")
+    drawn = drawn.select(*run, "rep", F.shiftright(place, place_bits).alias("block"))
+    return alone.unionByName(drawn.groupBy(*run, "block", "rep").agg(F.count(F.lit(1)).alias("draws")))
 
 
 def _replicate_sums(votes: DataFrame, run: list[str], replicates: int, place_bits: int) -> DataFrame:
     """(run, rep, n, total): the sum of n stances drawn with replacement.
 
-    A block makes as many uniform draws in its own array as fell into it, by a second hash of
-    (seed, replicate, block, draw), and leaves one sum per replicate.
+    A block makes as many uniform draws in its own array as fell into it, ``DRAWS`` from each digest
+    of (seed, replicate, block, turn), and leaves one sum per replicate.
     """
     placed = positions(votes.select(*run, "__seed", "seq", "stance"), run, "seq", "__place")
     placed = placed.withColumn("block", F.shiftright(F.col("__place"), place_bits))
@@ -74,13 +85,12 @@ def _replicate_sums(votes: DataFrame, run: list[str], replicates: int, place_bit
     spread = dealt_out(copies, [*run, "block", "__part"])
     mine = F.filter("wanted", lambda w: F.pmod(w["rep"], F.col("__parts")) == F.col("__part"))
     each = spread.select(*run, "__seed", "block", "stances", F.inline(mine)).withColumn(
-        "half", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("draws") - 1, 1)))
+        "turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("draws") - 1) / DRAWS)))
     )
-    m = F.size("stances")
-    hashed = each.withColumn("__digest", pair_digest(F.col("__seed"), F.col("rep"), F.col("block"), F.col("half")))
-    first = F.get("stances", F.pmod(pair_draw(F.col("__digest"), False), m).cast("int"))
-    second = F.get("stances", F.pmod(pair_draw(F.col("__digest"), True), m).cast("int"))
-    taken = first + F.when(F.col("half") * 2 + 1 < F.col("draws"), second).otherwise(0.0)
+    # A value of 31 bits, scaled down to a place; a block has 2**place_bits places at most.
+    m = F.size("stances").cast("bigint")
+    taken = F.get("stances", F.shiftright(_value(F.col("at")) * m, 31).cast("int"))
+    hashed = _drawn(each, "draws", DRAWS, F.col("block"))
     sums = hashed.groupBy(*run, "rep").agg(F.sum(taken).alias("total"))
     return sums.join(sizes.select(*run, "n"), run)
 
@@ -95,8 +105,8 @@ def bootstrap_interval(
 ) -> DataFrame:
     """Per run: ``ci_low`` and ``ci_high`` of the mean post stance in percent; 50 if none voted.
 
-    Each replicate takes n votes with replacement, by hash of (seed, replicate, draw), so results
-    depend on the seed only. ``seed`` must be the same for all votes of a run, and seq unique in
+    Each replicate takes n votes with replacement. Draws come from digests of (seed, replicate, block,
+    turn), so results depend on the seed only. ``seed`` must be the same for all votes of a run, and seq unique in
     it. Runs of any size go the same way, in blocks of 2**place_bits votes; no draw is shuffled.
     """
     run = list(run)

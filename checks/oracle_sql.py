@@ -215,14 +215,15 @@ _cte("interval", ["votes", "runs"], """
     WITH post AS (SELECT measure_id, stance, row_number() OVER (PARTITION BY measure_id ORDER BY seq) - 1 AS place
                   FROM votes WHERE round = 6),
          sizes AS (SELECT measure_id, count(*) AS n FROM post GROUP BY measure_id),
-         digests AS (SELECT rep, half, md5('42:' || rep || ':0:' || half) AS digest
-                     FROM range(1000) r(rep), range((SELECT max(n) // 2 + 1 FROM sizes)) h(half)),
-         draws AS (SELECT rep, 2 * half AS i, ('0x' || substr(digest, 1, 15))::BIGINT AS h FROM digests
-                   UNION ALL SELECT rep, 2 * half + 1, ('0x' || substr(digest, 17, 15))::BIGINT FROM digests),
-         shares AS (SELECT s.measure_id, d.rep, 100.0 * sum(p.stance) / count(*) AS share
-                    FROM sizes s JOIN draws d ON d.i < s.n
-                    JOIN post p ON p.measure_id = s.measure_id AND p.place = d.h % s.n
-                    GROUP BY s.measure_id, d.rep),
+         digests AS (SELECT rep, turn, ('0x' || substr(d, 1, 8))::BIGINT AS c0, ('0x' || substr(d, 9, 8))::BIGINT AS c1,
+                            ('0x' || substr(d, 17, 8))::BIGINT AS c2, ('0x' || substr(d, 25, 8))::BIGINT AS c3
+                     FROM (SELECT rep, turn, md5('42:' || rep || ':0:' || turn) AS d
+                           FROM range(1000) r(rep), range((SELECT max(n) // 16 + 1 FROM sizes)) h(turn))),
+         draws AS (SELECT rep, 16 * turn + k AS i, (c0 + c1 * k + c2 * k * k + c3 * k * k * k) % 2147483647 AS h
+                   FROM digests, range(16) t(k)),
+         picks AS MATERIALIZED (SELECT s.measure_id, d.rep, (d.h * s.n) >> 31 AS place FROM sizes s JOIN draws d ON d.i < s.n),
+         shares AS (SELECT measure_id, rep, 100.0 * sum(stance) / count(*) AS share
+                    FROM picks JOIN post USING (measure_id, place) GROUP BY measure_id, rep),
          ranked AS (SELECT *, row_number() OVER (PARTITION BY measure_id ORDER BY share, rep) - 1 AS rank FROM shares)
     SELECT r.measure_id, round(coalesce(max(share) FILTER (rank = 25), 50.0), 9) AS ci_low,
            round(coalesce(max(share) FILTER (rank = 975), 50.0), 9) AS ci_high

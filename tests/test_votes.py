@@ -1,11 +1,13 @@
 import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from censemble.operators import votes as vot
-from censemble.operators.bootstrap import bootstrap_interval, rank_bounds
+from censemble.operators.bootstrap import _replicate_sums, bootstrap_interval, rank_bounds
 
 VOTES = "run string, persona_id string, seq long, phase string, stance double"
 AXES = "run string, persona_id string, party_id string, age_band string, education string, race_eth string"
@@ -146,39 +148,29 @@ def test_divergence_counts_models_not_runs(spark):
     assert (got.n_models, got.min_predicted, got.max_predicted, got.lowest_model) == (2, 20.0, 25.0, "x")
 
 
-def brute_interval(stances, seed, replicates):
-    n, shares = len(stances), []
-    for rep in range(replicates):
-        total = 0.0
-        for i in range(n):
-            total += stances[half_of(f"{seed}:{rep}:0:{i // 2}", i % 2) % n]
-        shares.append(100.0 * total / n)
-    shares.sort()
-    low, high = rank_bounds(replicates, 0.05)
-    return shares[low], shares[high]
-
-
-def half_of(text, second):
-    digest = hashlib.md5(text.encode()).hexdigest()
-    return int(digest[16:31] if second else digest[:15], 16)
+def values_of(label, n):
+    """n draws from the label's digests, sixteen from each."""
+    out = []
+    for turn in range(-(-n // 16)):
+        digest = hashlib.md5(f"{label}:{turn}".encode()).hexdigest()
+        c = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+        out += [sum(x * k**i for i, x in enumerate(c)) % (2**31 - 1) for k in range(16)]
+    return out[:n]
 
 
 def brute_blocks(stances, seed, replicates, size):
     """Draws fall into blocks of places; each block draws that many from itself."""
     n, shares = len(stances), []
     for rep in range(replicates):
-        if n <= size:
-            counts = {0: n}
-        else:
-            counts = {}
-            for i in range(n):
-                block = half_of(f"{seed}:{rep}:block:{i // 2}", i % 2) % n // size
-                counts[block] = counts.get(block, 0) + 1
+        counts = {0: n}
+        if n > size:
+            pairs = values_of(f"{seed}:{rep}:block", 2 * n)
+            counts = Counter((x * (2**31 - 1) + y) % n // size for x, y in zip(pairs[::2], pairs[1::2]))
         assert sum(counts.values()) == n
         total = 0.0
         for block, draws in counts.items():
             own = stances[block * size : (block + 1) * size]
-            total += sum(own[half_of(f"{seed}:{rep}:{block}:{j // 2}", j % 2) % len(own)] for j in range(draws))
+            total += sum(own[v * len(own) >> 31] for v in values_of(f"{seed}:{rep}:{block}", draws))
         shares.append(100.0 * total / n)
     shares.sort()
     low, high = rank_bounds(replicates, 0.05)
@@ -193,12 +185,24 @@ def test_bootstrap_matches_brute_force_for_any_block(spark, place_bits):
     got = {r.run: r for r in bootstrap_interval(make(spark, rows), ["run"], F.lit(7), 200, place_bits=place_bits).collect()}
     for run, stances in runs.items():
         low, high = brute_blocks(stances, 7, 200, 1 << place_bits)
-        if place_bits == 16:
-            assert (low, high) == pytest.approx(brute_interval(stances, 7, 200))
         assert got[run].ci_low == pytest.approx(low) and got[run].ci_high == pytest.approx(high)
         assert 0 <= low <= 100 * sum(stances) / len(stances) <= high <= 100
     assert got["one"].ci_low == got["one"].ci_high == pytest.approx(30.0)
 
 
+@pytest.mark.parametrize("place_bits", [16, 3, 0])
+def test_draws_of_a_place_are_binomial(spark, place_bits):
+    """How often one vote of twenty is drawn in 3,000 replicates, against the exact shares (chi-squared)."""
+    n, replicates = 20, 3000
+    votes = spark.createDataFrame([("r", 11, i, float(i == 13)) for i in range(n)], "run string, __seed int, seq long, stance double")
+    sums = _replicate_sums(votes, ["run"], replicates, place_bits).collect()
+    assert len(sums) == replicates and {r.n for r in sums} == {n}
+    seen = Counter(min(4, round(r.total)) for r in sums)
+    share = [math.comb(n, k) * 0.05**k * 0.95 ** (n - k) for k in range(4)]
+    share.append(1 - sum(share))
+    # Four degrees of freedom: 18.5 is passed once in a thousand times.
+    assert sum((seen[k] - replicates * p) ** 2 / (replicates * p) for k, p in enumerate(share)) < 18.5
+
+
 def test_rank_bounds():
     assert rank_bounds(1000, 0.05) == (25, 975) and rank_bounds(10, 0.0) == (0, 9)
