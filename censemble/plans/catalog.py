@@ -298,6 +298,16 @@ def priors_labels(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_label_priors(spark, d))
 
 
+def replace_table(spark: SparkSession, d: str) -> DataFrame:
+    """The party distribution as the third snapshot of its table, each made from the one before."""
+    library = scratch_path(spark, "library")
+    writers.create_library(spark, library)
+    writers.replace_table(_party(spark, d), library, "party_distribution")
+    first = readers.read_table(spark, library, "party_distribution")
+    writers.replace_table(first.withColumn("cell_n", F.col("cell_n") * 2), library, "party_distribution")
+    return rounded(readers.read_table(spark, library, "party_distribution"))
+
+
 def party_backoff(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_party(spark, d))
 
@@ -590,6 +600,7 @@ QUERIES: dict[str, Query] = {
     "k_anon_pool": k_anon_pool,
     "k_anon_pool_state": k_anon_pool_state,
     "replace_state": replace_state,
+    "replace_table": replace_table,
     "source_versions_latest": source_versions_latest,
     "source_versions_map": source_versions_map,
     "measures": measures,

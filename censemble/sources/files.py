@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,19 +51,111 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(made)
 
 
-def replace_folder(df: DataFrame, path: str) -> None:
-    """Write ``df`` beside ``path``, then put it in its place. ``df`` may read from ``path``: the
-    old files stay until the new ones are complete."""
+# Name of the file that says which snapshot of a table is current.
+POINTER = "_current"
+DEAD_SECONDS = 4
+
+
+class SnapshotConflict(OSError):
+    """Another writer has replaced the table in the meantime."""
+
+
+def _read_text(fs, path) -> str | None:
+    jvm_path = path
+    if not fs.exists(jvm_path):
+        return None
+    stream = fs.open(jvm_path)
+    try:
+        # Pointers are a few dozen bytes.
+        return bytes(stream.readNBytes(4096)).decode()
+    finally:
+        stream.close()
+
+
+def _version_of(name: str) -> int:
+    return int(name.split("-")[1])
+
+
+def current_snapshot(spark: SparkSession, table: str) -> str | None:
+    """The name of the table's current snapshot; null if it has none.
+
+    Snapshots are folders ``v-<number>-<writer>``. A pointer file ``_current-<number>`` holds the name;
+    the highest number counts. Pointers are made with create-if-absent, which one writer of a number
+    wins, and never changed, so a reader sees an old table or a new one and nothing between.
+    """
+    folder, fs = _path(spark, table)
+    if not fs.exists(folder):
+        return None
+    numbers = [n for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith(f"{POINTER}-")]
+    for name in sorted(numbers, key=_version_of, reverse=True):
+        found = _read_text(fs, _path(spark, f"{table}/{name}")[0])
+        # A pointer without its text is of a writer that stopped before it had committed.
+        if found and found.endswith("\n"):
+            return found[:-1]
+    return None
+
+
+def read_snapshot(spark: SparkSession, table: str, name: str | None = None) -> DataFrame:
+    """The rows of the current snapshot, or of a named one that is still there."""
+    chosen = name or current_snapshot(spark, table)
+    if chosen is None:
+        raise FileNotFoundError(f"{table} has no snapshot")
+    return spark.read.parquet(f"{table}/{chosen}")
+
+
+def replace_snapshot(df: DataFrame, table: str, expected: str | None = None, check: bool = False, keep: int = 2) -> str:
+    """Write ``df`` as the table's next snapshot and make it the current one; returns its name.
+
+    The rows may come from the table itself. Everything is written before the pointer, so a writer
+    that fails leaves the table as it was. ``check``: only replace the snapshot ``expected`` (null for
+    a new table). Two writers that started from one snapshot cannot both win; the one that comes
+    second gets a ``SnapshotConflict`` and its rows go. The last ``keep`` snapshots stay for readers that
+    have begun on them.
+    """
     spark = df.sparkSession
-    staged_name, old_name = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(staged_name)
-    target, fs = _path(spark, path)
-    staged, _ = _path(spark, staged_name)
-    old, _ = _path(spark, old_name)
-    had_old = fs.exists(target)
-    if had_old and not fs.rename(target, old):
-        raise OSError(f"cannot set aside {path}")
-    if not fs.rename(staged, target):
-        raise OSError(f"cannot move the new rows to {path}; the old ones are at {old_name}")
-    if had_old:
-        fs.delete(old, True)
+    folder, fs = _path(spark, table)
+    base = current_snapshot(spark, table)
+    if check and base != expected:
+        raise SnapshotConflict(f"{table} is at {base}, not at {expected}")
+    number = 1 + (_version_of(base) if base else 0)
+    name = f"v-{number:012d}-{uuid.uuid4().hex}"
+    written, _ = _path(spark, f"{table}/{name}")
+    try:
+        df.write.mode("errorifexists").parquet(f"{table}/{name}")
+        _commit(spark, fs, table, number, name)
+    except BaseException:
+        fs.delete(written, True)
+        raise
+    _forget(spark, fs, table, keep)
+    return name
+
+
+def _commit(spark: SparkSession, fs, table: str, number: int, name: str) -> None:
+    """Make the pointer of this number, unless another writer has it.
+
+    A pointer that stays without text for ``DEAD_SECONDS`` is of a writer that has died, and goes.
+    """
+    pointer, _ = _path(spark, f"{table}/{POINTER}-{number:012d}")
+    for turn in range(10):
+        try:
+            stream = fs.create(pointer, False)
+            break
+        except Exception as taken:
+            if turn == 9 or _read_text(fs, pointer):
+                raise SnapshotConflict(f"snapshot {number} of {table} is another writer's") from taken
+            time.sleep(DEAD_SECONDS / 8)
+            if turn == 8:
+                fs.delete(pointer, False)
+    try:
+        stream.write(bytearray(f"{name}\n".encode()))
+    finally:
+        stream.close()
+
+
+def _forget(spark: SparkSession, fs, table: str, keep: int) -> None:
+    """Delete snapshots and pointers older than the last ``keep``; unfinished newer ones stay."""
+    newest = _version_of(current_snapshot(spark, table))
+    for status in fs.listStatus(_path(spark, table)[0]):
+        name = status.getPath().getName()
+        if name.startswith(("v-", f"{POINTER}-")) and _version_of(name) <= newest - keep:
+            fs.delete(status.getPath(), True)

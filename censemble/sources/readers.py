@@ -13,7 +13,7 @@ from censemble.functions import fixed
 from censemble.functions.parsing import strip_text
 from censemble.functions.text import bare_measure_id
 from censemble.sources import schemas
-from censemble.sources.files import csv_header, exists, files_of, matching
+from censemble.sources.files import csv_header, current_snapshot, exists, files_of, matching
 
 
 def _named_csv(spark: SparkSession, paths: Sequence[str], needed: Sequence[str]) -> DataFrame:
@@ -128,6 +128,8 @@ def read_table(spark: SparkSession, library: str, name: str) -> DataFrame:
     """A persona-library table; an absent one reads as empty with its declared schema."""
     path = f"{library.rstrip('/')}/{name}"
     ddl = schemas.TABLES[name]
+    if name in schemas.SNAPSHOTS and (snapshot := current_snapshot(spark, path)):
+        path = f"{path}/{snapshot}"
     if not exists(spark, path):
         return spark.createDataFrame([], ddl)
     return spark.read.schema(ddl).parquet(path)

@@ -49,3 +49,6 @@ TABLES = {
     "party_distribution": PARTY_DISTRIBUTION,
     "source_versions": SOURCE_VERSIONS,
 }
+
+# Tables that are always replaced as a whole: a folder per snapshot and a pointer to the current one.
+SNAPSHOTS = ("priors", "party_distribution")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from censemble.functions.policy import OUTPUT, gate_output, with_first_match
 from censemble.operators.skew import lookup_join
 from censemble.sources import schemas
-from censemble.sources.files import exists, replace_folder
+from censemble.sources.files import exists, replace_snapshot
 
 # Entries and bytes of text of one kind per artifact record. Most runs fit one record; longer ones
 # go on in further parts, and long texts in further slices of a part, so no record grows with its run.
@@ -32,8 +32,10 @@ def create_library(spark: SparkSession, library: str) -> None:
         path = f"{library.rstrip('/')}/{name}"
         if not exists(spark, path):
             empty = spark.createDataFrame([], ddl)
+            if name in schemas.SNAPSHOTS:
+                replace_snapshot(empty, path)
             # A partitioned write of no rows leaves no folder, so cells start on first load.
-            if name != "cells":
+            elif name != "cells":
                 empty.write.parquet(path)
 
 
@@ -61,9 +63,15 @@ def replace_cells(cells: DataFrame, library: str) -> None:
     )
 
 
-def replace_table(df: DataFrame, library: str, name: str) -> None:
-    """Replace a whole unpartitioned library table; the rows may come from the table itself."""
-    replace_folder(_as_table(df, name), f"{library.rstrip('/')}/{name}")
+def replace_table(df: DataFrame, library: str, name: str) -> str:
+    """Replace a whole table that is kept in snapshots; returns the new snapshot's name.
+
+    The rows may come from the table itself. Readers see the old rows until the new ones are
+    complete, and a writer that fails, or that another one has overtaken, changes nothing.
+    """
+    if name not in schemas.SNAPSHOTS:
+        raise ValueError(f"{name} is not kept in snapshots")
+    return replace_snapshot(_as_table(df, name), f"{library.rstrip('/')}/{name}")
 
 
 def record_version(

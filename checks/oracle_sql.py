@@ -435,6 +435,8 @@ ORACLE: dict[str, str] = {
     "replace_state": query(["cells"], f"""
         SELECT {SKELETON}, CASE WHEN state = 'CA' THEN 2 ELSE 1 END * person_weight AS person_weight, record_count
         FROM cells"""),
+    "replace_table": query(["party_dist"], f"""
+        SELECT age_band, education, race_eth, {_r(['p_dem', 'p_ind', 'p_rep'], 9)}, 2 * cell_n AS cell_n FROM party_dist"""),
     "source_versions_latest": """
         SELECT event_type AS source_name, arg_max('v' || (event_id % 50), ts) AS version,
                strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS loaded_at FROM events GROUP BY event_type""",

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from censemble.functions import fixed
 from censemble.operators.cells import k_anonymous
 from censemble.plans import backtest, library
-from censemble.sources import readers, writers
+from censemble.sources import files, readers, writers
 from censemble.sources.schemas import CELLS, MEASURES, SOURCE_VERSIONS
 
 HEADER = "SERIALNO,ST,PUMA10,PUMA20,AGEP,SEX,RAC1P,HISP,SCHL,PINCP,PWGTP"
@@ -85,6 +86,79 @@ def test_replace_table_may_read_itself(spark, tmp_path):
     assert [r.cell_n for r in readers.read_table(spark, lib, "party_distribution").collect()] == [21]
 
 
+PARTY = "age_band string, education string, race_eth string, p_dem double, p_ind double, p_rep double, cell_n long"
+
+
+def party(spark, *counts):
+    return spark.createDataFrame([("30-44", "hs", "hispanic", 0.1, 0.2, 0.7, n) for n in counts], PARTY)
+
+
+def counts_of(df):
+    return sorted(r.cell_n for r in df.collect())
+
+
+def test_a_reader_in_the_middle_of_a_swap_sees_old_rows(spark, tmp_path, monkeypatch):
+    lib = str(tmp_path / "lib")
+    writers.replace_table(party(spark, 1, 2), lib, "party_distribution")
+    before = readers.read_table(spark, lib, "party_distribution")
+    seen, real = [], files._commit
+
+    def watched(*args):
+        # The new rows are all written, the pointer is not.
+        seen.append(counts_of(readers.read_table(spark, lib, "party_distribution")))
+        real(*args)
+
+    monkeypatch.setattr(files, "_commit", watched)
+    writers.replace_table(party(spark, 7), lib, "party_distribution")
+    assert seen == [[1, 2]] and counts_of(before) == [1, 2]
+    assert counts_of(readers.read_table(spark, lib, "party_distribution")) == [7]
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    lib = str(tmp_path / "lib")
+    writers.replace_table(party(spark, 1), lib, "party_distribution")
+    bad = party(spark, 5).withColumn("cell_n", F.raise_error(F.lit("no")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        writers.replace_table(bad, lib, "party_distribution")
+    assert counts_of(readers.read_table(spark, lib, "party_distribution")) == [1]
+    assert len([p for p in os.listdir(f"{lib}/party_distribution") if p.startswith("v-")]) == 1
+
+
+def test_the_second_of_two_writers_is_told(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "t")
+    first = files.replace_snapshot(party(spark, 1), table)
+    real = files._commit
+
+    def overtaken(spark_, fs, table_, number, name):
+        monkeypatch.setattr(files, "_commit", real)
+        files.replace_snapshot(party(spark, 2), table)
+        real(spark_, fs, table_, number, name)
+
+    monkeypatch.setattr(files, "_commit", overtaken)
+    with pytest.raises(files.SnapshotConflict):
+        files.replace_snapshot(party(spark, 3), table)
+    assert counts_of(files.read_snapshot(spark, table)) == [2]
+    assert counts_of(files.read_snapshot(spark, table, first)) == [1]
+    with pytest.raises(files.SnapshotConflict):
+        files.replace_snapshot(party(spark, 4), table, expected=first, check=True)
+    assert counts_of(files.read_snapshot(spark, table)) == [2]
+
+
+def test_a_dead_writers_pointer_does_not_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "DEAD_SECONDS", 0.1)
+    table = str(tmp_path / "t")
+    files.replace_snapshot(party(spark, 1), table)
+    open(f"{table}/{files.POINTER}-{2:012d}", "w").close()
+    assert counts_of(files.read_snapshot(spark, table)) == [1]
+    files.replace_snapshot(party(spark, 2), table)
+    assert counts_of(files.read_snapshot(spark, table)) == [2]
+    for n in range(3, 6):
+        files.replace_snapshot(party(spark, n), table)
+    assert len([p for p in os.listdir(table) if p.startswith("v-")]) == 2
+    with pytest.raises(FileNotFoundError):
+        files.read_snapshot(spark, str(tmp_path / "none"))
+
+
 def test_latest_version_wins(spark, tmp_path):
     log = [("acs", "v1", datetime(2024, 1, 1)), ("acs", "v3", datetime(2024, 1, 3)), ("acs", "v2", datetime(2024, 1, 2)), ("anes", "a", datetime(2023, 1, 1))]
     versions = spark.createDataFrame(log, SOURCE_VERSIONS)
