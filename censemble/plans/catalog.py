@@ -20,6 +20,7 @@ from censemble.functions.recode import (
 )
 from censemble.operators import calibration as cal
 from censemble.operators import priors as pri
+from censemble.operators import prompts as prm
 from censemble.operators import sampling as smp
 from censemble.operators import spend, transcripts, validate
 from censemble.operators import votes as vot
@@ -375,6 +376,65 @@ def briefing_prompts(spark: SparkSession, d: str) -> DataFrame:
                          F.char_length(prompt).cast("bigint").alias("prompt_chars"))
 
 
+# Templates of the queries; users bring their own.
+CITIZEN = "Speak as this person.\n\n{backstory}"
+CONTEXT_HEADING = "\n\nRecent deliberation:\n"
+VOTE_REQUEST = 'Question: {framing}\nAnswer as {{"stance": 0-1, "confidence": 0-1, "rationale": "..."}}.'
+TURN_REQUEST = "Round {round} of {total}. Said so far:\n{context}\nYour statement:"
+CRITIC, CRITIC_REQUEST = "Check facts only.", 'Statement: {statement}\nSources:\n{sources}\nAnswer as {{"flagged": true/false, "note": "..."}}.'
+PROBE, PROBE_REQUEST = "Recall facts only.", "Measure: {title} ({state}, {year})\n{framing}\nDo you know the result?"
+
+
+def _run_measures(spark: SparkSession, d: str) -> DataFrame:
+    """A measure per conversation: its first statement is the question, two speakers are its sources."""
+    said = fx.statements(spark, d)
+    return said.groupBy("run_id").agg(
+        F.min_by("text", "seq").alias("framing"), (3 + F.col("run_id") % 4).cast("int").alias("n_rounds"),
+        F.when(F.col("run_id") % 3 != 0, F.array(F.min("speaker_id"), F.max("speaker_id"))).alias("briefing_sources"),
+    )
+
+
+def _seats(spark: SparkSession, d: str) -> DataFrame:
+    story = F.concat(F.lit("I am "), F.col("persona_id"), F.lit(" in run "), (F.col("run_id") % 7).cast("string"))
+    return fx.roster(spark, d).withColumn("backstory", story)
+
+
+def _told(prompts: tuple[DataFrame, DataFrame], on: list[str]) -> DataFrame:
+    rows, stored = prompts
+    keys = [F.size("system").alias("n_system"), F.size("user").alias("n_user")]
+    texts = prm.expand(rows, stored, on).select(*on, *[F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("system", "user")])
+    return rows.select(*on, *keys).join(texts, on)
+
+
+def vote_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Final votes; runs with an even number have no transcript yet."""
+    contexts = transcripts.final_context(fx.statements(spark, d), ["run_id"]).where(F.col("run_id") % 2 == 1)
+    made = prm.vote_prompts(_seats(spark, d), _run_measures(spark, d), ["run_id"], CITIZEN, VOTE_REQUEST, contexts, CONTEXT_HEADING)
+    return _told(made, ["run_id", "persona_id", "draw_no"])
+
+
+def deliberation_prompts(spark: SparkSession, d: str) -> DataFrame:
+    turns = transcripts.recent_context(fx.statements(spark, d), ["run_id"])
+    return _told(prm.deliberation_prompts(turns, _seats(spark, d), _run_measures(spark, d), ["run_id"], CITIZEN, TURN_REQUEST), ["run_id", "seq"])
+
+
+def critic_prompts(spark: SparkSession, d: str) -> DataFrame:
+    said = fx.statements(spark, d).withColumn("text", F.when(F.col("seq") % 5 != 4, F.col("text")))
+    return _told(prm.critic_prompts(said, _run_measures(spark, d), ["run_id"], CRITIC, CRITIC_REQUEST), ["run_id", "seq"])
+
+
+def probe_prompts(spark: SparkSession, d: str) -> DataFrame:
+    measures = fx.measure_definitions(spark, d)
+    return _told(prm.probe_prompts(measures, ["measure_id"], PROBE, PROBE_REQUEST), ["measure_id"])
+
+
+def prompt_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The stored segments of all vote prompts: every text once."""
+    contexts = transcripts.final_context(fx.statements(spark, d), ["run_id"])
+    _, stored = prm.vote_prompts(_seats(spark, d), _run_measures(spark, d), ["run_id"], CITIZEN, VOTE_REQUEST, contexts, CONTEXT_HEADING)
+    return stored.select("key", F.char_length("text").cast("bigint").alias("chars"))
+
+
 def validate_personas(spark: SparkSession, d: str) -> DataFrame:
     """Sampled personas with some values spoiled by draw number, and the reasons found."""
     no = F.col("draw_no")
@@ -624,6 +684,11 @@ QUERIES: dict[str, Query] = {
     "sample_composition": sample_composition,
     "prompt_rows": prompt_rows,
     "briefing_prompts": briefing_prompts,
+    "vote_prompts": vote_prompts,
+    "deliberation_prompts": deliberation_prompts,
+    "critic_prompts": critic_prompts,
+    "probe_prompts": probe_prompts,
+    "prompt_segments": prompt_segments,
     "validate_personas": validate_personas,
     "validate_votes": validate_votes,
     "poststratified_baseline": poststratified_baseline,

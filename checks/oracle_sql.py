@@ -7,6 +7,8 @@ groups where Spark uses blocks, splits and buckets.
 from __future__ import annotations
 
 from censemble.functions import fixed
+from censemble.operators.prompts import _pieces
+from censemble.plans import catalog as cat
 from censemble.plans import fixtures as fx
 from censemble.plans.catalog import ANSWERS, BRIEFING_TEMPLATE, CAP_USD, MISSING, VERSIONS
 
@@ -286,6 +288,25 @@ _cte("lines", ["statements"], """
 _cte("roster", [], """
     SELECT run_id, persona_id, draw_no FROM (SELECT DISTINCT conv_id AS run_id FROM conversations)
     CROSS JOIN (VALUES ('assistant0', 0), ('assistant1', 1), ('assistant2', 2), ('user0', 3), ('user1', 4), ('user2', 5)) t(persona_id, draw_no)""")
+_cte("run_measures", ["statements"], """
+    SELECT run_id, arg_min(text, seq) AS framing, (3 + run_id % 4)::INTEGER AS n_rounds,
+           CASE WHEN run_id % 3 <> 0 THEN min(speaker_id) || chr(10) || max(speaker_id) ELSE '' END AS sources
+    FROM statements GROUP BY run_id""")
+_cte("seats", ["roster"], "SELECT *, 'I am ' || persona_id || ' in run ' || (run_id % 7) AS backstory FROM roster")
+
+
+def _filled(template: str, **fields: str) -> str:
+    """A template as SQL text, its places filled with expressions."""
+    text = "'" + template.replace("'", "''").replace("{{", chr(1)).replace("}}", chr(2)) + "'"
+    for name, value in fields.items():
+        text = text.replace("{" + name + "}", f"' || ({value}) || '")
+    return text.replace(chr(1), "{").replace(chr(2), "}").replace("\n", "' || chr(10) || '")
+
+
+def _final(run: str) -> str:
+    return f"(SELECT string_agg(line, chr(10) ORDER BY seq) FROM (SELECT * FROM lines x WHERE x.run_id = {run} ORDER BY seq DESC LIMIT 20))"
+
+
 _cte("speakers", ["statements"], "SELECT DISTINCT run_id, speaker_id FROM statements WHERE speaker_id <> 'moderator'")
 _cte("ablated", ["lines", "speakers"], """
     WITH kept AS (
@@ -378,6 +399,9 @@ def _r(columns: list[str], digits: int = 9) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
 
+_vote_literals = [t for x in (cat.CITIZEN, cat.VOTE_REQUEST, cat.CONTEXT_HEADING.replace("{", "{{")) for f, t in _pieces(x) if not f]
+
+
 def _first_pattern(patterns: list[str]) -> str:
     return "CASE " + " ".join(
         f"WHEN regexp_matches(lower(text), {_text(p)}) THEN {i}" for i, p in enumerate(patterns, 1)) + " END"
@@ -495,6 +519,30 @@ ORACLE: dict[str, str] = {
         SELECT 'state' AS axis, state AS value, count(*) AS n FROM sampled GROUP BY state
         UNION ALL SELECT 'party', party_id, count(*) FROM sampled GROUP BY party_id"""),
     "prompt_rows": query(["sampled"], f"SELECT spec_id, draw_no, {_backstory} AS backstory FROM sampled"),
+    "vote_prompts": query(["seats", "run_measures", "lines"], f"""
+        WITH finals AS (SELECT run_id, {_final('m.run_id')} AS context FROM run_measures m)
+        SELECT run_id, persona_id, draw_no, CASE WHEN run_id % 2 = 1 THEN 4 ELSE 2 END AS n_system, 3 AS n_user,
+               md5({_filled(cat.CITIZEN, backstory='backstory')} || CASE WHEN run_id % 2 = 1 THEN {_filled(cat.CONTEXT_HEADING)} || context ELSE '' END) AS system_md5,
+               md5({_filled(cat.VOTE_REQUEST, framing='framing')}) AS user_md5
+        FROM seats JOIN run_measures USING (run_id) JOIN finals USING (run_id)"""),
+    "deliberation_prompts": query(["seats", "run_measures", "lines", "statements"], f"""
+        SELECT s.run_id, s.seq, 2 AS n_system, 7 AS n_user, md5({_filled(cat.CITIZEN, backstory='t.backstory')}) AS system_md5,
+               md5({_filled(cat.TURN_REQUEST, round='s.round', total='m.n_rounds', context='c.context')}) AS user_md5
+        FROM statements s JOIN seats t ON t.run_id = s.run_id AND t.persona_id = s.speaker_id JOIN run_measures m ON m.run_id = s.run_id
+        JOIN (SELECT run_id, seq, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING),
+                                           '(no statements yet)') AS context FROM lines) c ON c.run_id = s.run_id AND c.seq = s.seq"""),
+    "critic_prompts": query(["statements", "run_measures"], f"""
+        SELECT s.run_id, s.seq, 1 AS n_system, 5 AS n_user, md5({_filled(cat.CRITIC)}) AS system_md5,
+               md5({_filled(cat.CRITIC_REQUEST, statement="CASE WHEN s.seq % 5 <> 4 AND s.text <> '' THEN s.text ELSE '[empty]' END", sources='m.sources')}) AS user_md5
+        FROM statements s JOIN run_measures m USING (run_id)"""),
+    "probe_prompts": f"""
+        SELECT 'wa_m' || doc_id AS measure_id, 1 AS n_system, 9 AS n_user, md5({_filled(cat.PROBE)}) AS system_md5,
+               md5({_filled(cat.PROBE_REQUEST, title="'Measure ' || doc_id", state="'WA'", year='2000 + doc_id % 24', framing="'  ' || text || ' ' || chr(10)")}) AS user_md5
+        FROM documents""",
+    "prompt_segments": query(["seats", "run_measures", "lines"], f"""
+        SELECT md5(text) AS key, length(text) AS chars FROM (
+            SELECT backstory AS text FROM seats UNION SELECT framing FROM run_measures UNION SELECT {_final('m.run_id')} FROM run_measures m
+            UNION SELECT unnest([{', '.join(_filled(p.replace('{', '{{').replace('}', '}}')) for p in _vote_literals)}]))"""),
     "briefing_prompts": query(["definitions"], f"""
         SELECT measure_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars
         FROM (SELECT measure_id, {_briefing} AS prompt FROM definitions)"""),
