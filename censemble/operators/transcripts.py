@@ -134,29 +134,38 @@ def next_speakers(
 
 
 def speaker_influence(
-    baseline: DataFrame, counterfactual: DataFrame, statements: DataFrame, run: Sequence[str]
+    baseline: DataFrame, counterfactual: DataFrame, statements: DataFrame, run: Sequence[str], strict: bool = True
 ) -> DataFrame:
     """Leave-one-speaker-out influence on the final vote.
 
     ``baseline``: run, persona_id, seq, stance (the last by seq counts). ``counterfactual``: run,
-    speaker_id, persona_id, stance. Positive signed shift means the speaker raised support.
+    speaker_id, persona_id, stance. Positive signed shift means the speaker raised support. A
+    counterfactual vote of a persona without a baseline is an error when the rows are worked out;
+    with ``strict=False`` it is left out and counted in ``n_unmatched``. A speaker with votes but without a
+    statement has a row too.
     """
     run = list(run)
     base = baseline.groupBy(*run, "persona_id").agg(F.max_by("stance", "seq").alias("base_stance"))
     shift = F.col("base_stance") - F.col("stance")
     paired = split_join(
         counterfactual.select(*run, "speaker_id", "persona_id", "stance"), base, [*run, "persona_id"],
-        "inner", spread_by=["speaker_id"],
+        "left", spread_by=["speaker_id"],
     )
+    if strict:
+        told = F.concat(F.lit("no baseline vote of "), F.col("persona_id"))
+        missing = F.col("base_stance").isNull() & F.col("stance").isNotNull()
+        paired = paired.withColumn("base_stance", F.when(missing, F.raise_error(told).cast("double")).otherwise(F.col("base_stance")))
     moved = paired.groupBy(*run, "speaker_id").agg(
-        F.count(F.lit(1)).alias("n_personas"),
+        F.count("base_stance").alias("n_personas"),
+        (F.count(F.lit(1)) - F.count("base_stance")).alias("n_unmatched"),
         F.avg(shift).alias("mean_signed_shift"),
         F.avg(F.abs(shift)).alias("mean_abs_shift"),
     )
     said = statement_counts(statements, run).where(F.col("speaker_id") != fixed.MODERATOR)
     # One row per run and speaker on both sides.
-    return said.join(moved, [*run, "speaker_id"], "left").select(
-        *run, "speaker_id", "n_statements",
+    counts = [] if strict else [F.coalesce("n_unmatched", F.lit(0).cast("bigint")).alias("n_unmatched")]
+    return said.join(moved, [*run, "speaker_id"], "full").select(
+        *run, "speaker_id", F.coalesce("n_statements", F.lit(0).cast("bigint")).alias("n_statements"), *counts,
         F.coalesce("n_personas", F.lit(0).cast("bigint")).alias("n_personas"),
         F.coalesce("mean_signed_shift", F.lit(0.0)).alias("mean_signed_shift"),
         F.coalesce("mean_abs_shift", F.lit(0.0)).alias("mean_abs_shift"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from censemble.functions import fixed
@@ -157,6 +158,35 @@ def segment_breakdown(
     )
 
 
+def protect_segments(segments: DataFrame, run: Sequence[str], k: int = fixed.SEGMENT_MIN_N) -> DataFrame:
+    """Segments that cannot be worked out from the others: adds ``withheld``.
+
+    If one value of an axis is suppressed, the pooled result less all other values gives it away; if
+    several are, what they have in common may still be of fewer than k votes. So on every axis with a
+    value of 1 to k - 1 votes (``withheld`` = 'small') the smallest shown values go too ('complement'), until
+    at least two values are withheld and they have k votes together; ties go by value. Values without votes stay
+    ``suppressed`` and protect nothing. If an axis has not enough values, all of them are withheld.
+    ``segments``: as from ``segment_breakdown``; counts are kept.
+    """
+    small = (F.col("n") > 0) & (F.col("n") < k)
+    # An axis has few values, so these windows are small.
+    axis = W.partitionBy(*run, "axis")
+    before = axis.orderBy(F.col("__small").desc(), "n", "value").rowsBetween(W.unboundedPreceding, -1)
+    voted = segments.withColumn("__small", small).withColumns({
+        "__any": F.max("__small").over(axis),
+        "__taken": F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(before),
+        "__votes": F.sum("n").over(before),
+    })
+    taken, votes = F.coalesce("__taken", F.lit(0)), F.coalesce("__votes", F.lit(0))
+    more = F.col("__any") & (F.col("n") > 0) & ((taken < 2) | (votes < k))
+    withheld = F.when(F.col("__small"), "small").when(more, "complement")
+    told = voted.withColumn("withheld", withheld)
+    shown = F.col("withheld").isNull()
+    return told.withColumns({c: F.when(shown, F.col(c)) for c in ("pred_yes_pct", "mean_abs_delta")}).drop(
+        "__small", "__any", "__taken", "__votes"
+    )
+
+
 def _spread(values: str) -> list[Column]:
     """Mean, sample deviation (0 for one value) and mean +- 1.96 deviations."""
     mean = F.avg(values)
@@ -243,7 +273,10 @@ def backtest_summary(scored: DataFrame, costs: DataFrame, run: Sequence[str]) ->
 
 
 def segment_error(segments: DataFrame, certified: DataFrame, run: Sequence[str]) -> DataFrame:
-    """Predicted against certified share per segment; suppressed segments are left out."""
+    """Predicted against certified share per segment; suppressed segments are left out.
+
+    Segments without a certified value are left out as well; ``uncertified_segments`` lists them.
+    """
     shown = segments.where(~F.col("suppressed"))
     keys = [*run, "axis", "value"]
     return shown.join(certified, keys).withColumn(
@@ -251,6 +284,13 @@ def segment_error(segments: DataFrame, certified: DataFrame, run: Sequence[str])
     )
 
 
+def uncertified_segments(segments: DataFrame, certified: DataFrame, run: Sequence[str]) -> DataFrame:
+    """Shown segments that have no certified value to be held against, with their votes."""
+    keys = [*run, "axis", "value"]
+    known = certified.where(F.col("certified_yes_pct").isNotNull())
+    return segments.where(~F.col("suppressed")).join(known, keys, "leftanti").select(*keys, "n")
+
+
 def model_divergence(scored: DataFrame) -> DataFrame:
     """Per measure across model stamps: how many models, and the range of their predictions.
 

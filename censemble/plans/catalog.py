@@ -525,6 +525,16 @@ def segment_error(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("measure_id", "axis", "value", "n", "pred_yes_pct", "certified_yes_pct", "abs_error"))
 
 
+def protected_segments(spark: SparkSession, d: str) -> DataFrame:
+    segments = vot.segment_breakdown(_votes(spark, d), fx.personas(spark, d), ["measure_id"])
+    return rounded(vot.protect_segments(segments, ["measure_id"]))
+
+
+def uncertified_segments(spark: SparkSession, d: str) -> DataFrame:
+    segments = vot.segment_breakdown(_votes(spark, d), fx.personas(spark, d), ["measure_id"])
+    return vot.uncertified_segments(segments, fx.certified_segments(spark, d), ["measure_id"])
+
+
 def model_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Two models with several runs each: the groups with even and with odd numbers."""
     scored = _scored_by_seed(spark, d).withColumn("model", F.concat(F.lit("model-"), (F.col("group_id") % 2).cast("string")))
@@ -613,7 +623,7 @@ def next_speakers(spark: SparkSession, d: str) -> DataFrame:
 
 def speaker_influence(spark: SparkSession, d: str) -> DataFrame:
     out = transcripts.speaker_influence(
-        fx.baseline(spark, d), fx.counterfactual(spark, d), fx.run_statements(spark, d), ["run_id"]
+        fx.baseline(spark, d), fx.counterfactual(spark, d), fx.run_statements(spark, d), ["run_id"], strict=False
     )
     return transcripts.ranked_influence(rounded(out), ["run_id"])
 
@@ -702,6 +712,8 @@ QUERIES: dict[str, Query] = {
     "multigroup_segments": multigroup_segments,
     "backtest_summary": backtest_summary,
     "segment_error": segment_error,
+    "protected_segments": protected_segments,
+    "uncertified_segments": uncertified_segments,
     "model_divergence": model_divergence,
     "run_grid": run_grid,
     "parse_votes": parse_votes,

@@ -612,6 +612,21 @@ ORACLE: dict[str, str] = {
                  20.0::DOUBLE + (count(*) % 600) / 10.0::DOUBLE AS certified_yes_pct
           FROM events GROUP BY ALL) USING (measure_id, axis, value)
         WHERE NOT suppressed"""),
+    "protected_segments": query(["segments"], f"""
+        WITH marked AS (SELECT *, n BETWEEN 1 AND 4 AS small FROM segments),
+             summed AS (SELECT *, bool_or(small) OVER (PARTITION BY measure_id, axis) AS anyone,
+                               coalesce(count(*) FILTER (n > 0) OVER w, 0) AS taken, coalesce(sum(n) OVER w, 0) AS votes
+                        FROM marked
+                        WINDOW w AS (PARTITION BY measure_id, axis ORDER BY small DESC, n, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+             told AS (SELECT *, CASE WHEN small THEN 'small' WHEN anyone AND n > 0 AND (taken < 2 OR votes < 5) THEN 'complement' END AS withheld FROM summed)
+        SELECT measure_id, axis, value, n, suppressed, withheld,
+               round(CASE WHEN withheld IS NULL THEN pred_yes_pct END, 9) + 0.0 AS pred_yes_pct,
+               round(CASE WHEN withheld IS NULL THEN mean_abs_delta END, 9) + 0.0 AS mean_abs_delta
+        FROM told"""),
+    "uncertified_segments": query(["segments"], f"""
+        SELECT measure_id, axis, value, n FROM segments
+        WHERE NOT suppressed AND (measure_id, axis, value) NOT IN (
+          SELECT 'wa_' || event_type, 'party_id', {_pick(fixed.PARTIES, 'user_id % 3')} FROM events)"""),
     "model_divergence": query(["group_scored"], """
         SELECT measure_id, count(*) AS n_models, round(min(w), 9) AS min_predicted, round(max(w), 9) AS max_predicted,
                round(max(w) - min(w), 9) AS divergence, arg_min(model, w) AS lowest_model, arg_max(model, w) AS highest_model
@@ -685,10 +700,11 @@ ORACLE: dict[str, str] = {
                       FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL),
              moved AS (SELECT 'wa_' || e.event_type AS run_id, 's' || (event_id % 7) AS speaker_id,
                               b - least(1.0, value / 100.0) AS shift
-                       FROM events e JOIN base USING (event_type, user_id) WHERE ts >= TIMESTAMP '2024-01-16')
-        SELECT s.run_id, s.speaker_id, any_value(n_statements) AS n_statements, count(shift) AS n_personas,
+                       FROM events e LEFT JOIN base USING (event_type, user_id) WHERE ts >= TIMESTAMP '2024-01-16')
+        SELECT run_id, speaker_id, coalesce(any_value(n_statements), 0) AS n_statements, count(shift) AS n_personas,
+               count(*) FILTER (shift IS NULL AND voted) AS n_unmatched,
                round(coalesce(avg(shift), 0.0), 9) + 0.0 AS mean_signed_shift, round(coalesce(avg(abs(shift)), 0.0), 9) AS mean_abs_shift
-        FROM said s LEFT JOIN moved USING (run_id, speaker_id) GROUP BY s.run_id, s.speaker_id"""),
+        FROM said FULL JOIN (SELECT *, true AS voted FROM moved) USING (run_id, speaker_id) GROUP BY run_id, speaker_id"""),
     "unknown_models": query(["calls", "prices"], """
         SELECT model, count(*) AS calls FROM calls WHERE model NOT IN (SELECT model FROM prices) GROUP BY model"""),
     "spend_by_model": query(["priced"], """

@@ -118,3 +118,18 @@ def test_statement_counts(spark, said):
     rows = tr.statement_counts(spark.createDataFrame(said, STATEMENTS), ["run"]).collect()
     assert sum(r.n_statements for r in rows) == len(said)
     assert sum(r.n_flagged for r in rows) == sum(1 for r in said if r[5])
+
+
+def test_counterfactuals_without_a_baseline(spark, said):
+    """An error, or counted; and speakers who said nothing have a row."""
+    baseline = spark.createDataFrame([("hot", "p1", 0, 0.5)], "run string, persona_id string, seq long, stance double")
+    votes = spark.createDataFrame(
+        [("hot", "s1", "p1", 0.25), ("hot", "s1", "nobody", 0.9), ("hot", "silent", "p1", 1.0)], "run string, speaker_id string, persona_id string, stance double"
+    )
+    df = spark.createDataFrame(said, STATEMENTS).where(F.col("run") == "hot")
+    with pytest.raises(Exception, match="no baseline vote of nobody"):
+        tr.speaker_influence(baseline, votes, df, ["run"]).collect()
+    got = {r.speaker_id: r for r in tr.speaker_influence(baseline, votes, df, ["run"], strict=False).collect()}
+    assert (got["s1"].n_personas, got["s1"].n_unmatched, got["s1"].mean_signed_shift) == (1, 1, 0.25)
+    assert (got["silent"].n_statements, got["silent"].n_personas, got["silent"].mean_signed_shift) == (0, 1, -0.5)
+    assert got["s2"].n_unmatched == 0

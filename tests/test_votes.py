@@ -101,6 +101,41 @@ def test_segment_without_pre_votes_reads_zero_change(spark):
     assert seg.mean_abs_delta == 0.0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_no_small_segment_follows_from_the_others(spark, seed):
+    """Subtract what is shown from the pooled result, on every axis: what is left is never a segment below five votes."""
+    rng = random.Random(seed)
+    people = [f"p{i}" for i in range(60)]
+    sizes = {"party_id": [3, 20, 37], "age_band": [2, 2, 6, 50], "education": [1, 1, 2, 56], "race_eth": [30, 30]}
+    values = {a: [f"{a}{k}" for k, n in enumerate(ns) for _ in range(n)] for a, ns in sizes.items()}
+    for v in values.values():
+        rng.shuffle(v)
+    member = [("r", p, *(values[a][i] for a in vot.AXES)) for i, p in enumerate(people)]
+    votes = make(spark, [(p, "post", rng.random()) for p in people])
+    plain = vot.segment_breakdown(votes, spark.createDataFrame(member, AXES), ["run"])
+    told = vot.protect_segments(plain, ["run"]).collect()
+    pooled = vot.yes_shares(votes, ["run"]).first()
+    truth = {(r.axis, r.value): r for r in plain.collect()}
+    for axis in vot.AXES:
+        hidden = [r for r in told if r.axis == axis and r.withheld]
+        shown = [r for r in told if r.axis == axis and not r.withheld]
+        assert all(r.pred_yes_pct is None and r.mean_abs_delta is None for r in hidden)
+        assert all(r.pred_yes_pct == truth[axis, r.value].pred_yes_pct for r in shown)
+        assert sorted(r.n for r in hidden if r.withheld == "small") == sorted(n for n in sizes[axis] if n < 5)
+        rest = pooled.n_votes - sum(r.n for r in shown)
+        assert rest == sum(r.n for r in hidden)
+        # The rest is a mixture of two values or more and of five votes or more, or there is none.
+        assert not hidden or (len(hidden) >= 2 and rest >= 5)
+    assert {r.axis for r in told if r.withheld == "complement"} == {"party_id", "age_band", "education"}
+
+
+def test_uncertified_segments_are_listed(spark):
+    schema = "run string, axis string, value string, n long, suppressed boolean, pred_yes_pct double"
+    segments = spark.createDataFrame([("r", "a", "x", 9, False, 1.0), ("r", "a", "y", 8, False, 1.0), ("r", "a", "z", 2, True, None)], schema)
+    certified = spark.createDataFrame([("r", "a", "x", 3.0), ("r", "a", "y", None)], "run string, axis string, value string, certified_yes_pct double")
+    assert [(r.value, r.n) for r in vot.uncertified_segments(segments, certified, ["run"]).collect()] == [("y", 8)]
+
+
 def scored(spark, rows):
     predicted = spark.createDataFrame(rows, "measure_id string, yes_pct double, weighted_pct double")
     truth = spark.createDataFrame([("a", 50.0, False), ("b", 60.0, True)], "measure_id string, yes_pct double, passed boolean")
