@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from censemble.llm.bitmaps import bitmap, few_files, passing
 from censemble.llm.flat import flat, sliced, windows, word_hashes, words
+from censemble.llm.quality import fresh
 from censemble.session import stored
 
 SEED_WORDS = (3, 8)
@@ -248,8 +249,9 @@ def find_leaks(
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that hold no test item; columns and other rows stay as they are."""
     leaks = find_leaks(docs, items, text=text, doc_id=doc_id)
-    bad = leaks.select(F.col("doc_id").alias("__leaked"), F.col("text_key").alias("__text")).distinct()
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__leaked")) & (F.xxhash64(text) == F.col("__text"))
+    leaked, key = fresh(docs, "leaked"), fresh(docs, "key")
+    bad = leaks.select(F.col("doc_id").alias(leaked), F.col("text_key").alias(key)).distinct()
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(leaked)) & (F.xxhash64(text) == F.col(key))
     return docs.join(bad, same, "leftanti")
 
 

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from censemble.llm.bitmaps import bitmap, few_files, passing
 from censemble.llm.components import connected_components
 from censemble.llm.flat import flat, mix, sliced, windows, word_hashes, words
+from censemble.llm.quality import fresh
 from censemble.session import stored
 
 DEPTH, TREES = 5, 40
@@ -475,10 +476,11 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tex
     Rows without an id all stay. Of rows that share an id, the one with the smallest text stays.
     """
     judged = near_duplicates(docs, width, percent, text, doc_id)
-    stay = judged.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__stays")).distinct()
-    named = docs.join(stay, F.col(doc_id).cast("long") == F.col("__stays"), "leftsemi")
+    stays, nth = fresh(docs, "stays"), fresh(docs, "nth")
+    stay = judged.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(stays)).distinct()
+    named = docs.join(stay, F.col(doc_id).cast("long") == F.col(stays), "leftsemi")
     turn = F.row_number().over(W.partitionBy(doc_id).orderBy(text))
-    named = named.withColumn("__turn", turn).where(F.col("__turn") == 1).drop("__turn")
+    named = named.withColumn(nth, turn).where(F.col(nth) == 1).drop(nth)
     return named.unionByName(docs.where(F.col(doc_id).isNull()))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from censemble.llm.quality import fresh
 from censemble.llm.flat import CUT_BYTES, Cache, flat, sliced
 
 META = "▁"
@@ -357,18 +358,19 @@ def encode_pieces(
 
     ``decoded`` adds what the ids decode to, in the same pass: the ids need not come back to Python.
     """
-    rows = docs.select(*keys, F.col(text).alias("__text"))
+    whole_text = fresh(docs, "whole_text")
+    rows = docs.select(*keys, F.col(text).alias(whole_text))
     added = [StructField(name, ArrayType(IntegerType())) for name in ("ids", "begins", "ends")]
     if decoded:
         added.append(StructField("decoded", StringType()))
     names = [*keys, *[f.name for f in added]]
-    schema = StructType([*rows.drop("__text").schema.fields, *added])
+    schema = StructType([*rows.drop(whole_text).schema.fields, *added])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path)
         for whole in batches:
-            for batch in sliced(whole, "__text", CUT_BYTES):
-                lists = coder.encode(batch.column("__text"))
+            for batch in sliced(whole, whole_text, CUT_BYTES):
+                lists = coder.encode(batch.column(whole_text))
                 text_again = [coder.decode(lists[0])] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *lists, *text_again], names=names)
         # The process lives on for other stages; the table would fill its memory.

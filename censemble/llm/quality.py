@@ -109,8 +109,8 @@ def good_lines(text: Column) -> Column:
 def quality(docs: DataFrame, text: str = "text", out_name: str = "quality") -> DataFrame:
     """Adds the struct ``out_name``: base figures, verdicts and ``clean_text`` (good lines only)."""
     # A name that no input column has, so that the text can be cleaned up once.
-    whole = _fresh(docs, "whole")
-    lines, words = _fresh(docs, "lines"), _fresh(docs, "words")
+    whole = fresh(docs, "whole")
+    lines, words = fresh(docs, "lines"), fresh(docs, "words")
     out = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn(lines, F.filter(F.split(F.col(whole), "\n"), _has_word))
     out = out.withColumn(words, words_of(F.col(whole)))
@@ -139,7 +139,7 @@ def quality(docs: DataFrame, text: str = "text", out_name: str = "quality") -> D
     return out.withColumn(out_name, F.col(out_name).withField("kept", kept)).drop(whole)
 
 
-def _fresh(df: DataFrame, name: str) -> str:
+def fresh(df: DataFrame, name: str) -> str:
     taken = {c.lower() for c in df.columns}
     while name in taken:
         name += "_"
@@ -148,7 +148,7 @@ def _fresh(df: DataFrame, name: str) -> str:
 
 def keep_good(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The documents that pass, with bad lines cut out of their text; the columns stay the same."""
-    columns, name = docs.columns, _fresh(docs, "quality")
+    columns, name = docs.columns, fresh(docs, "quality")
     out = quality(docs, text, name)
     out = out.where(F.col(name)["kept"]).withColumn(text, F.col(name)["clean_text"])
     if n_chars in columns:

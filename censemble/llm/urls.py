@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from censemble.llm.components import connected_components
-from censemble.llm.quality import let
+from censemble.llm.quality import fresh, let
+from censemble.operators.skew import split_join
 
 # (verdict, host/path); the rules of the registered query.
 RULES = (
@@ -32,7 +33,8 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-MOST_RULES = 1000
+# Up to so many rules are one expression; longer lists, and tables of rules, are joined.
+MOST_RULES = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULTS = ("host", "path", "rule", "verdict")
 
@@ -52,13 +54,15 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(let(F.coalesce(url, F.lit("")), after_scheme), r"^[^/?#]*([^?#]*)", 1)
 
 
+FIT = "struct<verdict:string,rule:string>"
+Rules = Sequence[tuple[str, str]] | DataFrame
+
+
 def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> Column:
-    """``struct<verdict, rule>`` of the longest rule that fits, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError("rules become one expression; join a longer list by host suffix instead")
+    """``struct<verdict, rule>`` of the longest rule that fits, or null; for short lists."""
 
     def first_fit(at: Column) -> Column:
-        out = F.when(F.lit(False), F.lit(None).cast("struct<verdict:string,rule:string>"))
+        out = F.when(F.lit(False), F.lit(None).cast(FIT))
         for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[0] != "allow")):
             rule_host, _, rest = rule.partition("/")
             fits = ((at["host"] == rule_host) | at["host"].endswith("." + rule_host)) & at["path"].startswith("/" + rest)
@@ -69,6 +73,45 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return let(F.struct(host.alias("host"), path.alias("path")), first_fit)
 
 
+def fitting_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """``host``, ``path`` and ``fit`` (as in ``fitting_rule``) of the addresses that a rule fits.
+
+    ``addresses``: host, path. ``rules``: verdict, rule; any number, of equal rules an allowing one counts.
+    A host is looked up by its endings at a dot, a path by its beginnings of the lengths that rules
+    for that ending have. So an address makes a row per ending and length, never one per rule.
+    """
+    host, rest = F.substring_index("rule", "/", 1), F.regexp_extract("rule", r"(?s)^[^/]*/?(.*)$", 1)
+    table = rules.groupBy("rule").agg(F.min("verdict").alias("verdict")).select(
+        "rule", "verdict", host.alias("ending"), F.concat(F.lit("/"), rest).alias("beginning")
+    )
+    # One number: no ending of more labels is asked for, however long a host is.
+    labels = table.agg(F.max(F.size(F.split("ending", r"\."))).alias("n")).first()["n"] or 1
+    lengths = table.select("ending", F.length("beginning").alias("size")).distinct()
+    parts = F.split(F.col("host"), r"\.")
+    endings = let(parts, lambda p: F.transform(
+        F.sequence(F.lit(1), F.least(F.size(p), F.lit(labels))), lambda n: F.array_join(F.slice(p, F.size(p) - n + 1, n), ".")
+    ))
+    asked = addresses.select("host", "path").distinct().withColumn("ending", F.explode(endings))
+    probes = split_join(asked, lengths, ["ending"], "inner", spread_by=["host", "path"]).where(F.col("size") <= F.length("path"))
+    probes = probes.select("host", "path", "ending", F.substring(F.col("path"), F.lit(1), F.col("size")).alias("beginning"))
+    found = split_join(probes, table, ["ending", "beginning"], "inner", spread_by=["host", "path"])
+    best = F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict"))
+    return found.groupBy("host", "path").agg(best.alias("best")).select(
+        "host", "path", F.struct(F.col("best.verdict").alias("verdict"), F.col("best.rule").alias("rule")).alias("fit")
+    )
+
+
+def with_fit(rows: DataFrame, rules: Rules, out: str, spread_by: Sequence[str]) -> DataFrame:
+    """Adds ``out``, the rule that fits each row's host and path, or null; rows of one hot address
+    are spread over tasks by ``spread_by``."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MOST_RULES:
+            return rows.withColumn(out, fitting_rule(F.col("host"), F.col("path"), rules))
+        rules = rows.sparkSession.createDataFrame(list(rules), "verdict string, rule string")
+    fits = fitting_rules(rows, rules).withColumnRenamed("fit", out)
+    return split_join(rows, fits, ["host", "path"], "left", spread_by=spread_by)
+
+
 def url_key(url: Column) -> Column:
     """One name for a document's address: no scheme, fragment or campaign parameters."""
     return let(url, _key)
@@ -120,13 +163,14 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def judge_urls(
     pages: DataFrame,
-    rules: Sequence[tuple[str, str]] = RULES,
+    rules: Rules = RULES,
     redirects: DataFrame | None = None,
     url: str = "url",
     html: str = "html",
 ) -> DataFrame:
     """Adds host, path, rule and verdict to every page.
 
+    ``rules``: (verdict, host/path) pairs, or a table of verdict and rule of any length.
     ``redirects``: observed pairs ``(from_url, to_url)``, tied in like the links in the pages.
     """
     edges = link_edges(pages, url, html)
@@ -135,24 +179,18 @@ def judge_urls(
         edges = edges.unionByName(seen)
     aliases = connected_components(edges)
     ruled = pages.drop(*[c for c in pages.columns if c.lower() in RESULTS])
+    key, own, bad = (fresh(pages, c) for c in ("key", "own", "bad"))
     ruled = ruled.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    own = fitting_rule(F.col("host"), F.col("path"), rules)
-    blocked = (
-        pages.select(F.col(url).alias("url"))
-        .where(fitting_rule(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"] == "block")
-        .select(url_key(F.col("url")).alias("node"))
-        .join(aliases, "node")
-        .select("component")
-    )
-    # Aliases need not be pages: a blocked site is seldom crawled.
+    ruled = with_fit(ruled, rules, own, [url]).withColumn(key, url_key(F.col(url)))
+    # Aliases need not be pages: a blocked site is seldom crawled. Pages are aliases too, if tied.
     address = F.concat(F.lit("://"), F.col("node"))
-    named = aliases.where(fitting_rule(host_of(address), path_of(address), rules)["verdict"] == "block").select("component")
-    blocked = blocked.unionByName(named).distinct()
-    infected = aliases.join(blocked, "component").select(F.col("node").alias("__key"), F.lit(True).alias("__bad"))
-    out = ruled.withColumn("__own", own).withColumn("__key", url_key(F.col(url)))
-    out = out.join(infected, "__key", "left")
-    verdict = F.coalesce(F.col("__own")["verdict"], F.when(F.col("__bad"), "block").otherwise("allow"))
-    return out.withColumn("rule", F.col("__own")["rule"]).withColumn("verdict", verdict).drop("__own", "__key", "__bad")
+    named = with_fit(aliases.withColumn("host", host_of(address)).withColumn("path", path_of(address)), rules, "fit", ["node"])
+    pages_named = ruled.where(F.col(own)["verdict"] == "block").select(F.col(key).alias("node")).join(aliases, "node").select("component")
+    blocked = named.where(F.col("fit")["verdict"] == "block").select("component").unionByName(pages_named).distinct()
+    infected = aliases.join(blocked, "component").select(F.col("node").alias(key), F.lit(True).alias(bad))
+    out = ruled.join(infected, key, "left")
+    verdict = F.coalesce(F.col(own)["verdict"], F.when(F.col(bad), "block").otherwise("allow"))
+    return out.withColumn("rule", F.col(own)["rule"]).withColumn("verdict", verdict).drop(own, key, bad)
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,38 @@ def test_rules_and_aliases(spark):
     ]
 
 
+def rule_cases():
+    rules = [*urls.RULES, ("block", "com/a"), ("allow", "example.com/en/1"), ("block", "one"), ("block", "com/a"), ("allow", "com/a"), ("block", "é.org/é")]
+    hosts = ["a.example.com", "www.example.com", "example.com", "notexample.com", "com", "net", "x.net", "x.one", "é.org", ""]
+    return rules, [(h, p) for h in hosts for p in ("", "/", "/a", "/en/", "/en/1", "/en/12", "/es/x", "/es", "/é/")]
+
+
+def test_joined_rules_equal_the_expression(spark):
+    rules, cases = rule_cases()
+    rows = spark.createDataFrame(cases * 2, "host string, path string")
+    short = urls.with_fit(rows, rules, "fit", ["path"])
+    table = spark.createDataFrame(rules, "verdict string, rule string")
+    joined = urls.with_fit(rows, table, "fit", ["path"])
+    assert sorted(map(tuple, joined.select("host", "path", "fit").collect()), key=repr) == sorted(map(tuple, short.collect()), key=repr)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert not [bad for bad in ("Python", "Arrow", "CartesianProduct", "NestedLoop") if bad in plan]
+
+
+def test_a_million_rules(spark):
+    """A list of real size gives the same verdicts, and no row per rule."""
+    made = spark.range(1_000_000).select(
+        F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict"),
+        F.concat(F.lit("h"), F.col("id") % 1000, F.lit(".made.org/p"), F.col("id")).alias("rule"),
+    )
+    rules = made.unionByName(spark.createDataFrame(list(urls.RULES), "verdict string, rule string"))
+    rows = [(1, "http://h7.made.org/p7", ""), (2, "http://x.h8.made.org/p8/more", ""), (3, "http://h8.made.org/p9", ""),
+            (4, "http://h8.made.org/p1008", ""), (5, "http://a.example.com/en/1", ""), (6, None, None)]
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(frame, rules).collect()}
+    assert got == {1: ("h7.made.org/p7", "allow"), 2: ("h8.made.org/p8", "block"), 3: (None, "allow"),
+                   4: ("h8.made.org/p1008", "block"), 5: ("example.com/en/", "block"), 6: (None, "allow")}
+
+
 def test_blocked_aliases_that_are_no_pages(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [
