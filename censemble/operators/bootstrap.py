@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from censemble.functions import fixed
+from censemble.functions.exact import exact_sum
 from censemble.functions.uniform import DRAWS, PRIME, coefficients, field_draw
 from censemble.operators.skew import dealt_out, numbered_rows, positions
 
@@ -91,7 +92,7 @@ def _replicate_sums(votes: DataFrame, run: list[str], replicates: int, place_bit
     m = F.size("stances").cast("bigint")
     taken = F.get("stances", F.shiftright(_value(F.col("at")) * m, 31).cast("int"))
     hashed = _drawn(each, "draws", DRAWS, F.col("block"))
-    sums = hashed.groupBy(*run, "rep").agg(F.sum(taken).alias("total"))
+    sums = hashed.groupBy(*run, "rep").agg(exact_sum(taken).alias("total"))
     return sums.join(sizes.select(*run, "n"), run)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from censemble.functions import fixed
+from censemble.functions.exact import exact_mean, exact_sum
 from censemble.operators.skew import HOT_ROWS, lookup_join, split_join
 
 AXES = ["party_id", "age_band", "education", "race_eth"]
@@ -55,7 +56,7 @@ def yes_shares(votes: DataFrame, run: Sequence[str]) -> DataFrame:
             100.0 * F.sum(F.when(post, says_yes(F.col("stance")).cast("int"))) / F.count(F.when(post, F.col("stance"))),
             F.lit(50.0),
         ).alias("yes_pct"),
-        F.coalesce(100.0 * F.avg(F.when(post, F.col("stance"))), F.lit(50.0)).alias("weighted_pct"),
+        F.coalesce(100.0 * exact_mean(F.when(post, F.col("stance"))), F.lit(50.0)).alias("weighted_pct"),
     )
 
 
@@ -87,9 +88,9 @@ def _ballots(votes: DataFrame, voters: DataFrame, run: Sequence[str], hot_rows:
     flip = says_yes(F.col("stance")) != says_yes(F.col("pre_stance"))
     return paired.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_post"),
-        F.sum("stance").alias("stance_sum"),
+        exact_sum(F.col("stance")).alias("stance_sum"),
         F.count("pre_stance").alias("n_matched"),
-        F.coalesce(F.sum(F.abs(delta)), F.lit(0.0)).alias("abs_delta_sum"),
+        F.coalesce(exact_sum(F.abs(delta)), F.lit(0.0)).alias("abs_delta_sum"),
         F.count(F.when(flip, 1)).alias("n_flips"),
     )
 
@@ -97,7 +98,7 @@ def _ballots(votes: DataFrame, voters: DataFrame, run: Sequence[str], hot_rows:
 def _change_columns() -> list[Column]:
     n = F.sum("n_matched")
     return [
-        F.when(n > 0, F.sum("abs_delta_sum") / n).otherwise(0.0).alias("mean_abs_delta"),
+        F.when(n > 0, exact_sum(F.col("abs_delta_sum")) / n).otherwise(0.0).alias("mean_abs_delta"),
         F.when(n > 0, F.sum("n_flips") / n).otherwise(0.0).alias("flip_rate"),
         n.alias("n"),
     ]
@@ -151,9 +152,9 @@ def segment_breakdown(
     return joined.groupBy(*run, "axis", "value").agg(
         n.alias("n"),
         (n < k).alias("suppressed"),
-        F.when(n >= k, 100.0 * F.sum("stance_sum") / n).alias("pred_yes_pct"),
+        F.when(n >= k, 100.0 * exact_sum(F.col("stance_sum")) / n).alias("pred_yes_pct"),
         F.when(
-            n >= k, F.when(matched > 0, F.sum("abs_delta_sum") / matched).otherwise(0.0)
+            n >= k, F.when(matched > 0, exact_sum(F.col("abs_delta_sum")) / matched).otherwise(0.0)
         ).alias("mean_abs_delta"),
     )
 

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from censemble.functions.exact import exact_mean, exact_sum
 from censemble.operators import votes as vot
 from censemble.operators.bootstrap import _replicate_sums, bootstrap_interval, rank_bounds
 
@@ -129,6 +130,34 @@ def test_no_small_segment_follows_from_the_others(spark, seed):
     assert {r.axis for r in told if r.withheld == "complement"} == {"party_id", "age_band", "education"}
 
 
+def test_sums_are_the_same_bits_on_any_partitioning(spark):
+    """Without rounding, for stances that doubles cannot hold exactly, in any order of rows."""
+    rng = random.Random(9)
+    people = [f"p{i}" for i in range(40)]
+    rows = [(rng.choice(people), rng.choice(["pre", "post"]), rng.random() ** 5, rng.choice("xy")) for _ in range(1500)]
+    member = [(run, p, *(rng.choice("ab") for _ in vot.AXES)) for run in "xy" for p in people]
+    votes, personas = make(spark, rows), spark.createDataFrame(member, AXES)
+    found = []
+    for partitions in (1, 4, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        dealt = votes.repartition(partitions, F.xxhash64("seq", F.lit(partitions)))
+        results = [
+            vot.yes_shares(dealt, ["run"]), vot.opinion_change(dealt, ["run"]), vot.segment_breakdown(dealt, personas, ["run"]),
+            bootstrap_interval(dealt, ["run"], F.lit(3), 60, place_bits=8),
+        ]
+        found.append([sorted(map(repr, r.collect())) for r in results])
+    assert found[0] == found[1] == found[2]
+    exact = {run: 100 * math.fsum(r[2] for r in rows if r[1] == "post" and r[3] == run) / sum(r[1] == "post" and r[3] == run for r in rows) for run in "xy"}
+    assert {r.run: r.weighted_pct for r in vot.yes_shares(votes, ["run"]).collect()} == pytest.approx(exact, abs=1e-12)
+
+
+def test_exact_sums_of_odd_values(spark):
+    df = spark.createDataFrame([("n", None), ("e", 0.1), ("e", 0.2), ("e", None), ("m", -0.75), ("m", 0.5), ("x", 1.0), ("x", float("nan")), ("i", float("inf"))], "k string, v double")
+    got = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(exact_sum(F.col("v")).alias("s"), exact_mean(F.col("v")).alias("m")).collect()}
+    assert got["n"] == (None, None) and got["e"][0] == pytest.approx(0.3, abs=1e-15) and got["m"] == (-0.25, -0.125)
+    assert all(math.isnan(x) for k in "xi" for x in got[k])
+
+
 def test_uncertified_segments_are_listed(spark):
     schema = "run string, axis string, value string, n long, suppressed boolean, pred_yes_pct double"
     segments = spark.createDataFrame([("r", "a", "x", 9, False, 1.0), ("r", "a", "y", 8, False, 1.0), ("r", "a", "z", 2, True, None)], schema)
