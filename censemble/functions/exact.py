@@ -13,17 +13,25 @@ from pyspark.sql import functions as F
 UNIT = float(1 << 26)
 
 
+def halves(value: Column) -> tuple[Column, Column]:
+    """A value in units of 2**-26, and what is left of it in units of 2**-52, as whole numbers."""
+    high = F.floor(value * UNIT)
+    return high, F.floor((value * UNIT - high) * UNIT)
+
+
+def whole(high: Column, low: Column) -> Column:
+    """The double next to sums of ``halves``."""
+    return (high.cast("double") + low.cast("double") / UNIT) / UNIT
+
+
 def exact_sum(value: Column) -> Column:
     """The sum of the values that are not null, null if there are none; for totals below 2**36.
 
     NaN or an infinite value among them gives NaN.
     """
     odd = F.isnan(value - value)
-    scaled = F.when(~odd, value) * UNIT
-    high = F.floor(scaled)
-    low = F.floor((scaled - high) * UNIT)
-    total = (F.sum(high).cast("double") + F.sum(low).cast("double") / UNIT) / UNIT
-    return F.when(F.count(F.when(odd, 1)) > 0, F.lit(float("nan"))).otherwise(total)
+    high, low = halves(F.when(~odd, value))
+    return F.when(F.count(F.when(odd, 1)) > 0, F.lit(float("nan"))).otherwise(whole(F.sum(high), F.sum(low)))
 
 
 def exact_mean(value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from censemble.functions import fixed
-from censemble.functions.exact import exact_sum
+from censemble.functions.exact import halves, whole
 from censemble.functions.uniform import DRAWS, PRIME, coefficients, field_draw
 from censemble.operators.skew import dealt_out, numbered_rows, positions
 
@@ -68,10 +68,17 @@ def _replicate_sums(votes: DataFrame, run: list[str], replicates: int, place_bit
     placed = positions(votes.select(*run, "__seed", "seq", "stance"), run, "seq", "__place")
     placed = placed.withColumn("block", F.shiftright(F.col("__place"), place_bits))
     arrays = placed.groupBy(*run, "__seed", "block").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("__place", "stance"))), lambda s: s["stance"]).alias("stances")
+        F.sort_array(F.collect_list(F.struct("__place", "stance"))).alias("__list"),
+        F.max(F.isnan(F.col("stance") - F.col("stance"))).alias("__odd"),
+    )
+    # Stances as whole numbers in two halves, made once, so that sums of draws do not depend on their order.
+    arrays = arrays.select(
+        *run, "__seed", "block", "__odd",
+        F.transform("__list", lambda s: halves(s["stance"])[0]).alias("stances"),
+        F.transform("__list", lambda s: halves(s["stance"])[1]).alias("rests"),
     )
     sizes = arrays.groupBy(*run, "__seed").agg(
-        F.sum(F.size("stances")).alias("n"), F.count(F.lit(1)).alias("blocks")
+        F.sum(F.size("stances")).alias("n"), F.count(F.lit(1)).alias("blocks"), F.max("__odd").alias("__odd")
     )
     # One entry per replicate, so the list is bounded.
     counts = _draw_counts(sizes, run, replicates, place_bits).groupBy(*run, "block").agg(
@@ -85,15 +92,19 @@ def _replicate_sums(votes: DataFrame, run: list[str], replicates: int, place_bit
     )
     spread = dealt_out(copies, [*run, "block", "__part"])
     mine = F.filter("wanted", lambda w: F.pmod(w["rep"], F.col("__parts")) == F.col("__part"))
-    each = spread.select(*run, "__seed", "block", "stances", F.inline(mine)).withColumn(
+    each = spread.select(*run, "__seed", "block", "stances", "rests", F.inline(mine)).withColumn(
         "turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("draws") - 1) / DRAWS)))
     )
     # A value of 31 bits, scaled down to a place; a block has 2**place_bits places at most.
     m = F.size("stances").cast("bigint")
-    taken = F.get("stances", F.shiftright(_value(F.col("at")) * m, 31).cast("int"))
+    place = F.shiftright(_value(F.col("at")) * m, 31).cast("int")
     hashed = _drawn(each, "draws", DRAWS, F.col("block"))
-    sums = hashed.groupBy(*run, "rep").agg(exact_sum(taken).alias("total"))
-    return sums.join(sizes.select(*run, "n"), run)
+    sums = hashed.groupBy(*run, "rep").agg(
+        whole(F.sum(F.get("stances", place)), F.sum(F.get("rests", place))).alias("total")
+    )
+    # A vote that is no number spoils its run.
+    total = F.when(F.col("__odd"), F.lit(float("nan"))).otherwise(F.col("total"))
+    return sums.join(sizes.select(*run, "n", "__odd"), run).withColumn("total", total).drop("__odd")
 
 
 def bootstrap_interval(
