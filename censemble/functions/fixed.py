@@ -53,6 +53,11 @@ MICRODATA_COLUMNS = [
     "ST", "PUMA10", "PUMA20", "AGEP", "SEX", "RAC1P", "HISP", "SCHL", "PINCP", "PWGTP",
 ]
 
+# An area code that cannot be read counts as none; in other columns it is an error.
+LENIENT_COLUMNS = ["PUMA10", "PUMA20"]
+# Texts that stand for a missing number in a CSV file.
+MISSING_MARKS = ["", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null"]
+
 # --- fixed values: thresholds ----------------------------------------------------------------
 K_ANONYMITY_MIN = 5
 PARTY_CELL_MIN = 15

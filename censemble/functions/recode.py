@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,8 +90,8 @@ def with_state(microdata: DataFrame) -> DataFrame:
     return microdata.join(states, microdata["ST"] == states["fips"], "inner").drop("fips")
 
 
-def recode_microdata(microdata: DataFrame) -> DataFrame:
-    """Person records to the seven skeleton keys plus ``PWGTP``.
+def recode_microdata(microdata: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Person records to the seven skeleton keys plus ``PWGTP`` and the columns ``keep``.
 
     Adults with known age, sex, race, origin and schooling, in a known state and area.
     """
@@ -106,6 +108,7 @@ def recode_microdata(microdata: DataFrame) -> DataFrame:
         schooling(F.col("SCHL")).alias("education"),
         income_band(F.col("PINCP")).alias("income_band"),
         "PWGTP",
+        *keep,
     )
 
 

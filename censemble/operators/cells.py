@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +11,25 @@ from censemble.functions import fixed
 from censemble.functions.recode import SKELETON
 
 
-def weighted_cells(recoded: DataFrame) -> DataFrame:
-    """One row per skeleton: summed person weight and the number of records that carry one.
+def weighted_cells(recoded: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per skeleton, and per value of the columns ``by``: summed person weight and the number of records that carry one.
 
     One hash aggregate; partial sums are merged on the map side, so a hot cell costs one row per
     task in the shuffle.
     """
-    return recoded.groupBy(*SKELETON).agg(
+    return recoded.groupBy(*by, *SKELETON).agg(
         F.coalesce(F.sum(F.col("PWGTP").cast("bigint")), F.lit(0).cast("bigint")).alias("person_weight"),
         F.count("PWGTP").alias("record_count"),
     )
 
 
+def merged_cells(parts: DataFrame) -> DataFrame:
+    """The cells of all records, from cells of parts of them: both numbers are sums."""
+    return parts.groupBy(*SKELETON).agg(
+        F.sum("person_weight").alias("person_weight"), F.sum("record_count").alias("record_count")
+    )
+
+
 def is_national(scope: str) -> bool:
     return scope.upper() in fixed.NATIONAL_SCOPES
 

@@ -27,6 +27,7 @@ from censemble.operators import votes as vot
 from censemble.operators.bootstrap import bootstrap_interval
 from censemble.operators.cells import k_anonymous, weighted_cells
 from censemble.plans import fixtures as fx
+from censemble.plans import national
 from censemble.session import scratch_path
 from censemble.sources import readers, writers
 
@@ -132,6 +133,44 @@ def scan_national(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _partly_unreadable(spark: SparkSession, d: str) -> str:
+    """Person records as CSV: an age of 40 is a word, and the newer area of those aged 41 has a letter."""
+    path = scratch_path(spark, "unreadable")
+    age = F.when(F.col("AGEP") == 40, "forty").otherwise(F.col("AGEP").cast("string"))
+    area = F.when(F.col("AGEP") == 41, F.concat(F.lit("x"), "PUMA20")).otherwise(F.col("PUMA20").cast("string"))
+    fx.microdata(spark, d).withColumns({"AGEP": age, "PUMA20": area}).write.option("header", True).csv(path)
+    return path
+
+
+def readable_microdata(spark: SparkSession, d: str) -> DataFrame:
+    """The records whose numbers can be read; an area that cannot is none."""
+    people = readers.read_microdata(spark, [_partly_unreadable(spark, d)], strict=False)
+    return people.groupBy("ST").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("AGEP").alias("ages"), F.count("PUMA20").alias("with_area")
+    )
+
+
+def unreadable_microdata(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that cannot be read, counted by column and text."""
+    bad = readers.unreadable_microdata(spark, [_partly_unreadable(spark, d)])
+    return bad.groupBy(F.col("column").alias("cell_column"), "text", "kept").agg(F.count(F.lit(1)).alias("n"))
+
+
+def national_load(spark: SparkSession, d: str) -> DataFrame:
+    """Two national files loaded; the second one changes, and only its part is read and replaced."""
+    library, folder = scratch_path(spark, "library"), scratch_path(spark, "national")
+    people = fx.microdata(spark, d)
+    even = F.col("PWGTP") % 2 == 0
+    first, second = f"{folder}/psam_pusa.csv", f"{folder}/psam_pusb.csv"
+    people.where(even).write.option("header", True).csv(first)
+    people.where(~even).write.option("header", True).csv(second)
+    national.load_national(spark, library, folder)
+    doubled = people.where(~even).withColumn("PWGTP", F.col("PWGTP") * 2)
+    doubled.write.mode("overwrite").option("header", True).csv(second)
+    national.load_national(spark, library, folder)
+    return readers.read_table(spark, library, "cells").select(*SKELETON, "person_weight", "record_count")
+
+
 def scan_survey_labels(spark: SparkSession, d: str) -> DataFrame:
     """The label survey written as CSV and scanned by name."""
     path = scratch_path(spark, "labels")
@@ -662,6 +701,9 @@ def retry_classes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "scan_microdata": scan_microdata,
     "scan_national": scan_national,
+    "readable_microdata": readable_microdata,
+    "unreadable_microdata": unreadable_microdata,
+    "national_load": national_load,
     "scan_survey_labels": scan_survey_labels,
     "scan_survey_coded": scan_survey_coded,
     "recode_census": recode_census,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import time
 import uuid
+from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,18 +34,63 @@ def files_of(spark: SparkSession, path: str) -> list[str]:
     return sorted(p.toString() for p in found if not p.getName().startswith(("_", ".")))
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names in the first line of a CSV file, which may be compressed."""
+def stamps(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """Bytes and time of change (milliseconds) of each file, which tell whether it is still the same."""
+    found = {}
+    for path in paths:
+        made, fs = _path(spark, path)
+        status = fs.getFileStatus(made)
+        found[path] = (status.getLen(), status.getModificationTime())
+    return found
+
+
+def folders_of(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder, sorted; none if it is missing."""
     made, fs = _path(spark, path)
-    jvm = spark._jvm
-    stream = fs.open(made)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(made)
-        plain = stream if codec is None else codec.createInputStream(stream)
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
-    finally:
-        stream.close()
-    return next(csv.reader([(line or "").lstrip("\ufeff")]), [])
+    if not fs.exists(made):
+        return []
+    return sorted(s.getPath().toString() for s in fs.listStatus(made) if s.isDirectory())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    made, fs = _path(spark, path)
+    fs.delete(made, True)
+
+
+# Larger than any file, so that a file is one partition of a scan.
+_WHOLE_FILE = 1 << 40
+
+
+def csv_headers(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Column names in the first line that is not blank, of each CSV file that has one; compressed ones too.
+
+    A Spark job with a task per file, which ends with the file's first lines; the driver opens no file and
+    gets one line of each. The job runs in a session of its own, as its partitions have other sizes.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", _WHOLE_FILE)
+    own.conf.set("spark.sql.files.openCostInBytes", _WHOLE_FILE)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+    def first_lines(batches):
+        sought = True
+        for number, batch in enumerate(batches):
+            for at, line in enumerate(batch.column(0).to_pylist() if sought else []):
+                if line.strip():
+                    yield batch.slice(at, 1)
+                    sought = False
+                    break
+            # Small files are read to their end, as a worker that leaves rows unread is not used again.
+            if not sought and number > 10:
+                return
+
+    lines = own.read.text(list(files)).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    begins = lines.where("file_block_start = 0").select("value", "file_path")
+    found = begins.mapInArrow(first_lines, "value string, file_path string").collect()
+    # Spark gives paths as addresses.
+    by_path = {unquote(r.file_path): r.value for r in found}
+    named = {f: by_path.get(_path(spark, f)[1].makeQualified(_path(spark, f)[0]).toString()) for f in files}
+    return {f: tuple(next(csv.reader([line.lstrip("\ufeff")]))) for f, line in named.items() if line is not None}
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -13,49 +13,133 @@ from censemble.functions import fixed
 from censemble.functions.parsing import strip_text
 from censemble.functions.text import bare_measure_id
 from censemble.sources import schemas
-from censemble.sources.files import csv_header, current_snapshot, exists, files_of, matching
+from censemble.sources.files import csv_headers, current_snapshot, exists, files_of, matching
 
 
-def _named_csv(spark: SparkSession, paths: Sequence[str], needed: Sequence[str]) -> DataFrame:
+# Helper columns of a whole scan: the file, and the line if it has too few or too many fields.
+FILE, LINE = "__file", "__line"
+
+
+def _file_name() -> Column:
+    """The file of a row. Spark gives an address, in which some characters are numbers; a plus is a plus."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _named_csv(spark: SparkSession, paths: Sequence[str], needed: Sequence[str], whole: bool = False) -> DataFrame:
     """Only the needed columns, by header name and as text; a missing one is an error.
 
     Spark takes the places of columns from one header, so files are grouped by theirs: each group
-    is read with its own schema. Folders stand for their files. The driver reads a line per file.
+    is read with its own schema. Folders stand for their files; files without any line have no rows.
+    ``whole``: all fields of a line are parsed, and ``FILE`` and ``LINE`` are added.
     """
+    files = [file for path in paths for file in files_of(spark, path)]
+    if not files:
+        raise FileNotFoundError(f"no files at {list(paths)}")
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        for file in files_of(spark, path):
-            by_header.setdefault(tuple(csv_header(spark, file)), []).append(file)
+    for file, header in csv_headers(spark, files).items():
+        by_header.setdefault(header, []).append(file)
+    # Files without a line say nothing; if none has any, all columns are missing.
     frames = []
-    for header, files in by_header.items():
+    for header, group in (by_header or {(): files}).items():
         missing = [c for c in needed if c not in header]
         if missing:
-            raise KeyError(f"columns not found in {files[0]}: {missing}; check the variable names against the codebook")
+            raise KeyError(f"columns not found in {group[0]}: {missing}; check the variable names against the codebook")
         # Columns that are not needed may have any names, equal ones too.
         fields = [c if c in needed and header.index(c) == i else f"__{i}" for i, c in enumerate(header)]
         schema = T.StructType([T.StructField(c, T.StringType()) for c in fields])
-        frames.append(spark.read.schema(schema).option("header", True).csv(files).select(*needed))
-    if not frames:
-        raise FileNotFoundError(f"no files at {list(paths)}")
+        reader = spark.read.option("header", True)
+        if whole:
+            reader = reader.schema(schema.add(LINE, T.StringType())).option("columnNameOfCorruptRecord", LINE)
+            frames.append(
+                reader.option("columnPruning", False).csv(group)
+                .select(*needed, _file_name().alias(FILE), LINE)
+            )
+        else:
+            frames.append(reader.schema(schema).csv(group).select(*needed))
     return reduce(DataFrame.unionByName, frames)
 
 
-def _typed(frame: DataFrame, ddl: str) -> DataFrame:
-    """Text columns to declared types; numbers such as '3.0' read as 3, bad text as null."""
+def _fields(ddl: str) -> list[T.StructField]:
+    return T.StructType.fromDDL(ddl).fields
+
+
+def _number(field: T.StructField) -> Column:
+    """The number in a text; numbers such as '3.0' read as 3. Null if it is missing or cannot be read."""
+    number = F.when(~F.trim(field.name).isin(fixed.MISSING_MARKS), F.col(field.name).try_cast("double"))
+    return number if isinstance(field.dataType, T.DoubleType) else number.try_cast(field.dataType)
+
+
+def _unreadable(field: T.StructField) -> Column:
+    """Whether a text is neither missing nor a number of the column's type."""
+    if isinstance(field.dataType, T.StringType):
+        return F.lit(False)
+    return F.coalesce(~F.trim(field.name).isin(fixed.MISSING_MARKS) & _number(field).isNull(), F.lit(False))
+
+
+def _typed(frame: DataFrame, ddl: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Text columns to declared types. A number that cannot be read is an error when its row is worked
+    out; in lenient columns it is null."""
 
     def cast(field: T.StructField) -> Column:
-        column = F.col(field.name)
         if isinstance(field.dataType, T.StringType):
-            return column
-        number = column.try_cast("double")
-        return number if isinstance(field.dataType, T.DoubleType) else number.try_cast(field.dataType)
+            return F.col(field.name)
+        if field.name in fixed.LENIENT_COLUMNS:
+            return _number(field)
+        text = F.concat(F.lit(f"{field.name}: no number: "), F.col(field.name))
+        return F.when(_unreadable(field), F.raise_error(text)).otherwise(_number(field))
 
-    return frame.select(*[cast(f).alias(f.name) for f in T.StructType.fromDDL(ddl).fields])
+    return frame.select(*[cast(f).alias(f.name) for f in _fields(ddl)], *keep)
 
 
-def read_microdata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Person records from CSV files with a header. Files are split and read in parallel."""
-    return _typed(_named_csv(spark, paths, fixed.MICRODATA_COLUMNS), schemas.MICRODATA)
+def _readable(whole: DataFrame, ddl: str) -> DataFrame:
+    """Rows whose line has all its fields and whose numbers can be read."""
+    bad = reduce(lambda a, b: a | b, [_unreadable(f) for f in _fields(ddl) if f.name not in fixed.LENIENT_COLUMNS])
+    return whole.where(F.col(LINE).isNull() & ~bad)
+
+
+def _scan(spark: SparkSession, paths: Sequence[str], ddl: str, strict: bool, keep: Sequence[str] = ()) -> DataFrame:
+    names = [f.name for f in _fields(ddl)]
+    whole = _named_csv(spark, paths, names, whole=not strict or bool(keep))
+    return _typed(whole if strict else _readable(whole, ddl), ddl, keep)
+
+
+def _reasons(spark: SparkSession, paths: Sequence[str], ddl: str) -> DataFrame:
+    """What ``strict=False`` leaves out or reads as null: (file, column, text, kept), a row per bad cell.
+
+    A line with too few or too many fields is one row without a column, and its text is the line.
+    ``kept``: only a lenient column cannot be read, so the row stays.
+    """
+    fields = _fields(ddl)
+    whole = _named_csv(spark, paths, [f.name for f in fields], whole=True)
+    none = F.lit(None).cast("string")
+    cells = F.array(*[
+        F.when(_unreadable(f), F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("text"))) for f in fields
+    ])
+    line = F.array(F.struct(none.alias("column"), F.col(LINE).alias("text")))
+    bad = F.when(F.col(LINE).isNotNull(), line).otherwise(F.filter(cells, lambda c: c.isNotNull()))
+    kept = F.forall("__bad", lambda c: F.coalesce(c["column"].isin(fixed.LENIENT_COLUMNS), F.lit(False)))
+    return (
+        whole.select(F.col(FILE).alias("file"), bad.alias("__bad"))
+        .where(F.size("__bad") > 0)
+        .withColumn("kept", kept)
+        .select("file", F.inline("__bad"), "kept")
+        .select("file", "column", "text", "kept")
+    )
+
+
+def read_microdata(spark: SparkSession, paths: Sequence[str], strict: bool = True, with_file: bool = False) -> DataFrame:
+    """Person records from CSV files with a header. Files are split and read in parallel.
+
+    A number that cannot be read is an error when its row is worked out. ``strict=False`` leaves such
+    rows out, and lines with too few or too many fields, which only a parse of the whole line shows;
+    ``unreadable_microdata`` lists both. ``with_file`` adds the file in ``FILE``.
+    """
+    return _scan(spark, paths, schemas.MICRODATA, strict, [FILE] if with_file else [])
+
+
+def unreadable_microdata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Cells and lines of person files that cannot be read: (file, column, text, kept)."""
+    return _reasons(spark, paths, schemas.MICRODATA)
 
 
 def read_state_microdata(spark: SparkSession, folder: str, state: str) -> DataFrame:
@@ -69,25 +153,34 @@ def read_state_microdata(spark: SparkSession, folder: str, state: str) -> DataFr
     return read_microdata(spark, [path])
 
 
-def read_national_microdata(spark: SparkSession, folder: str) -> DataFrame:
+def national_files(spark: SparkSession, folder: str) -> list[str]:
     """All psam_pus*.csv files, from the csv_pus folder if it has any."""
     for place in (f"{folder.rstrip('/')}/csv_pus", folder.rstrip("/")):
         found = matching(spark, f"{place}/psam_pus*.csv")
         if found:
-            return read_microdata(spark, found)
+            return found
     raise FileNotFoundError(f"no psam_pus*.csv below {folder}")
 
 
+def read_national_microdata(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
+    """Person records of all national files."""
+    return read_microdata(spark, national_files(spark, folder), strict)
+
+
 def read_label_survey(spark: SparkSession, path: str) -> DataFrame:
     """Text-label survey, the mapped columns only; refuses to guess if one is missing."""
     return _named_csv(spark, [path], list(fixed.LABEL_SURVEY.values()))
 
 
-def read_coded_survey(spark: SparkSession, path: str) -> DataFrame:
-    """Numeric-coded survey from Parquet or CSV, as doubles."""
+_CODED = ", ".join(f"{n} double" for n in fixed.CODED_SURVEY.values())
+
+
+def read_coded_survey(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Numeric-coded survey from Parquet or CSV, as doubles. CSV text that is no number is an error, or
+    with ``strict=False`` its row is left out and listed by ``unreadable_coded_survey``."""
     names = list(fixed.CODED_SURVEY.values())
     if path.rstrip("/").endswith(".csv"):
-        return _typed(_named_csv(spark, [path], names), ", ".join(f"{n} double" for n in names))
+        return _scan(spark, [path], _CODED, strict)
     frame = spark.read.parquet(path)
     missing = [c for c in names if c not in frame.columns]
     if missing:
@@ -95,6 +188,11 @@ def read_coded_survey(spark: SparkSession, path: str) -> DataFrame:
     return frame.select(*[F.col(n).cast("double").alias(n) for n in names])
 
 
+def unreadable_coded_survey(spark: SparkSession, path: str) -> DataFrame:
+    """Cells and lines of a coded survey in CSV that cannot be read: (file, column, text, kept)."""
+    return _reasons(spark, [path], _CODED)
+
+
 def with_measure_defaults(raw: DataFrame) -> DataFrame:
     """Measure definitions with trimmed text and defaults for what is left out."""
     none = F.array().cast("array<string>")

@@ -50,5 +50,8 @@ TABLES = {
     "source_versions": SOURCE_VERSIONS,
 }
 
+# A national load in parts: which file, as it was, is in which wave of partial cells.
+LOADED_FILES = "file_key string, path string, bytes bigint, modified bigint, wave string"
+
 # Tables that are always replaced as a whole: a folder per snapshot and a pointer to the current one.
 SNAPSHOTS = ("priors", "party_distribution")

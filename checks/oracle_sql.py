@@ -441,6 +441,17 @@ ORACLE: dict[str, str] = {
     "scan_national": query(["microdata"], """
         SELECT ST, count(*) AS records, sum(PWGTP)::BIGINT AS weight, sum(AGEP)::BIGINT AS ages, count(SCHL) AS with_schooling,
                count(PINCP) AS with_income FROM microdata GROUP BY ST"""),
+    "readable_microdata": query(["microdata"], """
+        SELECT ST, count(*) AS records, sum(AGEP)::BIGINT AS ages,
+               count(PUMA20) FILTER (AGEP <> 41) AS with_area FROM microdata WHERE AGEP <> 40 GROUP BY ST"""),
+    "unreadable_microdata": query(["microdata"], """
+        SELECT 'AGEP' AS cell_column, 'forty' AS text, false AS kept, count(*) AS n FROM microdata WHERE AGEP = 40
+        HAVING count(*) > 0
+        UNION ALL
+        SELECT 'PUMA20', 'x' || PUMA20, true, count(*) FROM microdata WHERE AGEP = 41 AND PUMA20 IS NOT NULL GROUP BY PUMA20"""),
+    "national_load": query(["recoded"], f"""
+        SELECT {SKELETON}, coalesce(sum(CASE WHEN PWGTP % 2 = 0 THEN PWGTP ELSE 2 * PWGTP END), 0)::BIGINT AS person_weight,
+               count(PWGTP) AS record_count FROM recoded GROUP BY ALL"""),
     "scan_survey_labels": query(["survey_labels"], """
         SELECT pid7 AS party, climate_answer AS climate, count(*) AS n, count(ideo5) AS with_ideology,
                count(*) FILTER (birthyr = 'n/a') AS no_birthyear

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from censemble.functions import fixed
 from censemble.operators.cells import k_anonymous
-from censemble.plans import backtest, library
+from censemble.plans import backtest, library, national
 from censemble.sources import files, readers, writers
 from censemble.sources.schemas import CELLS, MEASURES, SOURCE_VERSIONS
 
@@ -300,3 +300,118 @@ def test_library_end_to_end(spark, tmp_path):
     assert known.party_id == "dem" and known.p_climate_action_support == pytest.approx(0.5)
     with pytest.raises(RuntimeError, match="TX"):
         library.sample_from_library(spark, lib, spark.createDataFrame([(3, "TX", 1, 1)], specs.schema))
+
+
+PERSON = "53,-9,{area},40,2,1,1,21,1.5,{weight}"
+SHORT = "ST,PUMA10,PUMA20,AGEP,SEX,RAC1P,HISP,SCHL,PINCP,PWGTP"
+
+
+def person(area=1, weight=10):
+    return PERSON.format(area=area, weight=weight)
+
+
+def test_unreadable_cells_and_lines_are_errors_or_listed(spark, tmp_path):
+    folder = tmp_path / "a b+%20"
+    write(folder / "x.csv", ["", "\ufeff" + SHORT, person("x1"), person().replace("40", "forty"), "53,-9,1,40,2,1,1", person() + ",9", person(2)])
+    write(folder / "y.csv", [SHORT, "53,-9,1,40,2,1,1,NA,NaN,7", "53,-9,1,40,2,1,1,,99999999999,7", "53,-9,1,40,99999999999,1,1,,1,7"])
+    (folder / "empty.csv").touch()
+    with pytest.raises(Exception, match="(AGEP: no number: forty|SEX: no number: 9)"):
+        readers.read_microdata(spark, [str(folder)]).collect()
+    # Only rows that are worked out are looked at, and only columns that are asked for.
+    assert readers.read_microdata(spark, [str(folder)]).select("PWGTP").count() == 8
+    kept = readers.read_microdata(spark, [str(folder)], strict=False)
+    assert sorted((r.PUMA20 or -1, r.PINCP or -1, r.PWGTP) for r in kept.collect()) == [(-1, 1.5, 10), (1, -1, 7), (1, 99999999999.0, 7), (2, 1.5, 10)]
+    bad = readers.unreadable_microdata(spark, [str(folder)]).collect()
+    assert sorted((r.file.rsplit("/", 2)[1:], r.column or "", r.text, r.kept) for r in bad) == [
+        (["a b+%20", "x.csv"], "", "53,-9,1,40,2,1,1", False),
+        (["a b+%20", "x.csv"], "", person() + ",9", False),
+        (["a b+%20", "x.csv"], "AGEP", "forty", False),
+        (["a b+%20", "x.csv"], "PUMA20", "x1", True),
+        (["a b+%20", "y.csv"], "SEX", "99999999999", False),
+    ]
+
+
+def test_a_long_file_gives_its_header_without_being_read(spark, tmp_path):
+    import gzip
+
+    write(tmp_path / "long.csv", [SHORT, *[person()] * 50_000])
+    (tmp_path / "short.csv.gz").write_bytes(gzip.compress(b'b,"a, c"\n1,2\n'))
+    (tmp_path / "empty.csv").touch()
+    found = files.csv_headers(spark, files.files_of(spark, str(tmp_path)))
+    assert {k.rsplit("/", 1)[1]: v for k, v in found.items()} == {"long.csv": tuple(SHORT.split(",")), "short.csv.gz": ("b", "a, c")}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != str(files._WHOLE_FILE)
+
+
+def test_coded_survey_text_that_is_no_number(spark, tmp_path):
+    names = list(fixed.CODED_SURVEY.values())
+    write(tmp_path / "s.csv", [",".join(names), ",".join(["1"] * len(names)), ",".join(["1"] * (len(names) - 1) + ["one"])])
+    path = str(tmp_path / "s.csv")
+    with pytest.raises(Exception, match="no number: one"):
+        readers.read_coded_survey(spark, path).collect()
+    assert readers.read_coded_survey(spark, path, strict=False).count() == 1
+    assert [(r.column, r.text, r.kept) for r in readers.unreadable_coded_survey(spark, path).collect()] == [(names[-1], "one", False)]
+
+
+def loaded(spark, lib):
+    return sorted((r.puma, r.person_weight, r.record_count) for r in readers.read_table(spark, lib, "cells").collect())
+
+
+def test_a_national_load_goes_on_where_it_was_stopped(spark, tmp_path, monkeypatch):
+    lib, folder = str(tmp_path / "lib"), tmp_path / "raw"
+    for i, name in enumerate("abcd"):
+        write(folder / f"psam_pus{name} +%.csv", [SHORT, person(1, 10 * (i + 1)), person(i + 2, 1)])
+    real, turns = national._load_wave, []
+
+    def stops_at_the_third(*args):
+        turns.append(args)
+        if len(turns) == 3:
+            raise RuntimeError("lost")
+        real(*args)
+
+    monkeypatch.setattr(national, "_load_wave", stops_at_the_third)
+    with pytest.raises(RuntimeError, match="lost"):
+        national.load_national(spark, lib, str(folder), wave_bytes=1)
+    assert not files.exists(spark, f"{lib}/cells") and national.loaded_files(spark, lib).count() == 2
+    read = national.load_national(spark, lib, str(folder), wave_bytes=1)
+    assert [p.rsplit("pus", 1)[1][0] for p in read] == ["c", "d"]
+    full = [("00001", 100, 4), ("00002", 1, 1), ("00003", 1, 1), ("00004", 1, 1), ("00005", 1, 1)]
+    assert loaded(spark, lib) == full
+    assert national.load_national(spark, lib, str(folder)) == [] and loaded(spark, lib) == full
+
+
+def test_a_changed_or_missing_file_counts_as_it_is_now(spark, tmp_path):
+    lib, folder = str(tmp_path / "lib"), tmp_path / "raw"
+    for name in "abc":
+        write(folder / f"psam_pus{name}.csv", [SHORT, person(1, 10)])
+    assert len(national.load_national(spark, lib, str(folder))) == 3
+    write(folder / "psam_pusa.csv", [SHORT, person(1, 500), person(7, 1)])
+    assert [p.rsplit("/", 1)[1] for p in national.load_national(spark, lib, str(folder))] == ["psam_pusa.csv"]
+    assert loaded(spark, lib) == [("00001", 520, 3), ("00007", 1, 1)]
+    for name in "bc":
+        (folder / f"psam_pus{name}.csv").unlink()
+    assert national.load_national(spark, lib, str(folder), keep_cells=False) == []
+    assert loaded(spark, lib) == [("00001", 500, 1), ("00007", 1, 1)]
+    assert len(files.folders_of(spark, f"{lib}/cells_by_file")) == 1
+    # A file that is there again as it was is read again, as its wave has gone.
+    write(folder / "psam_pusb.csv", [SHORT, person(1, 10)])
+    assert len(national.load_national(spark, lib, str(folder))) == 1
+    assert loaded(spark, lib) == [("00001", 510, 2), ("00007", 1, 1)]
+
+
+def test_a_wave_that_does_not_count_is_left_out_and_deleted(spark, tmp_path, monkeypatch):
+    lib, folder = str(tmp_path / "lib"), tmp_path / "raw"
+    write(folder / "psam_pusa.csv", [SHORT, person(1, 10)])
+    with monkeypatch.context() as patched:
+        # Stopped between the partial cells and the rows that make them count.
+        patched.setattr(national, "_record", lambda *args: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            national.load_national(spark, lib, str(folder))
+    assert len(files.folders_of(spark, f"{lib}/cells_by_file")) == 1
+    assert len(national.load_national(spark, lib, str(folder), keep_cells=False)) == 1
+    assert loaded(spark, lib) == [("00001", 10, 1)]
+    assert len(files.folders_of(spark, f"{lib}/cells_by_file")) == 1
+
+
+def test_waves_hold_their_bytes():
+    entries = {k: (k, n, 0) for k, n in zip("abcde", [5, 5, 30, 1, 9], strict=True)}
+    assert national.waves(entries, 10) == [["a", "b"], ["c"], ["d", "e"]] and national.waves({}, 10) == []
