@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from censemble.functions.exact import exact_mean, exact_sum
 from censemble.operators import votes as vot
-from censemble.operators.bootstrap import _replicate_sums, bootstrap_interval, rank_bounds
+from censemble.operators.bootstrap import PLACE_BITS, _replicate_sums, bootstrap_interval, rank_bounds
 
 VOTES = "run string, persona_id string, seq long, phase string, stance double"
 AXES = "run string, persona_id string, party_id string, age_band string, education string, race_eth string"
@@ -212,29 +212,36 @@ def test_divergence_counts_models_not_runs(spark):
     assert (got.n_models, got.min_predicted, got.max_predicted, got.lowest_model) == (2, 20.0, 25.0, "x")
 
 
-def values_of(label, n):
-    """n draws from the label's digests, sixteen from each."""
-    out = []
-    for turn in range(-(-n // 16)):
-        digest = hashlib.md5(f"{label}:{turn}".encode()).hexdigest()
-        c = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
-        out += [sum(x * k**i for i, x in enumerate(c)) % (2**31 - 1) for k in range(16)]
-    return out[:n]
+def brute_interval(stances, seed, replicates):
+    n, shares = len(stances), []
+    for rep in range(replicates):
+        total = 0.0
+        for i in range(n):
+            total += stances[half_of(f"{seed}:{rep}:0:{i // 2}", i % 2) % n]
+        shares.append(100.0 * total / n)
+    shares.sort()
+    low, high = rank_bounds(replicates, 0.05)
+    return shares[low], shares[high]
+
+
+def half_of(text, second):
+    digest = hashlib.md5(text.encode()).hexdigest()
+    return int(digest[16:31] if second else digest[:15], 16)
 
 
 def brute_blocks(stances, seed, replicates, size):
     """Draws fall into blocks of places; each block draws that many from itself."""
     n, shares = len(stances), []
     for rep in range(replicates):
-        counts = {0: n}
-        if n > size:
-            pairs = values_of(f"{seed}:{rep}:block", 2 * n)
-            counts = Counter((x * (2**31 - 1) + y) % n // size for x, y in zip(pairs[::2], pairs[1::2]))
+        if n <= size:
+            counts = {0: n}
+        else:
+            counts = Counter(half_of(f"{seed}:{rep}:block:{i // 2}", i % 2) % n // size for i in range(n))
         assert sum(counts.values()) == n
         total = 0.0
         for block, draws in counts.items():
             own = stances[block * size : (block + 1) * size]
-            total += sum(own[v * len(own) >> 31] for v in values_of(f"{seed}:{rep}:{block}", draws))
+            total += sum(own[half_of(f"{seed}:{rep}:{block}:{j // 2}", j % 2) % len(own)] for j in range(draws))
         shares.append(100.0 * total / n)
     shares.sort()
     low, high = rank_bounds(replicates, 0.05)
@@ -249,11 +256,28 @@ def test_bootstrap_matches_brute_force_for_any_block(spark, place_bits):
     got = {r.run: r for r in bootstrap_interval(make(spark, rows), ["run"], F.lit(7), 200, place_bits=place_bits).collect()}
     for run, stances in runs.items():
         low, high = brute_blocks(stances, 7, 200, 1 << place_bits)
+        if place_bits == 16:
+            assert (low, high) == pytest.approx(brute_interval(stances, 7, 200))
         assert got[run].ci_low == pytest.approx(low) and got[run].ci_high == pytest.approx(high)
         assert 0 <= low <= 100 * sum(stances) / len(stances) <= high <= 100
     assert got["one"].ci_low == got["one"].ci_high == pytest.approx(30.0)
 
 
+def test_bootstrap_draws_are_pairs_of_whole_digests(spark):
+    """Every two draws have a digest of their own, in runs of more than 65,536 votes too and beside runs of the same seed."""
+    rng = random.Random(5)
+    runs = {"long": [rng.random() for _ in range(70_001)], "short": [rng.random() for _ in range(31)]}
+    rows = [(run, 7, i, s) for run, stances in runs.items() for i, s in enumerate(stances)]
+    votes = spark.createDataFrame(rows, "run string, __seed int, seq long, stance double")
+    sums = {(r.run, r.rep): r.total for r in _replicate_sums(votes, ["run"], 5, PLACE_BITS).collect()}
+    assert len(sums) == 10
+    for (run, rep), total in sums.items():
+        own = runs[run]
+        digests = [f"7:{rep}:0:{half}" for half in range(len(own) // 2 + 1)]
+        drawn = [half_of(d, second) % len(own) for d in digests for second in (False, True)][: len(own)]
+        assert total == pytest.approx(math.fsum(own[p] for p in drawn), abs=1e-7)
+
+
 @pytest.mark.parametrize("place_bits", [16, 3, 0])
 def test_draws_of_a_place_are_binomial(spark, place_bits):
     """How often one vote of twenty is drawn in 3,000 replicates, against the exact shares (chi-squared)."""
