@@ -2,8 +2,11 @@
 
 A page is cut into blocks of text, each in one of three zones: inside a declared article or main
 element; inside a menu, header, footer, sidebar, notice, advert, form or comment section; or open.
-If a page declares its article, that is its text, whole: copies of an article, and passages that
-many articles share, are text and stay. (Cutting what repeats inside articles would cut those.)
+If a page declares its article, that is its text: copies of an article, and passages that
+many articles share, are text and stay. (Cutting what repeats inside articles would cut those.) Repeats decide
+there too: a block of an article goes if repeats of the host's outer text cover all of it and it stands in
+``REPEAT_PAGES`` different articles or more, such as a notice that is also put between paragraphs. A title that
+many sidebars show is in one article only, and stays; nor does an article go as a whole.
 A declared article below an element that only its class or id names an aside is text too if the page
 declares no more elsewhere, and one below a form always is. Where several articles are declared and
 the open text is longer than each, they are teasers, and open like the rest of the page; so is a
@@ -18,7 +21,7 @@ Suffixes that share their first ``REPEAT_TOKENS`` tokens are neighbours in the h
 and longer repeats are unions of such prefixes; so the array is kept as groups of equal prefixes,
 one row each, reduced before the shuffle to the number of distinct pages that have it. No task sees
 a whole host, and a prefix on every page of a hot host costs one row per map task. Pages of a host
-count as one page if their addresses are equal, or their streams but for numbers and the names of
+count as one page if their addresses are equal, or their streams and articles but for numbers and the names of
 months and days; so a page crawled on many days is not its own boilerplate.
 
 Defined results: null html is empty, and so is its text; a null url, or one without ``://``, has an
@@ -260,7 +263,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 
 
 def parse_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``page_id``, ``url``, ``article`` (null if none is declared) and ``outside``: other blocks in order."""
+    """``page_id``, ``url``, ``inside`` (the declared article's blocks, none if none is declared) and ``outside``: other blocks in order."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     kind = dict(rows.dtypes)["page_id"]
     outside = pa.list_(pa.struct([("open", pa.bool_()), ("text", pa.string())]))
@@ -268,18 +271,17 @@ def parse_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, "html"):
-                articles, others = [], []
+                inner, others = [], []
                 for page in batch.column("html").to_pylist():
                     blocks = blocks_of(page)
-                    main = [t for z, t in blocks if z == MAIN]
-                    articles.append("\n".join(main) if main else None)
+                    inner.append([t for z, t in blocks if z == MAIN])
                     others.append([{"open": z == OPEN, "text": t} for z, t in blocks if z != MAIN])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("page_id"), batch.column("url"), pa.array(articles, pa.string()), pa.array(others, outside)],
-                    names=["page_id", "url", "article", "outside"],
+                    [batch.column("page_id"), batch.column("url"), pa.array(inner, pa.list_(pa.string())), pa.array(others, outside)],
+                    names=["page_id", "url", "inside", "outside"],
                 )
 
-    schema = f"page_id {kind}, url string, article string, outside array<struct<open:boolean,text:string>>"
+    schema = f"page_id {kind}, url string, inside array<string>, outside array<struct<open:boolean,text:string>>"
     return rows.mapInArrow(run, schema)
 
 
@@ -298,10 +300,18 @@ def _prefixes(tokens: Column, length: int) -> Column:
     return let(F.transform(tokens, lambda t: F.xxhash64(t)), all_of)
 
 
+def _words(blocks: str) -> Column:
+    return F.flatten(F.transform(blocks, lambda b: F.split(b, " ")))
+
+
+def _undated(tokens: Column) -> Column:
+    """A hash of the tokens but numbers and dates."""
+    return F.xxhash64(F.filter(tokens, lambda t: ~t.rlike(DATED)))
+
+
 def distinct_pages(streams: DataFrame) -> DataFrame:
     """``(host, outside)``: one stream of those that differ in dates and numbers only, and one of an address."""
-    undated = F.filter(_tokens(F.col("outside")), lambda t: ~t.rlike(DATED))
-    named = streams.withColumn("undated", F.xxhash64(undated))
+    named = streams.withColumn("undated", _undated(F.concat(_tokens(F.col("outside")), _words("inside"))))
     # The texts of one page of many go to the shuffle: the smallest of a map task, then of all.
     one = named.groupBy("host", "undated").agg(
         F.min("address").alias("address"), F.min(F.struct("stream", "outside")).alias("first")
@@ -311,17 +321,20 @@ def distinct_pages(streams: DataFrame) -> DataFrame:
     return one.groupBy("host", "address").agg(F.min("first").alias("first")).select("host", "first.outside")
 
 
-def unique_runs(parsed: DataFrame, length: int = REPEAT_TOKENS) -> DataFrame:
-    """``(host, stream, text)``: for pages without an article, open text outside repeated substrings."""
-    streams = parsed.select(
+def _streams(parsed: DataFrame) -> DataFrame:
+    return parsed.select(
         host_of(F.col("url")).alias("host"), url_key(F.col("url")).alias("address"), F.xxhash64("outside").alias("stream"),
-        "outside", F.col("article").isNull().alias("bare"),
+        "outside", "inside", (F.size("inside") == 0).alias("bare"),
     )
-    distinct = stored(distinct_pages(streams.where(F.col("host") != "")), "distinct")
+
+
+def repeated_prefixes(parsed: DataFrame, length: int = REPEAT_TOKENS) -> DataFrame:
+    """``(host, prefix)``: hashes of ``length`` tokens that repeat in the outer text of the host's pages."""
+    distinct = stored(distinct_pages(_streams(parsed).where(F.col("host") != "")), "distinct")
     of_host = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     # Each page has a prefix once, so rows are pages.
     prefixes = distinct.select("host", F.explode(F.array_distinct(_prefixes(_tokens(F.col("outside")), length))).alias("prefix"))
-    repeated = (
+    return (
         prefixes.groupBy("host", "prefix")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= REPEAT_PAGES)
@@ -329,13 +342,40 @@ def unique_runs(parsed: DataFrame, length: int = REPEAT_TOKENS) -> DataFrame:
         .where(F.col("n") >= REPEAT_SHARE * F.col("pages"))
         .select("host", "prefix")
     )
-    # Equal streams of a host have equal results.
-    bare = streams.where("bare").groupBy("host", "stream").agg(F.first("outside").alias("outside"))
-    places = bare.select("host", "stream", F.posexplode(_prefixes(_tokens(F.col("outside")), length)).alias("at", "prefix"))
+
+
+def _without_repeats(found: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
+    """``(host, stream, text)``: the open text of ``(host, stream, outside)`` outside repeated substrings."""
+    places = found.select("host", "stream", F.posexplode(_prefixes(_tokens(F.col("outside")), length)).alias("at", "prefix"))
     hits = places.join(repeated, ["host", "prefix"]).groupBy("host", "stream").agg(F.collect_set("at").alias("hits"))
-    found = bare.join(hits, ["host", "stream"], "left")
+    return _uncovered(found.join(hits, ["host", "stream"], "left"), length)
 
-    return _uncovered(found, length)
+
+def unique_runs(parsed: DataFrame, repeated: DataFrame, length: int = REPEAT_TOKENS) -> DataFrame:
+    """``(host, stream, text)``: for pages without an article, open text outside repeated substrings."""
+    # Equal streams of a host have equal results.
+    bare = _streams(parsed).where("bare").groupBy("host", "stream").agg(F.first("outside").alias("outside"))
+    return _without_repeats(bare, repeated, length)
+
+
+def furniture(parsed: DataFrame, repeated: DataFrame, length: int = REPEAT_TOKENS) -> DataFrame:
+    """``(host, gone)``: the article blocks that repeats cover whole, and that ``REPEAT_PAGES`` different
+    articles of the host hold. A block that does not begin with a repeat is not covered, so the texts of
+    few blocks are shuffled."""
+    host = host_of(F.col("url"))
+    articles = parsed.where((host != "") & (F.size("inside") > 0)).select(
+        host.alias("host"), "inside", _undated(_words("inside")).alias("article")
+    )
+    blocks = articles.select("host", "article", F.explode(F.array_distinct("inside")).alias("text"))
+    tokens = F.split("text", " ")
+    first = F.xxhash64(*[F.xxhash64(F.get(tokens, i)) for i in range(length)])
+    begins = blocks.where(F.size(tokens) >= length).withColumn("prefix", first).join(repeated, ["host", "prefix"])
+    shared = begins.groupBy("host", "text").agg(F.count_distinct("article").alias("n")).where(F.col("n") >= REPEAT_PAGES)
+    held = shared.select(
+        "host", F.xxhash64("text").alias("stream"), F.array(F.struct(F.lit(True).alias("open"), F.col("text").alias("text"))).alias("outside")
+    )
+    covered = _without_repeats(held, repeated, length).where(F.col("text") == "").select("host", "stream")
+    return covered.groupBy("host").agg(F.collect_set("stream").alias("gone"))
 
 
 def _uncovered(found: DataFrame, length: int) -> DataFrame:
@@ -368,15 +408,17 @@ def _uncovered(found: DataFrame, length: int) -> DataFrame:
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id``, ``url`` and ``text`` of every page."""
     parsed = stored(parse_pages(pages, page_id, url, html), "pages")
-    declared = parsed.where(F.col("article").isNotNull()).select("page_id", "url", F.col("article").alias("text"))
-    bare = parsed.where(F.col("article").isNull()).select(
-        "page_id", "url", host_of(F.col("url")).alias("host"), F.xxhash64("outside").alias("stream")
-    )
-    if bare.isEmpty():
-        return declared
-    runs = unique_runs(parsed)
-    found = bare.join(runs, ["host", "stream"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    return declared.unionByName(found)
+    # Read by both kinds of pages, and small: prefixes on a fifth of a host's pages.
+    repeated = stored(repeated_prefixes(parsed), "repeats")
+    pages_of = parsed.withColumn("host", host_of(F.col("url")))
+    # Stored, so that Spark knows its size and shuffles no page while it is small.
+    gone = stored(furniture(parsed, repeated), "furniture")
+    articles = pages_of.where(F.size("inside") > 0).join(gone, "host", "left")
+    kept = F.filter("inside", lambda b: ~F.coalesce(F.array_contains("gone", F.xxhash64(b)), F.lit(False)))
+    declared = articles.select("page_id", "url", F.array_join(F.when(F.size(kept) > 0, kept).otherwise(F.col("inside")), "\n").alias("text"))
+    bare = pages_of.where(F.size("inside") == 0).select("page_id", "url", "host", F.xxhash64("outside").alias("stream"))
+    found = bare.join(unique_runs(parsed, repeated), ["host", "stream"], "left")
+    return declared.unionByName(found.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,23 @@ def test_repeats_of_a_host(spark):
     assert (got[7], got[8], got[9]) == (menu, "", "more")
 
 
+def test_repeats_decide_in_declared_articles_too(spark):
+    """A notice of the site between paragraphs goes; titles in sidebars, shared passages and whole articles stay."""
+    notice = "please support this site with a small gift so that it stays free"
+    passage = "a passage of many words that every article of this host quotes in full"
+    titles = [f"how the {x} of the north came back to the old town" for x in ("river", "forest", "market", "school", "church", "museum")]
+    side = "".join(f"<li>{t}</li>" for t in titles)
+    rows = [
+        (n, f"http://h.org/{n}", f"<aside>{side}</aside><div class='notice'>{notice}</div><article><h1>{t}</h1><p>{notice}</p><p>body {'abcdef'[n]} {t[::-1]}</p><p>{passage}</p></article>")
+        for n, t in enumerate(titles)
+    ]
+    rows.append((9, "http://h.org/9", f"<article><p>{notice}</p></article>"))
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for n, t in enumerate(titles):
+        assert got[n] == f"{t}\nbody {'abcdef'[n]} {t[::-1]}\n{passage}"
+    assert got[9] == notice
+
+
 def test_near_copies_and_shared_passages(spark):
     menu = "home news about contact search help imprint privacy terms"
     quote = "a passage of more than eight words that two pages of the host share"
