@@ -91,13 +91,14 @@ def _waves_of(counted: DataFrame) -> list[str]:
 
 
 def _merge(spark: SparkSession, library: str, present: Iterable[str]) -> DataFrame:
-    """Cells of the present files. The table of files has a row per file; Spark broadcasts it by its size."""
+    """Cells of the present files. The table of files has a row per file, which the driver has listed anyway, so it
+    is broadcast and the cells stay where they are until they are merged."""
     counted = _counted(spark, library, present)
     parts = spark.read.schema(f"file string, {schemas.CELLS}").parquet(
         *[f"{_parts(library)}/{w}" for w in _waves_of(counted)]
     )
     placed = parts.withColumn("wave", F.element_at(F.split("_metadata.file_path", "/"), -2))
-    return merged_cells(placed.join(counted, ["wave", "file"]))
+    return merged_cells(placed.join(F.broadcast(counted), ["wave", "file"]))
 
 
 def load_national(

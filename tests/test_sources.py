@@ -1,11 +1,13 @@
 import os
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from censemble.functions import fixed
-from censemble.operators.cells import k_anonymous
+from censemble.functions.recode import recode_microdata
+from censemble.operators.cells import k_anonymous, weighted_cells
 from censemble.plans import backtest, library, national
 from censemble.sources import files, readers, writers
 from censemble.sources.schemas import CELLS, MEASURES, SOURCE_VERSIONS
@@ -415,3 +417,14 @@ def test_a_wave_that_does_not_count_is_left_out_and_deleted(spark, tmp_path, mon
 def test_waves_hold_their_bytes():
     entries = {k: (k, n, 0) for k, n in zip("abcde", [5, 5, 30, 1, 9], strict=True)}
     assert national.waves(entries, 10) == [["a", "b"], ["c"], ["d", "e"]] and national.waves({}, 10) == []
+
+
+def test_numbers_in_csv_are_read_by_compiled_methods(spark, tmp_path, capsys):
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    write(tmp_path / "x.csv", [SHORT, person()])
+    people = readers.read_microdata(own, [str(tmp_path)], with_file=True)
+    weighted_cells(recode_microdata(people, [readers.FILE]), [readers.FILE]).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    # Above 8000 bytes the JVM does not compile a method.
+    assert sizes and max(sizes) < 8000
