@@ -32,8 +32,11 @@ def weight_intervals(pool: DataFrame) -> DataFrame:
     Cells are laid out by state, area and skeleton. Offsets are built in three levels, each
     bounded by its key domain: 51 states, the five-digit areas of a state, and the 1000
     skeletons of an area. Cells without weight are never drawn and are left out.
+
+    The pool is stored, which runs a job: it is read several times and small beside the microdata, as
+    the skeleton domain bounds it. Each total of weights would read the microdata again.
     """
-    weighted = pool.withColumn("w", F.col("person_weight").cast("bigint")).where(F.col("w") > 0)
+    weighted = stored(pool, "pool").withColumn("w", F.col("person_weight").cast("bigint")).where(F.col("w") > 0)
     areas = weighted.groupBy("state", "puma").agg(F.sum("w").alias("area_w"))
     states = areas.groupBy("state").agg(F.sum("area_w").alias("state_w"))
 
@@ -113,8 +116,7 @@ def draw_cells(
     pool = k_anonymous(cells, "US", k)
     if "US" not in asked:
         pool = pool.where(F.col("state").isin(asked))
-    # Read several times and small beside the microdata: the skeleton domain bounds it.
-    intervals = stored(weight_intervals(pool), "intervals")
+    intervals = weight_intervals(pool)
     layout = F.broadcast(scope_layout(intervals, specs, hot_rows, strict))
     laid = (
         intervals.withColumn("scope", F.explode(F.array(F.lit("US"), F.col("state"))))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from censemble import session
 from censemble.functions import fixed
+from censemble.functions.recode import recode_microdata
 from censemble.operators import sampling as smp
 from censemble.operators import validate
-from censemble.sources.schemas import CELLS, PARTY_DISTRIBUTION
+from censemble.operators.cells import weighted_cells
+from censemble.sources.schemas import CELLS, MICRODATA, PARTY_DISTRIBUTION
 
 VERSIONS = {"acs": "test", "anes": "2020"}
 SPECS = "spec_id int, state string, n long, seed int"
@@ -153,3 +155,17 @@ def test_versions_are_escaped_like_json(spark):
     frame = spark.createDataFrame([(versions,)], "v map<string,string>")
     got = frame.select(smp.versions_json(F.col("v")).alias("m"), smp.versions_json(versions).alias("d")).first()
     assert got.m == got.d == json.dumps(versions, sort_keys=True)
+
+
+def test_microdata_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(53, -9, area, 40, 1, 1, 1, 21, 1.0, 10) for area in (1, 2) for _ in range(10)]
+    people = spark.createDataFrame(rows, MICRODATA).mapInArrow(counted, MICRODATA)
+    drawn = smp.draw_cells(weighted_cells(recode_microdata(people)), spark.createDataFrame([(1, "US", 30, 7)], SPECS))
+    assert drawn.count() == 30 and read.value == len(rows)
