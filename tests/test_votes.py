@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from censemble.functions.digests import numbered_digests
 from censemble.functions.exact import exact_mean, exact_sum
 from censemble.operators import votes as vot
 from censemble.operators.bootstrap import PLACE_BITS, _replicate_sums, bootstrap_interval, rank_bounds
@@ -294,3 +295,10 @@ def test_draws_of_a_place_are_binomial(spark, place_bits):
 
 def test_rank_bounds():
     assert rank_bounds(1000, 0.05) == (25, 975) and rank_bounds(10, 0.0) == (0, 9)
+
+
+def test_numbered_digests_are_those_of_hashlib():
+    for prefix in (b"", b"42:999:", b"x" * 53):
+        for low, high in ((0, 9000), (99_990, 100_020), (5, 5)):
+            expected = b"".join(hashlib.md5(prefix + b"%d" % n).digest() for n in range(low, high))
+            assert numbered_digests(prefix, low, high) == expected
