@@ -45,6 +45,21 @@ def test_partitions_do_not_change_results(spark, duck, name, partitions):
     assert compare(QUERIES[name](spark, SF_DIR), duck, ORACLE[name]) == "ok"
 
 
+@pytest.mark.parametrize("name", ["yes_share", "opinion_change", "bootstrap_ci", "multigroup"])
+def test_large_votes_are_not_shuffled_to_meet_the_measures(spark, name):
+    """At a size where Spark would take the results by event type for large; there are five."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("\n")
+    # What stands right above the votes is the join that tells their phase.
+    above = [lines[i - 1] for i, line in enumerate(lines) if "Project" in line and "AS round#" in line]
+    assert above and all("BroadcastHashJoin" in line for line in above)
+
+
 def test_opinion_change_scans_a_stored_table_three_times(spark, tmp_path):
     """For the post votes, the pre votes, and the counts by persona, which need fewer columns."""
     fx.votes(spark, SF_DIR).write.parquet(str(tmp_path / "votes"))

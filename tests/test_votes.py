@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from censemble.functions.digests import numbered_digests
 from censemble.functions.exact import exact_mean, exact_sum
 from censemble.operators import votes as vot
-from censemble.operators.bootstrap import PLACE_BITS, _replicate_sums, bootstrap_interval, rank_bounds
+from censemble.operators.bootstrap import PLACE_BITS, _dealt, _replicate_sums, bootstrap_interval, rank_bounds
 
 VOTES = "run string, persona_id string, seq long, phase string, stance double"
 AXES = "run string, persona_id string, party_id string, age_band string, education string, race_eth string"
@@ -264,6 +264,35 @@ def test_bootstrap_matches_brute_force_for_any_block(spark, place_bits):
     assert got["one"].ci_low == got["one"].ci_high == pytest.approx(30.0)
 
 
+@pytest.mark.parametrize("place_bits", [16, 3])
+def test_bootstrap_of_sparse_numbers_and_any_stances(spark, place_bits):
+    """Slices of numbers that end inside blocks, stances above one and below zero, and missing ones, against the draws themselves."""
+    rng = random.Random(8)
+    runs = {"small": [rng.random() for _ in range(90)], "large": [rng.uniform(-900, 900) for _ in range(61)], "gaps": [rng.random() for _ in range(40)]}
+    runs["gaps"][::4] = [None] * 10
+    rows = [(run, 7, (i * 131) ** 2, s) for run, stances in runs.items() for i, s in enumerate(stances)]
+    votes = spark.createDataFrame(rows, "run string, __seed int, seq long, stance double").repartition(5, "seq")
+    sums = {(r.run, r.rep): (r.n, r.total) for r in _replicate_sums(votes, ["run"], 20, place_bits).collect()}
+    assert len(sums) == 60
+    for run, stances in runs.items():
+        n, size = len(stances), 1 << place_bits
+        for rep in range(20):
+            wanted = {0: n} if n <= size else Counter(half_of(f"7:{rep}:block:{i // 2}", i % 2) % n // size for i in range(n))
+            drawn = []
+            for block, draws in wanted.items():
+                own = stances[block * size : (block + 1) * size]
+                drawn += [own[half_of(f"7:{rep}:{block}:{j // 2}", j % 2) % len(own)] for j in range(draws)]
+            assert sums[run, rep] == (n, pytest.approx(math.fsum(s for s in drawn if s is not None), abs=1e-9))
+
+
+def test_parts_are_dealt_evenly(spark):
+    """A hash of 48 keys leaves some of 12 partitions with twice as many as others."""
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    parts = spark.range(48).selectExpr("'42' __seed", "0 block", "cast(id as int) __part", "id at")
+    dealt = _dealt(parts, ["__seed", "block"], ["at"])
+    assert [len(rows) for rows in dealt.rdd.glom().collect()] == [4] * 12
+
+
 def test_bootstrap_draws_are_pairs_of_whole_digests(spark):
     """Every two draws have a digest of their own, in runs of more than 65,536 votes too and beside runs of the same seed."""
     rng = random.Random(5)
