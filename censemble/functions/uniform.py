@@ -24,16 +24,6 @@ def hash_draw(*parts: Column) -> Column:
     return _hex_to_long(F.substring(_digest(*parts), 1, 15))
 
 
-def pair_digest(*parts: Column) -> Column:
-    """A digest that holds two draws; see ``pair_draw``."""
-    return _digest(*parts)
-
-
-def pair_draw(digest: Column, second: bool) -> Column:
-    """The first or second uniform integer in [0, 2**60) of a digest."""
-    return _hex_to_long(F.substring(digest, 17 if second else 1, 15))
-
-
 def unit_draw(*parts: Column) -> Column:
     """Uniform double in [0, 1) with 52 random bits."""
     return _hex_to_long(F.substring(_digest(*parts), 1, 13)).cast("double") / float(1 << 52)
